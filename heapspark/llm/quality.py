@@ -72,20 +72,22 @@ class Rule:
     """bad and good are SQL conditions over _COUNTS; where neither holds, the rule abstains."""
 
     name: str
-    bad: str
-    good: str
+    bad: str = "false"
+    good: str = "false"
 
 
-#: What ordinary prose looks like; each rule speaks only where its own signal is clear.
+#: Signs of junk, each silent about anything else, and signs of prose.
 RULES = (
-    Rule("length", "n_words < 10", "n_words >= 40"),
-    Rule("repetition", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 10 * n_words"),
-    Rule("symbols", "100 * n_symbols > 8 * word_chars", "100 * n_symbols <= 2 * word_chars"),
-    Rule("duplicate_lines", "n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines", "100 * n_dup_lines <= 10 * n_lines"),
-    Rule("capitals", "n_words > 0 and 100 * n_upper_words > 40 * n_words", "100 * n_upper_words <= 10 * n_words"),
-    Rule("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)", "word_chars between 3 * n_words and 12 * n_words"),
-    Rule("variety", "n_words >= 40 and 100 * n_distinct_words < 15 * n_words", "100 * n_distinct_words >= 30 * n_words"),
-    Rule("list_marks", "n_words > 0 and 100 * n_word_marks > 20 * n_words", "100 * n_word_marks <= 5 * n_words"),
+    Rule("length", bad="n_words < 10"),
+    Rule("repetition", bad="100 * n_repeat_words > 20 * n_words"),
+    Rule("symbols", bad="n_words > 0 and 100 * n_symbols > 4 * word_chars"),
+    Rule("duplicate_lines", bad="n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines"),
+    Rule("capitals", bad="n_words > 0 and 100 * n_upper_words > 40 * n_words"),
+    Rule("word_length", bad="n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)"),
+    Rule("variety", bad="n_words >= 40 and 100 * n_distinct_words < 15 * n_words"),
+    Rule("marks", bad="n_words > 0 and 100 * n_word_marks > 15 * n_words"),
+    Rule("prose", good="n_words >= 30 and 100 * n_symbols <= word_chars and 100 * n_upper_words <= 15 * n_words and 100 * n_word_marks <= 2 * n_words"),
+    Rule("fresh", good="n_words >= 10 and 100 * n_repeat_words <= 5 * n_words and 100 * n_dup_lines <= 10 * n_lines"),
 )
 
 
@@ -94,26 +96,40 @@ def vote(rule: Rule) -> Column:
     return F.when(F.expr(rule.bad), 0).when(F.expr(rule.good), 1).otherwise(-1)
 
 
-def expectation_maximisation(patterns: np.ndarray, weight: np.ndarray, rounds: int = 200, prior: float = 0.8) -> tuple[np.ndarray, float]:
+def start(patterns: np.ndarray) -> np.ndarray:
+    """First accuracies [rule, class, vote], votes bad, good, abstain: a rule is right more often than wrong.
+
+    A rule that never casts one of the votes has no share for it.
+    """
+    likely = np.array([[0.3, 0.1, 0.6], [0.02, 0.7, 0.28]])
+    tables = []
+    for votes in patterns.T:
+        cast = np.array([(votes == v).any() for v in (0, 1, -1)], float)
+        table = np.array([[0.3, 0.0, 0.7], [0.02, 0.0, 0.98]]) if not cast[1] else np.array([[0.0, 0.3, 0.7], [0.0, 0.8, 0.2]]) if not cast[0] else likely
+        tables.append(table + 1e-6)
+    out = np.stack(tables)
+    return out / out.sum(axis=2, keepdims=True)
+
+
+def expectation_maximisation(patterns: np.ndarray, weight: np.ndarray, rounds: int = 200, prior: float = 0.85) -> tuple[np.ndarray, float]:
     """(accuracy[rule, class, vote], share of good documents) of a two-class naive Bayes model.
 
-    patterns: [pattern, rule] votes -1, 0, 1; weight: documents of each pattern.  A pseudo-count
-    keeps each rule better than chance at the start, so that the classes keep their meaning.
+    patterns: [pattern, rule] votes -1, 0, 1; weight: documents of each pattern.  A pseudo-count of
+    the first accuracies keeps the classes' meaning.
     """
     onehot = np.stack([patterns == v for v in (0, 1, -1)], axis=2).astype(float)
-    right = np.array([[0.7, 0.1, 0.2], [0.02, 0.78, 0.2]])  # by class (bad, good): bad vote, good vote, abstain
     n = max(weight.sum(), 1.0)
-    table = np.repeat(right[None], patterns.shape[1], axis=0)
+    first = table = start(patterns)
     good = prior
     for _ in range(rounds):
         score = np.einsum("prv,rcv->pc", onehot, np.log(table)) + np.log([1 - good, good])
         post = np.exp(score - score.max(axis=1, keepdims=True))
         post /= post.sum(axis=1, keepdims=True)
         mass = post * weight[:, None]
-        counts = np.einsum("pc,prv->rcv", mass, onehot) + 0.01 * n * right[None]
+        counts = np.einsum("pc,prv->rcv", mass, onehot) + 0.02 * n * first
         new = counts / counts.sum(axis=2, keepdims=True)
         done = np.abs(new - table).max() < 1e-9
-        table, good = new, float((mass[:, 1].sum() + 0.01 * n * prior) / (1.01 * n))
+        table, good = new, float((mass[:, 1].sum() + 0.02 * n * prior) / (1.02 * n))
         if done:
             break
     return table, good

@@ -76,11 +76,11 @@ ORACLE_SQL = {
         FROM m GROUP BY doc_id""",
     "op9_near_duplicates": f"""
         WITH RECURSIVE w AS (
-          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+'), x -> x <> '') AS ws FROM documents),
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+'), lambda x: x <> '') AS ws FROM documents),
         s AS (
           SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN []
             WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-            ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END)) AS g FROM w),
+            ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS g FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
         e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_n >= 75 * (x.n + y.n - both_n)),
