@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from .common import fold, text_of
 
 WINDOW, STEP = 256, 240
 LEVEL = 6
-GRAM = 6
+GRAMS = (6, 8)
 BASE_BYTES = 49_152
 SEGMENT_BYTES = 4_096
 
@@ -36,27 +37,30 @@ def _words(text: str) -> list[bytes]:
 
 
 def _grams(words: set[bytes]) -> set[bytes]:
-    return {w[i : i + GRAM] for w in words for i in range(len(w) - GRAM + 1)}
+    return {w[i : i + k] for w in words for k in GRAMS for i in range(len(w) - k + 1)}
 
 
-def toxic_segments(toxic: list[str], ordinary: list[str], share: float = 0.02, lift: float = 15.0) -> bytes:
-    """Stretches of words whose grams occur in at least `share` of toxic texts and `lift` times as often as in ordinary ones."""
+def toxic_segments(toxic: list[str], ordinary: list[str], share: float = 0.02, least: int = 6, lift: float = 8.0) -> bytes:
+    """Stretches of words whose grams occur in at least `share` of toxic texts, `least` of them, and `lift` times as often as in ordinary ones."""
     in_toxic, in_ordinary = Counter(), Counter()
     for t in toxic:
         in_toxic.update(_grams(set(_words(t))))
+    enough = {g for g, n in in_toxic.items() if n >= max(least, share * len(toxic))}
     for t in ordinary:
-        in_ordinary.update(_grams(set(_words(t))))
-    least = max(3.0, share * len(toxic))
-    keep = {g for g, n in in_toxic.items() if n >= least and n * max(1, len(ordinary)) >= lift * len(toxic) * max(1, in_ordinary[g])}
+        in_ordinary.update(_grams(set(_words(t))) & enough)
+    keep = {g for g in enough if in_toxic[g] * max(1, len(ordinary)) >= lift * len(toxic) * max(1, in_ordinary[g])}
     found: Counter = Counter()
     for t in toxic:
         for w in set(_words(t)):
-            at = [i for i in range(len(w) - GRAM + 1) if w[i : i + GRAM] in keep]
-            while at:
-                first = last = at.pop(0)
-                while at and at[0] <= last + GRAM:
-                    last = at.pop(0)
-                found[w[first : last + GRAM]] += 1
+            inside = [False] * len(w)
+            for k in GRAMS:
+                for i in range(len(w) - k + 1):
+                    if w[i : i + k] in keep:
+                        inside[i : i + k] = [True] * k
+            for hit, stretch in groupby(range(len(w)), inside.__getitem__):
+                if hit:
+                    at = list(stretch)
+                    found[w[at[0] : at[-1] + 1]] += 1
     out = b""
     for segment, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
         if len(out) + len(segment) <= SEGMENT_BYTES:
