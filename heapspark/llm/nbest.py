@@ -18,6 +18,7 @@ from bisect import insort
 from collections.abc import Iterator
 from heapq import heappop, heappush, nsmallest
 from math import inf
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +27,15 @@ from pyspark.sql import DataFrame
 from .common import text_of
 
 SPACE = "▁"
-#: Parts that a worker remembers before it starts anew: a bound on its memory.
-MEMORY = 300_000
+#: Parts that a worker remembers before it starts anew, and those with alternatives: bounds on its memory.
+MEMORY, ALTERNATIVES = 600_000, 50_000
 #: What an unknown character costs beyond the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Scores below this only mark pieces as a last resort; such pieces count as the worst other piece.
 _LAST_RESORT = -1e8
 
-# A part: (best score, ids of the best path as bytes, ((loss, ids), ...) of the next best paths).
-Part = tuple[float, bytes, tuple[tuple[float, bytes], ...]]
-
-
-def _bytes(ids) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+# A part: (best score, ids of the best path as bytes, loss of the second best path).
+Part = tuple[float, bytes, float]
 
 
 class Lattice:
@@ -70,43 +67,56 @@ class Lattice:
         #: Every beginning of a piece: its (score, id) where it is a piece itself, else None.
         self.begun: dict[str, tuple[float, int] | None] = {p[:i]: None for p in self.scores for i in range(1, len(p))}
         self.begun.update({p: (s, self.piece_ids[p]) for p, s in self.scores.items()})
-        #: Neighbours that some piece joins.
-        self.joined = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
-        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.scores):
-            self.chunks = lambda text: [text]
-        else:
-            self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
+        self.chunks = self._cutter()
         self.known: dict[str, Part] = {}
-        self.parts: dict[str, Part] = {}
+        self.others: dict[str, list[tuple[float, bytes]]] = {}
 
-    def search(self, text: str) -> list[tuple[float, list[int]]]:
-        """The n best paths of a text in descending order of score; ties in the order of search."""
-        begun, size = self.begun, len(text)
-        best = [-inf] * (size + 1)
+    def _cutter(self):
+        """The function that cuts a text into parts that no piece crosses: words, and the marks behind them."""
+        joined = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.scores):
+            return lambda text: [text]
+        marks = "".join(m for m in ".,;:!?|%*&$#" if not any(j[1] == m and j[0].isalnum() for j in joined))
+        inner, word_end = f"[^{SPACE}\n{re.escape(marks)}]", f"[^\\W_{SPACE}\n]"
+        word = f"{SPACE}*{inner}*{word_end}(?=[{SPACE}\n{re.escape(marks)}]|$)|" if marks else ""
+        return re.compile(f"{word}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
+
+    def forward(self, text: str) -> tuple[list[float], list, list[list[tuple[int, float, int]]]]:
+        """Viterbi pass: each prefix's best score, its last edge (start, score, piece), and all edges by their end."""
+        begun, size, unknown = self.begun, len(text), self.unknown
+        best, last = [-inf] * (size + 1), [None] * (size + 1)
         best[0] = 0.0
         edges: list[list[tuple[int, float, int]]] = [[] for _ in range(size + 1)]
         for start in range(size):
             so_far, end = best[start], start + 1
             known = begun.get(text[start:end], 0)
             if not known:  # no piece of its own
-                edges[end].append((start, self.unknown, -1))
-                if so_far + self.unknown > best[end]:
-                    best[end] = so_far + self.unknown
+                edge = (start, unknown, -1)
+                edges[end].append(edge)
+                if so_far + unknown > best[end]:
+                    best[end], last[end] = so_far + unknown, edge
             while known != 0:
                 if known is not None:
                     score, piece = known
-                    edges[end].append((start, score, piece))
+                    edge = (start, score, piece)
+                    edges[end].append(edge)
                     if so_far + score > best[end]:
-                        best[end] = so_far + score
+                        best[end], last[end] = so_far + score, edge
                 end += 1
                 if end > size:
                     break
                 known = begun.get(text[start:end], 0)
+        return best, last, edges
+
+    def search(self, text: str, n: int) -> list[tuple[float, list[int]]]:
+        """The n best paths of a text in descending order of score; ties in the order of search."""
+        size = len(text)
+        best, _, edges = self.forward(text)
         found: list[tuple[float, list[int]]] = []
         # Waiting paths, best first.  A waiting path's bound is the score of a real path, and no path
         # waits twice, so no more of them need to wait than paths are still to be found.
         queue: list[tuple] = [(-best[size], 0, size, 0.0, None)]
-        tick, room = 0, self.n
+        tick, room = 0, n
         while queue and room:
             _, _, at, done, path = queue.pop(0)
             if at == 0:
@@ -132,70 +142,84 @@ class Lattice:
         return [self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown_id]
 
     def part(self, text: str) -> Part:
-        if text not in self.parts:
-            if len(self.parts) >= MEMORY:
-                self.parts.clear()
-            found = self.search(text)
-            top = found[0][0]
-            self.parts[text] = (top, _bytes(found[0][1]), tuple((top - s, _bytes(ids)) for s, ids in found[1:]))
-        return self.parts[text]
-
-    def chunk(self, text: str) -> Part:
-        """A chunk's part, put together from the parts between its cuts."""
+        """The best path, and the search's first steps back along it: what the best path beside it loses."""
         if text not in self.known:
             if len(self.known) >= MEMORY:
                 self.known.clear()
-            cuts = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joined), len(text)]
-            parts = [self.part(text[a:b]) for a, b in zip(cuts, cuts[1:])]
-            if len(parts) == 1:
-                self.known[text] = parts[0]
-            else:
-                (top, ids), *more = self.combine(parts)
-                self.known[text] = (top, ids, tuple((top - s, x) for s, x in more))
+            best, last, edges = self.forward(text)
+            at, done, second, ids = len(text), 0.0, -inf, []
+            while at:
+                taken = last[at]
+                for edge in edges[at]:
+                    if edge is not taken:
+                        bound = done + edge[1] + best[edge[0]]
+                        if bound > second:
+                            second = bound
+                at, score, piece = taken
+                done += score
+                if piece >= 0:
+                    ids.append(piece)
+                else:
+                    ids += reversed(self.fallback(text[at]))
+            ids.reverse()
+            self.known[text] = (done, pack(f"<{len(ids)}I", *ids), done - second)
         return self.known[text]
 
-    def combine(self, parts: list[Part]) -> list[tuple[float, bytes]]:
-        """The n best paths through parts one after another.
+    def alternatives(self, text: str) -> list[tuple[float, bytes]]:
+        """(loss, ids) of a part's paths beside the best one."""
+        if text not in self.others:
+            if len(self.others) >= ALTERNATIVES:
+                self.others.clear()
+            top, own, _ = self.part(text)
+            found = [(top - score, pack(f"<{len(ids)}I", *ids)) for score, ids in self.search(text, self.n)]
+            self.others[text] = [x for x in found if x[1] != own][: self.n - 1]
+        return self.others[text]
+
+    def encode(self, text: str) -> list[tuple[float, bytes]]:
+        """(score, ids) of the n best segmentations; an empty text has one, of no pieces.
 
         A path that leaves the best one in several parts is no better than each path that leaves
         it in only one of them, so the n - 1 least losses are all that can take part.
         """
-        several = [i for i, p in enumerate(parts) if p[2]]
-        if len(several) <= 1:
-            ids = b"".join([p[1] for p in parts])
-            top = sum([p[0] for p in parts])
-            if not several:
-                return [(top, ids)]
-            before, after = b"".join([p[1] for p in parts[: several[0]]]), b"".join([p[1] for p in parts[several[0] + 1 :]])
-            return [(top, ids), *((top - loss, before + x + after) for loss, x in parts[several[0]][2])]
-        best, top = [p[1] for p in parts], sum(p[0] for p in parts)
-        first = nsmallest(self.n - 1, [(parts[i][2][0][0], i) for i in several])
-        losses = nsmallest(self.n - 1, [(x[0], i, x[1]) for _, i in first for x in parts[i][2]])
-        found, queue = [(top, b"".join(best))], [(losses[0][0], (0,))] if losses else []
-        while queue and len(found) < self.n:
-            loss, chosen = heappop(queue)
-            if len({losses[j][1] for j in chosen}) == len(chosen):
-                path = list(best)
-                for j in chosen:
-                    path[losses[j][1]] = losses[j][2]
-                found.append((top - loss, b"".join(path)))
-            last = chosen[-1]
-            if last + 1 < len(losses):
-                step = losses[last + 1][0]
-                heappush(queue, (loss + step, (*chosen, last + 1)))
-                heappush(queue, (loss - losses[last][0] + step, (*chosen[:-1], last + 1)))
-        return found
-
-    def encode(self, text: str) -> list[tuple[float, bytes]]:
-        """(score, ids) of the n best segmentations; an empty text has one, of no pieces."""
         if not text:
             return [(0.0, b"")]
         chunks = self.chunks(SPACE + text.replace(" ", SPACE))
         known = self.known
         try:
-            return self.combine([known[c] for c in chunks])
+            parts = [known[c] for c in chunks]
         except KeyError:
-            return self.combine([self.chunk(c) for c in chunks])
+            parts = [self.part(c) for c in chunks]
+        top, ids, losses = sum([p[0] for p in parts]), [p[1] for p in parts], [p[2] for p in parts]
+        best = b"".join(ids)
+        found = [(top, best)]
+        some = []
+        for _ in range(self.n - 1):
+            least = min(losses)
+            if least == inf:
+                break
+            i = losses.index(least)
+            losses[i] = inf
+            some += [(loss, i, x) for loss, x in self.alternatives(chunks[i])]
+        some = nsmallest(self.n - 1, some)
+        if not some:
+            return found
+        start = {i: sum(map(len, ids[:i])) for _, i, _ in some}
+        queue = [(some[0][0], (0,))]
+        while queue and len(found) < self.n:
+            loss, chosen = heappop(queue)
+            swaps = sorted((start[some[j][1]], len(ids[some[j][1]]), some[j][2]) for j in chosen)
+            if len({at for at, _, _ in swaps}) == len(chosen):
+                at, out = 0, []
+                for first, size, x in swaps:
+                    out += [best[at:first], x]
+                    at = first + size
+                found.append((top - loss, b"".join([*out, best[at:]])))
+            last = chosen[-1]
+            if last + 1 < len(some):
+                step = some[last + 1][0]
+                heappush(queue, (loss + step, (*chosen, last + 1)))
+                heappush(queue, (loss - some[last][0] + step, (*chosen[:-1], last + 1)))
+        return found
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, without the space that encoding puts first."""

@@ -90,7 +90,7 @@ def test_nbest_is_exhaustive_search(text):
 def test_nbest_whole_lattice_equals_cut_lattice(docs):
     lat, whole = nbest.Lattice(PIECE, 4), nbest.Lattice(PIECE, 4)
     for _, text in pairs(docs)[:15]:
-        direct = whole.search(nbest.SPACE + text[:400].replace(" ", nbest.SPACE))
+        direct = whole.search(nbest.SPACE + text[:400].replace(" ", nbest.SPACE), 4)
         assert [s for s, _ in lat.encode(text[:400])] == pytest.approx([s for s, _ in direct])
 
 
