@@ -89,16 +89,16 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def _with_counts(docs: DataFrame, *keep: str) -> DataFrame:
-    """(*keep, features, counts)."""
+    """(*keep, features, counts): as little-endian 32-bit integers, which keeps a collected sample small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counts(t) for t in batch.column("text").to_pylist()]
-            cols = [pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.float64()))]
+            cols = [pa.array([x[i].astype("<i4").tobytes() for x in found], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], names=[*keep, "features", "counts"])
 
     types = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", features array<long>, counts array<double>")
+    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", features binary, counts binary")
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, rows_per_language: int = 1500, folds: int = 5, held: in
     rows = sorted(_with_counts(sample, "at", "lang").collect(), key=lambda r: r["at"])
     data = []
     for r in rows:
-        at, n = np.array(r["features"], np.int64), np.array(r["counts"])
+        at, n = np.frombuffer(r["features"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.float64)
         if len(at):
             data.append((at, tf_idf(at, n, idf), langs.index(r["lang"])))
     back = data[::5] if len(data) >= 50 else []

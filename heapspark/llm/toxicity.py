@@ -42,10 +42,13 @@ def _grams(words: set[bytes]) -> set[bytes]:
 
 def toxic_segments(toxic: list[str], ordinary: list[str], share: float = 0.02, least: int = 6, lift: float = 8.0) -> bytes:
     """Stretches of words whose grams occur in at least `share` of toxic texts, `least` of them, and `lift` times as often as in ordinary ones."""
+    need, table = max(least, share * len(toxic)), np.zeros(1 << 22, np.int32)
+    for t in toxic:  # grams by hash first, so that only frequent ones are kept as text
+        table[list({hash(g) & (len(table) - 1) for g in _grams(set(_words(t)))})] += 1
     in_toxic, in_ordinary = Counter(), Counter()
     for t in toxic:
-        in_toxic.update(_grams(set(_words(t))))
-    enough = {g for g, n in in_toxic.items() if n >= max(least, share * len(toxic))}
+        in_toxic.update(g for g in _grams(set(_words(t))) if table[hash(g) & (len(table) - 1)] >= need)
+    enough = {g for g, n in in_toxic.items() if n >= need}
     for t in ordinary:
         in_ordinary.update(_grams(set(_words(t))) & enough)
     keep = {g for g in enough if in_toxic[g] * max(1, len(ordinary)) >= lift * len(toxic) * max(1, in_ordinary[g])}
@@ -130,7 +133,7 @@ def learn(rows: list[tuple[str, int, float]]) -> Model | None:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, folds: int = 4, held: int = 2) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1500, folds: int = 4, held: int = 2) -> Model | None:
     """Learn from labelled rows outside the held-out fold.
 
     Of each class about rows_per_class labels are used, by a hash of the id (all, where there are
@@ -160,7 +163,7 @@ def predict(docs: DataFrame, model: Model | None, threshold: float = 0.3, folds:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def detect(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000) -> DataFrame:
+def detect(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1500) -> DataFrame:
     """Fit outside the held-out fold and score every whole text.
 
     Null and empty texts are scored as one empty window.  Repeated rows get equal scores;
