@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import shutil
-import tempfile
-import uuid
-import atexit
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.store import materialize, work_dir
+
+__all__ = ["documents", "fold", "materialize", "order_splits", "ship", "text_of", "work_dir"]
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -22,29 +22,6 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which driver and executors share.
-
-    Where that setting is absent (single-machine tests), a temporary folder takes its place
-    and is removed when the driver ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        local = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        base = f"file://{local}"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/heapspark-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
