@@ -85,8 +85,8 @@ ORACLE_SQL = {
         i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
         e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_n >= 75 * (x.n + y.n - both_n)),
         u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-        r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.at)
+        r AS (SELECT doc_id, doc_id AS got FROM documents UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.got)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
-        JOIN (SELECT doc_id, min(at) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
+        JOIN (SELECT doc_id, min(got) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
 }
