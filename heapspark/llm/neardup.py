@@ -23,6 +23,8 @@ HASHES = BANDS * ROWS
 LEAST_ESTIMATE = 0.55
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
+#: Components of at least so many nodes get a bound of their own against each node.
+LARGE = 32
 
 _ODD = np.random.default_rng(20_240_229).integers(0, 2**32, (2, HASHES), dtype=np.uint32)
 _MUL, _ADD = _ODD[0] | np.uint32(1), _ODD[1]
@@ -142,31 +144,45 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _emit(out)
 
 
-def _between(best: int | None):
-    """Pairs of two blocks of a bucket, in different components; `best` pairs of two components at most, or all."""
+def _between(best: int | None, percent: int):
+    """Pairs of two blocks of a bucket, in different components: of each node the `best` pairs, or all.
+
+    A pair has at most as many shingles in common as either node shares with any other one, or
+    with the other's component where that is known (near, near_n), which bounds its similarity;
+    pairs that the bound rules out are left out for certain (only where all pairs are asked for).
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for t in _groups(batches, ["bucket", "lo", "hi"]):
             if t.num_rows < 2:
                 continue
-            node, comp, block, sigs = t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("block").to_numpy(), _matrix(t)
+            node, comp, block, size, common = (t.column(c).to_numpy() for c in ("node", "comp", "block", "n", "common"))
+            sigs = _matrix(t)
+            comps, own = np.unique(comp, return_inverse=True)
+            within = np.full((t.num_rows, len(comps)), np.iinfo(np.int64).max)
+            for i, (cs, ns) in enumerate(zip(t.column("near").to_pylist(), t.column("near_n").to_pylist())):
+                for c, n in zip(cs or (), ns or ()):
+                    at = np.searchsorted(comps, c)
+                    if at < len(comps) and comps[at] == c:
+                        within[i, at] = n
             lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
             left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
             for i in left.tolist():
                 js = right[comp[right] != comp[i]]
                 if lo == hi:
                     js = js[js > i]
+                if best is None:
+                    most = np.minimum(np.minimum(common[i], common[js]), np.minimum(within[i, own[js]], within[js, own[i]]))
+                    js = js[100 * most >= percent * (size[i] + size[js] - most)]
                 if not len(js):
                     continue
                 est = estimates(sigs[i], sigs[js])
                 good = est >= LEAST_ESTIMATE
-                found = [(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j])), float(e), int(comp[j])) for j, e in zip(js[good].tolist(), est[good].tolist())]
+                found = [(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j])), float(e)) for j, e in zip(js[good].tolist(), est[good].tolist())]
                 if best is not None:
-                    found.sort(key=lambda x: -x[2])
-                    taken: dict[int, int] = {}
-                    found = [x for x in found if taken.setdefault(x[3], 0) < best and not taken.update({x[3]: taken[x[3]] + 1})]
-                out += [x[:3] for x in found]
+                    found = sorted(found, key=lambda x: (-x[2], x[0], x[1]))[:best]
+                out += found
             if len(out) > 20_000:
                 yield _emit(out)
                 out = []
@@ -179,14 +195,15 @@ _EDGE = "a long, b long, estimate double"
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, hashes) of the documents that stand for nodes."""
+    """(node, hashes) of the documents that stand for nodes; hashes ascend as unsigned numbers."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t, words).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["node", "hashes"])
+            found = [shingles(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
 
     wanted = text_of(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(build, "node long, hashes binary")
+    return wanted.mapInArrow(build, "node long, hashes array<long>")
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,8 +212,9 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            sides = [(c.values.to_numpy(zero_copy_only=False).view(np.uint64), c.offsets.to_numpy()) for c in (batch.column("x"), batch.column("y"))]
+            for i in range(batch.num_rows):
+                x, y = (v[at[i] : at[i + 1]] for v, at in sides)
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 if 100 * len(small) < percent * len(large):
                     ok.append(False)
@@ -212,6 +230,33 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
+def _common(sets: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(node, n, common) in mixed buckets: the size of a node's set, and how many of its shingles some other node there has too."""
+    sets = sets.join(mixed.select("node").distinct(), "node", "left_semi")
+    each = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node"))
+    alone = each.where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    n = F.size("hashes").cast("long")
+    return sets.join(alone, "node", "left").select("node", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("common")).groupBy("node").agg(F.max("n").alias("n"), F.max("common").alias("common"))
+
+
+def _common_with(sets: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(node, near, near_n): for each large component that shares a mixed bucket with a node, how many of the node's shingles it has.
+
+    Only such pairs of node and component are joined, each by shingle and component, so no shingle
+    is a hot key for all its nodes.
+    """
+    member = mixed.select("node", "comp").distinct()
+    large = member.groupBy(F.col("comp").alias("near")).agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") >= LARGE).select("near")
+    there = mixed.select("bucket", F.col("comp").alias("near")).distinct().join(large, "near", "left_semi")
+    asked = mixed.join(there, "bucket").where("comp <> near").select("node", "near").distinct()
+    has = sets.join(member.withColumnRenamed("comp", "near"), "node").join(large, "near", "left_semi").select("near", F.explode("hashes").alias("h")).distinct()
+    wants = asked.join(sets, "node").select("node", "near", F.explode("hashes").alias("h"))
+    # A node whose shingles the component lacks altogether has no rows in the join: its bound is 0.
+    n = wants.join(has, ["near", "h"], "left_semi").groupBy("node", "near").agg(F.count(F.lit(1)).alias("near_n"))
+    full = asked.join(n, ["node", "near"], "left").select("node", F.struct("near", F.coalesce("near_n", F.lit(0)).alias("n")).alias("x"))
+    return full.groupBy("node").agg(F.collect_list("x").alias("xs")).select("node", F.col("xs.near").alias("near"), F.col("xs.n").alias("near_n"))
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, comp) for every node in links (a, b): comp is the least node that it reaches.
 
@@ -240,10 +285,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
     Candidates are nodes that share a band.  First each bucket's least node meets the others, and
     each node keeps its best such pair; confirmed pairs give components, which settle most
     buckets.  Buckets that still hold several components are compared block by block on packed
-    signatures, skipping pairs of one component: first the best pairs between two components,
-    then all that are left.  So no bucket is capped, a bucket of one component costs nothing, and
-    every pair that shares a band is either in one component, or below the estimate's bound, or
-    checked on full sets.
+    signatures, skipping pairs of one component: twice each node's best pair, and then all pairs that
+    are left but for those that too few shared shingles rule out.  So no bucket is capped, a
+    bucket of one component costs nothing, and every pair that shares a band is either in one
+    component, or below the estimate's bound, or ruled out or checked on full sets.
 
     Null or empty texts, and texts of white space alone, have no shingles and are linked with
     nothing.  Rows with a null id are linked with nothing and kept.  Repeated rows have equal
@@ -266,15 +311,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
     links = materialize(_confirmed(best.select("a", "b"), sets, percent), "links")
     comp = components(links)
 
-    for best_pairs in (2, None):
+    for best_pairs in (1, 1, None):
         labelled = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
+        labelled = materialize(labelled.join(mixed, "bucket"), "mixed")
+        rows = labelled.join(sig, "node")
+        if best_pairs is None:
+            rows = rows.join(_common(sets, labelled), "node").join(_common_with(sets, labelled), "node", "left")
+        else:
+            rows = rows.selectExpr("*", "0L as n", "0L as common", "cast(null as array<long>) as near", "cast(null as array<long>) as near_n")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        part = labelled.join(mixed, "bucket").join(sig, "node").select("bucket", "node", "comp", "sig", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        part = rows.select("bucket", "node", "comp", "n", "common", "near", "near_n", "sig", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         part = part.select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).drop("other")
         dealt = part.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
-        pairs = dealt.mapInArrow(_between(best_pairs), _EDGE).select("a", "b").distinct()
+        pairs = dealt.mapInArrow(_between(best_pairs, percent), _EDGE).select("a", "b").distinct()
         more = materialize(_confirmed(pairs, sets, percent), "links")
         if not more.isEmpty():
             links = links.union(more)
