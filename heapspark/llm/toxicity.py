@@ -1,18 +1,20 @@
-"""Toxicity by compression distance: which of two zstandard dictionaries suits a text's windows better.
+"""Toxicity by compression distance: which of two dictionaries suits a text's windows better.
 
-Both dictionaries end with the same base, trained on ordinary text.  Before it, the toxic one
-holds segments learnt from toxic text (what is frequent there and rare in ordinary text), the
-ordinary one as many neutral bytes; so equal offsets cost equally, and a window's two compressed
-lengths differ only by what the toxic segments explain.  A logistic model, fitted on documents that
-neither dictionary was trained on, calibrates the differences to a probability.
+Both dictionaries end with the same base, trained by zstandard on ordinary text.  Before it, the
+toxic one holds a lexicon learnt from whole toxic texts (what is frequent there and rare in ordinary
+text), the ordinary one as many neutral bytes; so equal offsets cost equally, and a window's two
+compressed lengths differ only by what the lexicon explains.  A logistic model, fitted on documents
+that neither dictionary was made from, calibrates the differences to a probability.
+
+The toxic side is not trained by zstandard: a dictionary of toxic windows beside one of ordinary
+windows (`trained_pair`) measures worse; the README has both variants' figures.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,65 +25,94 @@ from .common import fold, text_of
 
 WINDOW, STEP = 256, 240
 LEVEL = 6
-GRAMS = (6, 8)
-BASE_BYTES = 49_152
+#: Bytes of the grams whose frequencies decide; they run across words, so short words and phrases count.
+GRAMS = (4, 6, 8)
+#: Toxic texts that a gram must be in.  Each is tried, none (1) too; the calibration rows choose.
+LEASTS = (1, 2, 3, 4, 6, 9, 14, 20, 30, 45, 70, 100, 150, 220, 330, 500)
+#: How many times as frequent in toxic texts as in ordinary ones a gram must be.
+LIFT = 8.0
+#: Bytes of the lexicon; stretches of more toxic texts come first, then longer ones.
 SEGMENT_BYTES = 4_096
+#: Bytes of the common base.
+BASE_BYTES = 49_152
+_BITS = 24
+_M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def windows(raw: bytes, size: int = WINDOW, step: int = STEP) -> list[bytes]:
     return [raw[i : i + size] for i in range(0, max(1, len(raw) - (size - step)), step)]
 
 
-def _words(text: str) -> list[bytes]:
-    return [b" " + w for w in text.encode("utf-8", "surrogatepass").split()]
-
-
-def _grams(words: set[bytes]) -> set[bytes]:
-    return {w[i : i + k] for w in words for k in GRAMS for i in range(len(w) - k + 1)}
-
-
-def toxic_segments(toxic: list[str], ordinary: list[str], share: float = 0.02, least: int = 6, lift: float = 8.0) -> bytes:
-    """Stretches of words whose grams occur in at least `share` of toxic texts, `least` of them, and `lift` times as often as in ordinary ones."""
-    need, table = max(least, share * len(toxic)), np.zeros(1 << 22, np.int32)
-    for t in toxic:  # grams by hash first, so that only frequent ones are kept as text
-        table[list({hash(g) & (len(table) - 1) for g in _grams(set(_words(t)))})] += 1
-    in_toxic, in_ordinary = Counter(), Counter()
-    for t in toxic:
-        in_toxic.update(g for g in _grams(set(_words(t))) if table[hash(g) & (len(table) - 1)] >= need)
-    enough = {g for g, n in in_toxic.items() if n >= need}
-    for t in ordinary:
-        in_ordinary.update(_grams(set(_words(t))) & enough)
-    keep = {g for g in enough if in_toxic[g] * max(1, len(ordinary)) >= lift * len(toxic) * max(1, in_ordinary[g])}
-    found: Counter = Counter()
-    for t in toxic:
-        for w in set(_words(t)):
-            inside = [False] * len(w)
-            for k in GRAMS:
-                for i in range(len(w) - k + 1):
-                    if w[i : i + k] in keep:
-                        inside[i : i + k] = [True] * k
-            for hit, stretch in groupby(range(len(w)), inside.__getitem__):
-                if hit:
-                    at = list(stretch)
-                    found[w[at[0] : at[-1] + 1]] += 1
-    out = b""
-    for segment, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if len(out) + len(segment) <= SEGMENT_BYTES:
-            out += segment
-    return out
-
-
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def _line(text: str) -> bytes:
+    """The whole text, each run of white space as one blank."""
+    return b" " + b" ".join(text.encode("utf-8", "surrogatepass").split()) + b" "
+
+
+def _slots(raw: bytes, k: int) -> np.ndarray:
+    """Slot of the count table for each gram of k bytes."""
+    a = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+    n = max(0, len(a) - k + 1)
+    h = np.full(n, np.uint64(k))
+    for i in range(k):
+        h = (h ^ a[i : i + n]) * _M
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
+def _counts(lines: list[bytes], grams: Sequence[int]) -> np.ndarray:
+    """Texts with a gram, by slot; grams are not kept as text."""
+    table = np.zeros(1 << _BITS, np.int32)
+    for x in lines:
+        table[np.unique(np.concatenate([_slots(x, k) for k in grams]))] += 1
+    return table
+
+
+def lexicons(toxic: list[str], ordinary: list[str], leasts: Sequence[int] = LEASTS, grams: Sequence[int] = GRAMS, lift: float = LIFT, size: int = SEGMENT_BYTES) -> Iterator[bytes]:
+    """For each of leasts: stretches of toxic texts whose grams occur in so many of them, and `lift` times as often as in ordinary ones."""
+    lines = [_line(t) for t in toxic]
+    seen, other = _counts(lines, grams), _counts([_line(t) for t in ordinary], grams)
+    rare = seen * float(max(1, len(ordinary))) >= lift * len(toxic) * np.maximum(1, other)
+    if not rare.any():  # too few ordinary texts for that lift: all that they lack
+        rare = (seen > 0) & (other == 0)
+    for least in leasts:
+        keep, found = rare & (seen >= least), Counter()
+        for x in lines:
+            edge = np.zeros(len(x) + 1, np.int32)
+            for k in grams:
+                at = np.flatnonzero(keep[_slots(x, k)])
+                edge[at] += 1
+                edge[at + k] -= 1
+            ends = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(edge) > 0]).astype(np.int8)))
+            found.update({x[i:j] for i, j in zip(ends[::2], ends[1::2])})
+        out = b""
+        for segment, _ in sorted(found.items(), key=lambda f: (-f[1], -len(f[0]), f[0])):
+            if len(out) + len(segment) <= size:
+                out += segment
+        yield out
+
+
+def trained(texts: list[str], size: int) -> bytes:
+    """A zstandard dictionary of the texts' windows; of too little text, the text itself."""
+    samples = [w for t in texts for w in windows(t.encode("utf-8", "surrogatepass"), 128, 128)]
+    try:
+        return zstandard.train_dictionary(size, samples, k=32, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
+
+
+def _compressor(content: bytes, kind: int = zstandard.DICT_TYPE_RAWCONTENT) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(content, dict_type=kind)
     d.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 @dataclass
 class Model:
-    segments: bytes
-    base: bytes
+    toxic: bytes  # dictionary contents
+    ordinary: bytes
     weights: np.ndarray  # of features() and a constant
+    kind: int = zstandard.DICT_TYPE_RAWCONTENT
+    least: int = 0  # toxic texts that a gram of the lexicon is in
     _pair: tuple | None = None
 
     def __getstate__(self):
@@ -90,7 +121,7 @@ class Model:
     def features(self, text: str) -> np.ndarray:
         """Mean and summed gain of the toxic dictionary over the windows of a text, its greatest gain, its mean loss."""
         if self._pair is None:
-            self._pair = (_compressor(self.segments + self.base), _compressor(bytes(len(self.segments)) + self.base))
+            self._pair = (_compressor(self.toxic, self.kind), _compressor(self.ordinary, self.kind))
         toxic, ordinary = self._pair
         d = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows(text.encode("utf-8", "surrogatepass"))], float)
         gain = np.clip(d, 0, None)
@@ -114,23 +145,40 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
-def learn(rows: list[tuple[str, int, float]]) -> Model | None:
-    """From (text, toxic, weight) rows in random order: two thirds train the dictionaries, the rest calibrates."""
+def _calibrate(model: Model, rest: list[tuple[str, int, float]]) -> float:
+    """Set the weights from rows that the dictionaries did not see; the mean loss there."""
+    x = np.stack([model.features(t) for t, _, _ in rest])
+    y, weight = np.array([y for _, y, _ in rest], float), np.array([w for _, _, w in rest])
+    model.weights = logistic(x, y, weight)
+    p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
+    return float(-(weight * np.where(y == 1, np.log(p), np.log1p(-p))).sum() / weight.sum())
+
+
+def learn(rows: list[tuple[str, int, float]], leasts: Sequence[int] = LEASTS, grams: Sequence[int] = GRAMS, lift: float = LIFT, segment_bytes: int = SEGMENT_BYTES, base_bytes: int = BASE_BYTES, trained_pair: bool = False) -> Model | None:
+    """From (text, toxic, weight) rows in random order: two thirds make the dictionaries, the rest calibrates.
+
+    Of the lexicons of `leasts`, the one with the least loss on the rest is taken.  trained_pair: one
+    zstandard dictionary of base_bytes of toxic windows and one of ordinary windows, without a lexicon.
+    """
     train, rest = [r for i, r in enumerate(rows) if i % 3], rows[::3]
     toxic, ordinary = [t for t, y, _ in train if y], [t for t, y, _ in train if not y]
     if not toxic or not ordinary:
         return None
-    segments = toxic_segments(toxic, ordinary)
-    samples = [w for t in ordinary for w in windows(t.encode("utf-8", "surrogatepass"), 128, 128)][:40_000]
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, samples, k=32, d=8).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        base = b"".join(samples)[:BASE_BYTES]
-    model = Model(segments, base, np.zeros(6))
-    x = np.stack([model.features(t) for t, _, _ in rest])
-    y, weight = np.array([y for _, y, _ in rest], float), np.array([w for _, _, w in rest])
-    model.weights = logistic(x, y, weight)
-    return model
+    base = trained(ordinary, base_bytes)
+    if trained_pair:
+        model = Model(trained(toxic, base_bytes), base, np.zeros(6), zstandard.DICT_TYPE_AUTO)
+        _calibrate(model, rest)
+        return model
+    best, loss, before = None, float("inf"), None
+    for least, segments in zip(leasts, lexicons(toxic, ordinary, leasts, grams, lift, segment_bytes)):
+        if segments == before or not segments and best is not None:
+            continue
+        before = segments
+        model = Model(segments + base, bytes(len(segments)) + base, np.zeros(6), least=least)
+        now = _calibrate(model, rest)
+        if now < loss:
+            best, loss = model, now
+    return best
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1500, folds: int = 4, held: int = 2) -> Model | None:

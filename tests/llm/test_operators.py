@@ -403,6 +403,21 @@ def test_toxicity_edge(spark, edge, none):
     assert toxicity.detect(none, labels).count() == 0
 
 
+def test_toxicity_few_and_short():
+    """Few toxic texts, words of four bytes or fewer and phrases of common words are learnt."""
+    rng = np.random.default_rng(3)
+    common_words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)] + ["get", "out", "now"]
+    plain = [" ".join(rng.choice(common_words, 40)) for _ in range(90)]
+    for mark in ("zqx", "get out now get out"):
+        bad = [f"{t[:120]} {mark} {t[120:]}" for t in (" ".join(rng.choice(common_words, 40)) for _ in range(6))]
+        lexicon = b"".join(toxicity.lexicons(bad[:4], plain, leasts=(4,)))
+        assert mark.encode() in lexicon
+        rows = [(t, 0, 1.0) for t in plain[:60]]
+        rows[1:1] = [(t, 1, 1.0) for t in bad[:5]]
+        model = toxicity.learn(rows)
+        assert min(model.score(t) for t in bad) > max(0.0, np.mean([model.score(t) for t in plain[60:]]))
+
+
 # --- 9: near duplicates
 
 
