@@ -418,6 +418,15 @@ def test_toxicity_few_and_short():
         assert min(model.score(t) for t in bad) > max(0.0, np.mean([model.score(t) for t in plain[60:]]))
 
 
+def test_toxicity_trained_pair():
+    """The variant with one trained dictionary a class, which the README compares."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"{c}{i * 37 % 101}x" for i in range(80)], 200)) for c in "pt" for _ in range(40)]
+    rows = [(t, i % 2, 1.0) for i, t in enumerate(x for pair in zip(texts[:40], texts[40:]) for x in pair)]
+    model = toxicity.learn(rows, trained_pair=True, base_bytes=2048)
+    assert model.toxic != model.ordinary and min(model.score(t) for t in texts[40:]) > max(model.score(t) for t in texts[:40])
+
+
 # --- 9: near duplicates
 
 
