@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import unicodedata
 
 import duckdb
 import pytest
@@ -276,3 +277,11 @@ def test_streaming_histogram(spark, sf, tmp_path):
 
 def test_every_query_has_sql_or_a_reason():
     assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"pie_biggest_objects", "accumulation_points"}
+
+
+def test_export_redacted_all(spark, tmp_path):
+    texts = [None, "", "plain 12", "déjà vu — ça?", "Straße 9\nnächste", "日本 テキスト 🙂 ½ Ⅷ", "e\u0301 ’quote’", "٣ ж"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in queries.QUERIES["export_redacted_all"](spark, str(tmp_path)).collect()}
+    want = {i: None if t is None else "".join("*" if unicodedata.category(c)[0] in "LN" else c for c in t) for i, t in enumerate(texts)}
+    assert got == want
