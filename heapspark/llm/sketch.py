@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import order_splits, text_of
 
 #: Code points of a shingle; a shorter text is one shingle.
-WIDTH = 16
-#: The share of the hash range that is kept.
-FRACTION = 1 / 16
+WIDTH = 8
+#: The share of the hash range that is kept.  A text of n code points keeps none with odds of (1 - FRACTION) ** max(1, n - WIDTH + 1).
+FRACTION = 1 / 4
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 

@@ -365,6 +365,22 @@ def test_sketch_estimates_containment():
     assert sketch.sketch("").size == 0 and (sketch.sketch("abc") == sketch.sketch("abc")).all()
 
 
+def test_fingerprints_of_short_texts(spark):
+    """Texts of all lengths from 24 code points on keep hashes that tell an edited text from another one."""
+    rng = np.random.default_rng(7)
+    common.ship(spark)
+    texts = ["".join(rng.choice(list("abcdefghijklmnop "), n)) for n in range(24, 224)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(sketch.fingerprints(df))
+    assert np.mean([r["near_edited"] > r["near_next"] for r in got]) > 0.97
+    assert np.mean([r["fingerprint"] != "" for r in got]) > 0.99
+
+
+def test_fingerprints_all_lengths(docs):
+    got = rows(sketch.fingerprints(docs))
+    assert np.mean([r["near_edited"] > r["near_next"] for r in got]) > 0.95
+
+
 def test_fingerprints_empty(none):
     assert sketch.fingerprints(none).count() == 0
 
