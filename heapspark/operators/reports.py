@@ -41,26 +41,26 @@ def list_objects(snap: Snapshot, ids: DataFrame, inbound: bool = False) -> DataF
 
 
 @command
-def path2gc(snap: Snapshot, target: int, paths: int = 30, max_length: int = 100) -> DataFrame:
+def path2gc(snap: Snapshot, target: int, paths: int = 30, max_length: int | None = None) -> DataFrame:
     """(path, length): up to `paths` simple paths from roots to one object, shortest first, least ids first.
 
-    Walks back level by level; a level keeps the least `paths` unfinished walks, as a report does.
+    Walks back level by level over objects that roots reach, all unfinished walks at once, until enough
+    paths are found; only the final list is limited.  The walks of a level can be many where paths branch
+    and meet again.
     """
     spark = snap.objects.sparkSession
-    back = snap.refs.select(F.col("dst_id").alias("at"), F.col("src_id").alias("up")).distinct()
+    reached = materialize(graph.breadth_first(snap.refs, snap.roots).select(F.col("object_id").alias("up")), "reached")
+    back = snap.refs.select(F.col("dst_id").alias("at"), F.col("src_id").alias("up")).distinct().join(reached, "up", "left_semi")
     roots = snap.roots.select(F.col("object_id").alias("at"), F.lit(True).alias("root")).distinct()
     walks = spark.createDataFrame([([target], target)], "path array<long>, at long")
     done: list[DataFrame] = []
     found = 0
-    for _ in range(max_length):
+    while max_length is None or len(done) < max_length:
         here = materialize(walks.join(roots, "at", "left"), "walks")
         done.append(here.where("root").select("path", F.size("path").alias("length")))
         found += done[-1].count()
-        if found >= paths:
-            break
-        step = here.where("root is null").join(back, "at").where(~F.array_contains("path", F.col("up")))
-        walks = step.select(F.concat(F.array("up"), "path").alias("path"), F.col("up").alias("at")).orderBy("path").limit(paths * 10)
-        if walks.isEmpty():
+        walks = here.where("root is null").join(back, "at").where(~F.array_contains("path", F.col("up"))).select(F.concat(F.array("up"), "path").alias("path"), F.col("up").alias("at"))
+        if found >= paths or walks.isEmpty():
             break
     return reduce(DataFrame.union, done).orderBy("length", "path").limit(paths)
 

@@ -26,6 +26,13 @@ def test_paths(spark, snap):
     assert reports.path2gc(snap, 4, paths=1).count() == 1
 
 
+def test_paths_past_many_referrers(spark, snap):
+    """Only the greatest of 400 referrers is reached from a root; the others lead nowhere."""
+    edges = [(i, 1, "f") for i in range(100, 500)] + [(i + 1000, i, "f") for i in range(100, 499)] + [(0, 499, "f")]
+    wide = Snapshot(snap.objects, snap.classes, spark.createDataFrame(edges, "src_id long, dst_id long, name string"), snap.roots)
+    assert [r["path"] for r in reports.path2gc(wide, 1).collect()] == [[0, 499, 1]]
+
+
 def test_linked_queue(spark, snap):
     got = sorted((r["object_id"], r["at"], r["referent"]) for r in reports.linked_queue(snap, ids(spark, 3)).collect())
     assert got == [(3, 0, None), (4, 1, 8), (5, 2, None), (6, 3, None), (7, 4, None)]
