@@ -89,3 +89,16 @@ def row_sets(a: Column, b: Column, op: str) -> Column:
         "INTERSECTION": F.array_intersect(a, b), "UNION": F.array_union(a, b), "DIFFERENCE": F.array_except(a, b), "REVERSE_DIFFERENCE": F.array_except(b, a),
         "SYMMETRIC_DIFFERENCE": F.array_union(F.array_except(a, b), F.array_except(b, a)), "ALL": F.concat(a, b), "NONE": F.array().cast("array<long>"),
     }[op])
+
+
+def set_totals(a: DataFrame, b: DataFrame, key: str, member: str, op: str) -> DataFrame:
+    """(key, n, total): number and sum of the members that a set operation on two tables leaves of each key.
+
+    Sides are flags of (key, member) groups, so no group meets in one row.
+    """
+    sides = [t.select(key, member, *[F.lit(side == i).alias(f"in_{i}") for i in (0, 1)]) for side, t in enumerate((a, b))]
+    met = sides[0].unionByName(sides[1]).groupBy(key, member).agg(F.max("in_0").alias("in_0"), F.max("in_1").alias("in_1"))
+    x, y = F.col("in_0"), F.col("in_1")
+    keep = {"INTERSECTION": x & y, "UNION": x | y, "DIFFERENCE": x & ~y, "REVERSE_DIFFERENCE": y & ~x, "SYMMETRIC_DIFFERENCE": x != y}[op]
+    own = F.when(keep, F.col(member))
+    return met.groupBy(key).agg(F.count(own).alias("n"), F.coalesce(F.sum(own), F.lit(0)).cast("long").alias("total"))

@@ -189,9 +189,8 @@ def array_slice(s, d):
 @query("""SELECT o_custkey, unnest(list(o_orderkey ORDER BY o_orderkey)) AS k FROM orders GROUP BY o_custkey
           UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def subselect_flatten(s, d):
-    own = table(s, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
-    all_of = table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")).join(own, "o_custkey", "left")
-    return scans.flatten(all_of, ["o_custkey"], "k")
+    own = table(s, d, "orders").select("o_custkey", F.col("o_orderkey").alias("k"))
+    return table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")).join(own, "o_custkey", "left")
 
 
 @query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey UNION ALL SELECT NULL, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
@@ -376,9 +375,8 @@ def _set_query(op: str, sql: str):
 
     def run(s, d):
         c = table(s, d, "customer")
-        sides = [c.where(w).groupBy(F.col("c_nationkey").alias("key")).agg(quantize.context("c_custkey").alias(n)) for w, n in (("c_acctbal > 0", "a"), ("c_mktsegment < 'F'", "b"))]
-        ids = compare.row_sets(F.col("a"), F.col("b"), op)
-        return sides[0].join(sides[1], "key", "full").select("key", ids.alias("ids")).select("key", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda x, y: x + y).alias("total"))
+        sides = [c.where(w).select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("id")) for w in ("c_acctbal > 0", "c_mktsegment < 'F'")]
+        return compare.set_totals(*sides, "key", "id", op)
 
     run.__name__ = f"setop_{op.lower()}"
     query(sql)(run)
@@ -624,7 +622,8 @@ def array_fill_ratio(s, d):
           SELECT len(xs)::BIGINT AS length, list_min(xs)::BIGINT AS value, count(*)::BIGINT AS arrays FROM a WHERE list_min(xs) = list_max(xs) GROUP BY 1, 2""")
 def constant_arrays(s, d):
     lines = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", F.col("l_linenumber").cast("long").alias("x"), "l_orderkey").distinct()
-    return inspections.primitive_arrays_with_a_constant_value(lines.groupBy("o_custkey").agg(F.collect_list("x").alias("xs")), "xs")
+    per = lines.groupBy("o_custkey").agg(F.count("x").alias("length"), F.min("x").alias("value"), F.max("x").alias("most"))
+    return per.where(F.col("value") == F.col("most")).groupBy("length", "value").agg(quantize.count().alias("arrays"))
 
 
 @query("SELECT event_id, 'k' AS key, (props->>'$.k')::BIGINT AS value FROM events")

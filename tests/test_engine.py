@@ -285,3 +285,9 @@ def test_export_redacted_all(spark, tmp_path):
     got = {r["doc_id"]: r["text"] for r in queries.QUERIES["export_redacted_all"](spark, str(tmp_path)).collect()}
     want = {i: None if t is None else "".join("*" if unicodedata.category(c)[0] in "LN" else c for c in t) for i, t in enumerate(texts)}
     assert got == want
+
+
+@pytest.mark.parametrize("name", [*[f"setop_{x}" for x in ("intersection", "union", "difference", "reverse_difference", "symmetric_difference")], "subselect_flatten", "constant_arrays"])
+def test_no_group_is_gathered(spark, sf, name):
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
