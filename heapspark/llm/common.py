@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..plans.store import materialize, work_dir
+from ..plans.store import discard, free_name, join_counted, materialize, work_dir
 
-__all__ = ["documents", "fold", "materialize", "order_splits", "ship", "text_of", "work_dir"]
+__all__ = ["discard", "documents", "fold", "free_name", "hash_below", "join_counted", "materialize", "order_splits", "ship", "slices", "text_hash", "text_of", "work_dir"]
+
+#: Bytes of text that a worker turns into Python strings at once.
+SLICE_BYTES = 4 << 20
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -32,20 +39,41 @@ def text_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def text_hash() -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that none has more than `most` bytes of text, but for single longer texts."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def fold(doc_id: str, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(k)
 
 
-def order_splits(docs: DataFrame, rows_per_part: int) -> list[int]:
-    """Ids that cut doc_id, descending, into parts of about rows_per_part rows; the greatest id first.
+def hash_below(h: Column, wanted: int, n: int) -> Column:
+    """True for about `wanted` of n rows, by their 64-bit hash: a threshold as fine as the hash, so it holds at any n."""
+    return F.lit(True) if wanted >= n else h < F.lit(-(2**63) + (2**64 * wanted) // n)
+
+
+def order_splits(docs: DataFrame, rows_per_part: int, most: int) -> list[int]:
+    """Ids that cut doc_id, descending, into parts of about rows_per_part rows, `most` parts at most; the greatest id first.
 
     Every split is an id that occurs.  One pass over the id column; the list has one entry per part.
     """
     n, top = docs.agg(F.count("doc_id"), F.max("doc_id")).first()
     if not n:
         return []
-    parts = max(1, -(-n // rows_per_part))
+    parts = min(most, max(1, -(-n // rows_per_part)))
     if parts == 1:
         return [top]
     at = [i / parts for i in range(1, parts)]
