@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import order_splits, text_of
+from .common import order_splits, slices, text_of
 
 #: Code points of a shingle; a shorter text is one shingle.
 WIDTH = 8
@@ -75,19 +75,20 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def fingerprints(docs: DataFrame, rows_per_part: int = 2048) -> DataFrame:
+def fingerprints(docs: DataFrame, rows_per_part: int = 2048, most_parts: int = 65_536) -> DataFrame:
     """Fingerprint each text and its edited text, which continues with the next document's start.
 
     The next document is the one that follows in descending doc_id; after the last comes the
     first.  Documents are dealt by ranges of doc_id, whose bounds are ids that occur; the first
     document of each range is also sent to the range before it (the very first to the last), so
     each task finds every successor among its own sorted rows.  One shuffle of the texts, no
-    window over all rows.
+    window over all rows.  There are at most most_parts ranges (their bounds are all that the driver
+    holds); beyond most_parts * rows_per_part documents a range has more rows, in sorted order.
 
     Null text: empty.  An empty text's fingerprint is empty.  Rows with one id follow each other
     by text.  Null ids come last.  A lone document follows itself.  An empty table gives no rows.
     """
-    splits = np.array(order_splits(docs, rows_per_part)[::-1], dtype=np.int64)  # ascending
+    splits = np.array(order_splits(docs, rows_per_part, most_parts)[::-1], dtype=np.int64)  # ascending
     k = max(1, len(splits))
 
     @F.pandas_udf("int")
@@ -96,11 +97,11 @@ def fingerprints(docs: DataFrame, rows_per_part: int = 2048) -> DataFrame:
         return pd.Series((k - 1 - at).astype("int32"))
 
     base = text_of(docs).withColumn("part", part_of(F.coalesce(F.col("doc_id"), F.lit(-(2**63)))))
-    heads = F.col("doc_id").isin(*splits.tolist()) if len(splits) else F.lit(True)
+    heads = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": splits}), "doc_id long")  # at most most_parts rows
     before = F.when(F.col("part") == 0, k - 1).otherwise(F.col("part") - 1)
-    ahead = base.where(heads).groupBy("doc_id", before.alias("part")).agg(F.min("text").alias("text"))
+    ahead = base.join(F.broadcast(heads), "doc_id", "left_semi").groupBy("doc_id", before.alias("part")).agg(F.min("text").alias("text"))
     both = base.withColumn("ahead", F.lit(0)).unionByName(ahead.withColumn("ahead", F.lit(1)))
-    dealt = both.repartition(k, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = both.repartitionById(k, F.col("part")).sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # part, doc_id, text, sketch of the row that awaits its successor
@@ -111,7 +112,7 @@ def fingerprints(docs: DataFrame, rows_per_part: int = 2048) -> DataFrame:
             new = own if other == text else sketch(other)
             return (doc, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(new), likeness(own, new, other == text), likeness(own, following[3], text == following[2]))
 
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for part, doc, text, ahead in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text", "ahead"))):
                 row = (part, doc, text, sketch(text))
