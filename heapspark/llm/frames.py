@@ -21,7 +21,7 @@ import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize, text_of, work_dir
+from .common import materialize, slices, text_of, work_dir
 from .tokens import encoder
 
 # Fixed values of the public format.
@@ -48,11 +48,15 @@ class FrameWriter:
         self.table: list[tuple[int, int, int]] = []
         self.ids: list[int] = []
         self.counts: list[int] = []
+        self.tokens = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> (8 * self.width):
+            raise ValueError(f"id {int(ids.max())} does not fit {self.width} bytes")
         raw = ids.astype(f"<u{self.width}").tobytes()
         self.ids.append(_NULL if doc_id is None else doc_id)
         self.counts.append(len(ids))
+        self.tokens += len(ids)
         for at in range(0, len(raw), self.frame_bytes) or (0,):
             part = raw[at : at + self.frame_bytes]
             if self.held_bytes + len(part) > self.frame_bytes:
@@ -126,33 +130,52 @@ class FrameReader:
         return [self.document(i) for i in range(*np.searchsorted(self.ids, [doc_id, doc_id + 1]).tolist())]
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, words: bool = True, width: int = 2) -> DataFrame:
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes that every id of the tokenizer fits: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    top = max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+    return 2 if top < 1 << 16 else 4
+
+
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, words: bool = True, width: int | None = None, file_docs: int = 200_000, file_tokens: int = 1 << 28) -> DataFrame:
     """Encode whole texts and write them, in ascending doc_id order, as files in folder.
 
-    Returns the manifest (path, first_id, n_docs, n_tokens), one row per file.  A task writes one
-    file under a name of its own, so a task that is run again leaves no half-written file in the
-    manifest.  Rows with one id stay in one file.  Null ids come first.
+    Returns the manifest (path, part, first_id, n_docs, n_tokens), one row per file.  A task writes one
+    file after another, each closed at file_docs documents or file_tokens ids, under names of its own,
+    so a task that is run again leaves no half-written file in the manifest.  The order of files is that of
+    (first_id, part).  Null ids come first.  width: bytes of an id, by default what the tokenizer's
+    largest id needs; an id that does not fit is an error.
     """
+    width = width or id_width(tokenizer, end_id)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, writer, path = encoder(tokenizer, words), None, f"{folder}/part-{uuid.uuid4().hex}.zst"
-        for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id").to_pylist()
-            for at in range(0, len(ids), 256):
-                for doc, raw in zip(ids[at : at + 256], enc.encode(texts[at : at + 256].to_pylist())):
-                    if writer is None:
-                        where, name = _open(path)
-                        where.create_dir(name.rpartition("/")[0], recursive=True)
-                        sink, first = where.open_output_stream(name, compression=None), doc
-                        writer = FrameWriter(sink, width)
-                    writer.add(doc, np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
-        if writer is not None:
+        enc, writer, part = encoder(tokenizer, words), None, 0
+
+        def closed() -> pa.RecordBatch:
             writer.close()
             sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([len(writer.ids)], pa.int64()), pa.array([sum(writer.counts)], pa.int64())], names=["path", "first_id", "n_docs", "n_tokens"])
+            cols = ([path], [part], [first], [len(writer.ids)], [writer.tokens])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["path", "part", "first_id", "n_docs", "n_tokens"])
+
+        for batch in slices(batches, most=1 << 20):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
+                if writer is None:
+                    path = f"{folder}/part-{uuid.uuid4().hex}.zst"
+                    where, name = _open(path)
+                    where.create_dir(name.rpartition("/")[0], recursive=True)
+                    sink, first = where.open_output_stream(name, compression=None), doc
+                    writer = FrameWriter(sink, width)
+                writer.add(doc, np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
+                if len(writer.ids) >= file_docs or writer.tokens >= file_tokens:
+                    yield closed()
+                    writer, part = None, part + 1
+        if writer is not None:
+            yield closed()
 
     ordered = text_of(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInArrow(put, "path string, first_id long, n_docs long, n_tokens long")
+    return ordered.mapInArrow(put, "path string, part long, first_id long, n_docs long, n_tokens long")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -171,7 +194,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(reader.starts[at:upto] + base), pa.array(reader.counts[at:upto]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # One row per file: the running total over files is small.
-    before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "part").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("base"))
     files = max(1, manifest.count())
     return based.repartition(files, "path").mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
