@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold
+from .common import fold, hash_below, slices
 
 #: Hashed features; a prime, so that codes spread.
 FEATURES = 8191
@@ -20,6 +20,8 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+").sub
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(features, counts) of the 1- to 3-grams of a text's letters; both empty without letters."""
     letters = _NOT_LETTERS(" ", text.lower()).strip()
+    if not letters.replace(" ", "").isalpha():  # digits and numerals that are word characters, such as superscripts
+        letters = " ".join("".join(c if c.isalpha() else " " for c in letters).split())
     if not letters:
         return np.zeros(0, np.int64), np.zeros(0)
     c = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -92,7 +94,7 @@ def _with_counts(docs: DataFrame, *keep: str) -> DataFrame:
     """(*keep, features, counts): as little-endian 32-bit integers, which keeps a collected sample small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [counts(t) for t in batch.column("text").to_pylist()]
             cols = [pa.array([x[i].astype("<i4").tobytes() for x in found], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], names=[*keep, "features", "counts"])
@@ -106,7 +108,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FEATURES + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 total[counts(text)[0]] += 1
                 total[FEATURES] += 1
@@ -134,10 +136,10 @@ def fit(docs: DataFrame, rows_per_language: int = 1500, folds: int = 5, held: in
     langs = sorted(per)
     df = document_frequencies(labelled)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    share = F.lit(0)
+    below = F.lit(False)
     for lang, n in per.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, rows_per_language / n) * 1_000_000)).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share).withColumn("at", F.xxhash64("doc_id", F.lit("order")))
+        below = F.when(F.col("lang") == lang, hash_below(F.xxhash64("doc_id", F.lit("language")), rows_per_language, n)).otherwise(below)
+    sample = labelled.where(below).withColumn("at", F.xxhash64("doc_id", F.lit("order")))
     rows = sorted(_with_counts(sample, "at", "lang").collect(), key=lambda r: r["at"])
     data = []
     for r in rows:
@@ -159,7 +161,7 @@ def predict(docs: DataFrame, model: Model | None, folds: int = 5, held: int = 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             lang, score = [], []
             for text in batch.column("text").to_pylist():
                 p = m.scores(text) if m is not None and text else None

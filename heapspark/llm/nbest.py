@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import slices, text_of
 
 SPACE = "▁"
 #: Parts that a worker remembers before it starts anew, and those with alternatives: bounds on its memory.
@@ -242,7 +242,7 @@ def encode(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, kind = lattice(model, n), pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))
-        for batch in batches:
+        for batch in slices(batches):
             found = [[{"score": s, "ids": x} for s, x in lat.encode(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "nbest"])
 
@@ -252,7 +252,9 @@ def encode(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
 def digest(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
     """(doc_id, n_pieces, best_score, nbest_scores, nbest_crc32, decoded) of whole texts.
 
-    nbest_crc32: unsigned crc32 of each segmentation's ids as little-endian 32-bit integers.
+    best_score is the sum of the model's scores, but that pieces which the model scores as a last
+    resort (below -1e8) count as its worst other piece, so it is not the model's own sum for texts
+    with such pieces (long runs of spaces).  nbest_crc32: unsigned crc32 of each segmentation's ids as little-endian 32-bit integers.
     decoded: whether the best segmentation decodes to the text itself (false for texts that hold
     the space mark of the model, which decodes to a space).  Null or empty text: one
     segmentation without pieces.  Equal scores are ordered by which part comes first.  Rows are
@@ -261,7 +263,7 @@ def digest(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model, n)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 found = lat.encode(text)
