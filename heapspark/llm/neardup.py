@@ -2,6 +2,11 @@
 
 Documents are linked where the Jaccard similarity of their word-shingle sets reaches a threshold.
 Documents with equal sets are one node, so copies never make pairs.
+
+Candidates are settled in two ways.  Most links come from rounds in which random blocks of a band's
+bucket find each node's best partner; their cost follows the rows.  Buckets that then still hold
+several components get a closer look: two sets of the wanted similarity share one of their rarest
+shingles, so nodes meet by rare shingles only, and longer packed signatures estimate each pair.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, text_of
+from .common import discard, free_name, join_counted, materialize, slices, text_hash, text_of
 
 WORDS = 5
 BANDS, ROWS = 32, 4  # at similarity 0.75 a pair shares no band with odds of 5e-6
@@ -21,15 +26,18 @@ BITS = 4  # low bits kept of each minimum
 HASHES = BANDS * ROWS
 #: A pair whose estimate is five standard deviations below 0.75 is no candidate.
 LEAST_ESTIMATE = 0.55
-#: Members of a bucket that one task compares with as many others.
+#: Members of a bucket that one task compares with each other.
 BLOCK = 512
-#: Components of at least so many nodes get a bound of their own against each node.
-LARGE = 32
-
-_ODD = np.random.default_rng(20_240_229).integers(0, 2**32, (2, HASHES), dtype=np.uint32)
+#: Rounds in which random blocks find each node's best partner.
+ROUNDS = 2
+#: Longer signatures of nodes whose buckets stay mixed: minima and low bits of each.
+LONG_HASHES, LONG_BITS = 1024, 2
+#: Five standard deviations of the longer estimate, at its widest.
+LONG_MARGIN = 0.085
+
+_ODD = np.random.default_rng(20_240_229).integers(0, 2**32, (2, HASHES + LONG_HASHES), dtype=np.uint32)
 _MUL, _ADD = _ODD[0] | np.uint32(1), _ODD[1]
 _K = np.uint64(0x9E3779B97F4A7C15)
-_NIBBLES = np.uint64(0x1111111111111111)
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -47,10 +55,13 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    low, best = (s >> np.uint64(32)).astype(np.uint32), np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 512):
-        np.minimum(best, (low[at : at + 512, None] * _MUL + _ADD).min(axis=0), out=best)
+def minima(s: np.ndarray, first: int = 0, n: int = HASHES) -> np.ndarray:
+    """Least value of each of n hash functions over the set."""
+    low, best = (s >> np.uint64(32)).astype(np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)
+    mul, add = _MUL[first : first + n], _ADD[first : first + n]
+    step = 65_536 // n
+    for at in range(0, len(low), step):
+        np.minimum(best, (low[at : at + step, None] * mul + add).min(axis=0), out=best)
     return best
 
 
@@ -62,27 +73,29 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def packed(m: np.ndarray) -> np.ndarray:
-    """The low bits of scrambled minima, sixteen to a 64-bit word."""
-    low = ((m * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.uint64) & np.uint64(2**BITS - 1)
-    return np.bitwise_or.reduce(low.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(BITS)), axis=1).view(np.int64)
+def packed(m: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low bits of scrambled minima, packed into 64-bit words."""
+    low = ((m * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.uint64) & np.uint64(2**bits - 1)
+    each = 64 // bits
+    return np.bitwise_or.reduce(low.reshape(-1, each) << (np.arange(each, dtype=np.uint64) * np.uint64(bits)), axis=1).view(np.int64)
 
 
-def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity of packed signatures, corrected for chance agreement of BITS bits."""
+def estimates(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Similarity of packed signatures, corrected for chance agreement of their bits."""
     x = a.view(np.uint64) ^ b.view(np.uint64)
-    x |= x >> np.uint64(1)
-    x |= x >> np.uint64(2)
-    agree = 1 - np.bitwise_count(x & _NIBBLES).sum(axis=-1) / HASHES
-    chance = 1 / 2**BITS
+    for i in range(bits.bit_length() - 1):
+        x |= x >> np.uint64(1 << i)
+    ones = np.uint64(sum(1 << i for i in range(0, 64, bits)))
+    agree = 1 - np.bitwise_count(x & ones).sum(axis=-1) / (x.shape[-1] * (64 // bits))
+    chance = 1 / 2**bits
     return (agree - chance) / (1 - chance)
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, bands, sig): s1, s2 identify the shingle set."""
+    """(doc_id, text_hash, n_shingles, s1, s2, bands, sig): s1, s2 identify the shingle set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, ids, bands, sigs = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, words)
@@ -94,11 +107,12 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 sigs.append(packed(m))
             s1, s2 = zip(*ids) if ids else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "s1", "s2", "bands", "sig"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "bands", "sig"],
             )
 
-    return text_of(docs).mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>")
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("text_hash"))
+    return named.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -113,9 +127,9 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         cols = np.stack([table.column(k).to_numpy() for k in keys])
         cuts = np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(axis=0)) + 1
         edges = [0, *cuts.tolist()]
-        yield from (table.slice(a, b - a) for a, b in zip(edges, edges[1:]))
+        yield from (table.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b - a > 1)
         rest = table.slice(edges[-1])
-    if rest is not None:
+    if rest is not None and rest.num_rows > 1:
         yield rest
 
 
@@ -128,61 +142,46 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.float64())], names=["a", "b", "estimate"])
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each bucket's first node against its other nodes."""
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each node in a block its best partner in another component."""
     out: list[tuple] = []
-    for t in _groups(batches, ["bucket"]):
-        if t.num_rows < 2:
-            continue
-        nodes, sigs = t.column("node").to_numpy(), _matrix(t)
-        est = estimates(sigs[0], sigs[1:])
-        for i in np.flatnonzero(est >= LEAST_ESTIMATE).tolist():
-            out.append((int(nodes[0]), int(nodes[i + 1]), float(est[i])))
+    for t in _groups(batches, ["bucket", "block"]):
+        node, comp, sigs = t.column("node").to_numpy(), t.column("comp").to_numpy(), _matrix(t)
+        for i in range(len(node)):
+            js = np.flatnonzero(comp != comp[i])
+            if len(js):
+                est = estimates(sigs[i], sigs[js])
+                j = int(est.argmax())
+                if est[j] >= LEAST_ESTIMATE:
+                    out.append((int(node[i]), int(node[js[j]]), float(est[j])))
         if len(out) > 20_000:
             yield _emit(out)
             out = []
     yield _emit(out)
 
 
-def _between(best: int | None, percent: int):
-    """Pairs of two blocks of a bucket, in different components: of each node the `best` pairs, or all.
+def _across(percent: int):
+    """Pairs of a rare shingle's nodes in different components that may reach the threshold.
 
-    A pair has at most as many shingles in common as either node shares with any other one, or
-    with the other's component where that is known (near, near_n), which bounds its similarity;
-    pairs that the bound rules out are left out for certain (only where all pairs are asked for).
+    Every node is at home in one block; those outside the shingle's largest component also visit
+    the other blocks, so each pair of different components meets.  pos: the shingle's place in the node's set,
+    rarest first.  Where it is the first that two sets share, they share no more than what follows it.
     """
+    least = percent / 100 - LONG_MARGIN
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for t in _groups(batches, ["bucket", "lo", "hi"]):
-            if t.num_rows < 2:
-                continue
-            node, comp, block, size, common = (t.column(c).to_numpy() for c in ("node", "comp", "block", "n", "common"))
+        for t in _groups(batches, ["h", "block"]):
+            node, comp, n, after, home, roams = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "after", "home", "roams"))
             sigs = _matrix(t)
-            comps, own = np.unique(comp, return_inverse=True)
-            within = np.full((t.num_rows, len(comps)), np.iinfo(np.int64).max)
-            for i, (cs, ns) in enumerate(zip(t.column("near").to_pylist(), t.column("near_n").to_pylist())):
-                for c, n in zip(cs or (), ns or ()):
-                    at = np.searchsorted(comps, c)
-                    if at < len(comps) and comps[at] == c:
-                        within[i, at] = n
-            lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            for i in left.tolist():
-                js = right[comp[right] != comp[i]]
-                if lo == hi:
-                    js = js[js > i]
-                if best is None:
-                    most = np.minimum(np.minimum(common[i], common[js]), np.minimum(within[i, own[js]], within[js, own[i]]))
-                    js = js[100 * most >= percent * (size[i] + size[js] - most)]
-                if not len(js):
-                    continue
-                est = estimates(sigs[i], sigs[js])
-                good = est >= LEAST_ESTIMATE
-                found = [(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j])), float(e)) for j, e in zip(js[good].tolist(), est[good].tolist())]
-                if best is not None:
-                    found = sorted(found, key=lambda x: (-x[2], x[0], x[1]))[:best]
-                out += found
+            for i in np.flatnonzero(roams).tolist():
+                other = home & (comp != comp[i]) & (~roams | (node > node[i]))
+                most = np.minimum(after[i], after)
+                js = np.flatnonzero(other & (100 * most >= percent * (n[i] + n - most)))
+                if len(js):
+                    est = estimates(sigs[i], sigs[js], LONG_BITS)
+                    good = est >= least
+                    out += [(min(int(node[i]), j), max(int(node[i]), j), e) for j, e in zip(node[js[good]].tolist(), est[good].tolist())]
             if len(out) > 20_000:
                 yield _emit(out)
                 out = []
@@ -195,15 +194,16 @@ _EDGE = "a long, b long, estimate double"
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, hashes) of the documents that stand for nodes; hashes ascend as unsigned numbers."""
+    """(node, hashes) of the rows that stand for nodes; hashes ascend as unsigned numbers."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    wanted = text_of(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(build, "node long, hashes array<long>")
+    named = docs.select(F.col("doc_id").alias("at_id"), F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("at_hash"))
+    wanted = named.join(nodes.select("node", "at_id", "at_hash"), ["at_id", "at_hash"]).select("node", "text")
+    return wanted.mapInArrow(build, "node long, hashes array<long>").dropDuplicates(["node"])  # repeated rows
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,117 +227,165 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
-
-
-def _common(sets: DataFrame, mixed: DataFrame) -> DataFrame:
-    """(node, n, common) in mixed buckets: the size of a node's set, and how many of its shingles some other node there has too."""
-    sets = sets.join(mixed.select("node").distinct(), "node", "left_semi")
-    each = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node"))
-    alone = each.where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    n = F.size("hashes").cast("long")
-    return sets.join(alone, "node", "left").select("node", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("common")).groupBy("node").agg(F.max("n").alias("n"), F.max("common").alias("common"))
-
-
-def _common_with(sets: DataFrame, mixed: DataFrame) -> DataFrame:
-    """(node, near, near_n): for each large component that shares a mixed bucket with a node, how many of the node's shingles it has.
-
-    Only such pairs of node and component are joined, each by shingle and component, so no shingle
-    is a hot key for all its nodes.
-    """
-    member = mixed.select("node", "comp").distinct()
-    large = member.groupBy(F.col("comp").alias("near")).agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") >= LARGE).select("near")
-    there = mixed.select("bucket", F.col("comp").alias("near")).distinct().join(large, "near", "left_semi")
-    asked = mixed.join(there, "bucket").where("comp <> near").select("node", "near").distinct()
-    has = sets.join(member.withColumnRenamed("comp", "near"), "node").join(large, "near", "left_semi").select("near", F.explode("hashes").alias("h")).distinct()
-    wants = asked.join(sets, "node").select("node", "near", F.explode("hashes").alias("h"))
-    # A node whose shingles the component lacks altogether has no rows in the join: its bound is 0.
-    n = wants.join(has, ["near", "h"], "left_semi").groupBy("node", "near").agg(F.count(F.lit(1)).alias("near_n"))
-    full = asked.join(n, ["node", "near"], "left").select("node", F.struct("near", F.coalesce("near_n", F.lit(0)).alias("n")).alias("x"))
-    return full.groupBy("node").agg(F.collect_list("x").alias("xs")).select("node", F.col("xs.near").alias("near"), F.col("xs.n").alias("near_n"))
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, comp) for every node in links (a, b): comp is the least node that it reaches.
 
     Large-star and small-star steps in turn: the number of rounds grows with the logarithm of the
-    longest path, each round's edges are written out, and no node's neighbours are gathered in one row.
+    longest path, and no node's neighbours are gathered in one row or task: hubs are met by
+    broadcast.  Each round's edges are written out and the round's before it removed.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    last = None
+    last, n = None, edges.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+        large = join_counted(both.where("v > u"), least, ["u"], "k", 2 * n, "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+        small = join_counted(large, down, ["u"], "k", 2 * n, "v").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
+        edges = materialize(small.where("u <> v").distinct(), name, instead_of=edges)
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             break
-        last = now
+        last, n = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row for each row of docs.
+def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """members with the component of each node; a node without links is its own."""
+    return members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    Candidates are nodes that share a band.  First each bucket's least node meets the others, and
-    each node keeps its best such pair; confirmed pairs give components, which settle most
-    buckets.  Buckets that still hold several components are compared block by block on packed
-    signatures, skipping pairs of one component: twice each node's best pair, and then all pairs that
-    are left but for those that too few shared shingles rule out.  So no bucket is capped, a
-    bucket of one component costs nothing, and every pair that shares a band is either in one
-    component, or below the estimate's bound, or ruled out or checked on full sets.
 
-    Null or empty texts, and texts of white space alone, have no shingles and are linked with
-    nothing.  Rows with a null id are linked with nothing and kept.  Repeated rows have equal
-    sets and so one component; the row whose id is the component's stays, so rows that repeat its
-    id all stay.  An empty table gives no rows.  Other columns are ignored.
+def _mixed(shared: DataFrame, comp: DataFrame, total: int) -> DataFrame:
+    """(node, comp, bucket, size) of the buckets that hold several components."""
+    labelled = _labelled(shared, comp)
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("k")).where("c1 <> c2")
+    return join_counted(labelled, mixed.select("bucket", "k"), ["bucket"], "k", total, "node").drop("k")
+
+
+def _best_links(mixed: DataFrame, sig: DataFrame, salt: int) -> DataFrame:
+    """(a, b): each node of mixed buckets with its best partner in a random block of one of its buckets."""
+    block = F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("size") / BLOCK)).cast("int")
+    rows = mixed.join(sig, "node").select("bucket", block.alias("block"), "node", "comp", "sig")
+    found = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node").mapInArrow(_nearest, _EDGE)
+    best = found.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _rare(sets: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """(node, comp, n, h, after): each node's rarest shingles, as many as two sets of the wanted similarity need to share one.
+
+    Rarity is counted over the nodes of mixed buckets.  after: how many of the node's shingles are
+    no rarer than h, itself included.  A shingle of one node alone has no partner, but takes a place.
     """
-    signed = materialize(signatures(docs, words), "signatures")
-    with_set = signed.where("n_shingles > 0 and doc_id is not null")
-    nodes = materialize(with_set.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+    member = mixed.select("node", "comp").distinct()
+    own = materialize(sets.join(member, "node"), "mixed-sets")
+    each = own.select("node", F.explode("hashes").alias("h"))
+    total = own.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    freq = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "frequencies")
+    known = join_counted(each, freq, ["h"], "k", total, "node").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("kh"))  # no longer than the node's own set
+    n = F.size("hashes").cast("long")
+    placed = known.join(own.select("node", "comp", n.alias("n")), "node")
+    alone = F.col("n") - F.size("kh")
+    wanted = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
+    prefix = F.slice("kh", F.lit(1), F.greatest(F.lit(0), wanted - alone).cast("int"))
+    return placed.select("node", "comp", "n", alone.alias("alone"), F.posexplode(prefix).alias("i", "x")).select("node", "comp", "n", F.col("x.h").alias("h"), (F.col("n") - F.col("alone") - F.col("i")).alias("after"))
+
+
+def _long_signatures(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, sig) with LONG_HASHES minima."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column("hashes")
+            v, at = col.values.to_numpy(zero_copy_only=False).view(np.uint64), col.offsets.to_numpy()
+            found = [packed(minima(v[at[i] : at[i + 1]], HASHES, LONG_HASHES), LONG_BITS) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "sig"])
+
+    return sets.join(nodes, "node", "left_semi").select("node", "hashes").mapInArrow(sign, "node long, sig array<long>")
+
+
+def _remaining_pairs(sets: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of different components of mixed buckets that shares a rare shingle and may reach the threshold."""
+    rare = materialize(_rare(sets, mixed, percent), "rare")
+    by_comp = rare.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
+    groups = by_comp.groupBy("h").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1").select("h", "size", "main")
+    met = materialize(join_counted(rare, groups, ["h"], "size", rare.count(), "node"), "met")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    met = met.withColumn("at", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("roams", F.col("comp") != F.col("main"))
+    visits = F.when(F.col("roams"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("at"))
+    sig = materialize(_long_signatures(sets, met.select("node").distinct()), "long-signatures")
+    dealt = met.join(sig, "node").select("*", F.explode(visits).alias("block")).withColumn("home", F.col("block") == F.col("at"))
+    dealt = dealt.select("h", "block", "node", "comp", "n", "after", "home", "roams", "sig").repartition("h", "block").sortWithinPartitions("h", "block", "node")
+    return dealt.mapInArrow(_across(percent), _EDGE).select("a", "b").distinct()
+
+
+def _resolved(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, kept) of each row of docs."""
+    signed = materialize(signatures(docs, words).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    has_set = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    # A node is named by one of its rows, since rows of one id may have different sets.
+    nodes = signed.where(has_set).groupBy("s1", "s2").agg(
+        F.min("row").alias("node"), F.min_by(F.struct("doc_id", "text_hash"), "row").alias("at"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
+    )
+    nodes = materialize(nodes.select("s1", "s2", "node", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"), "least_id", "copies", "bands", "sig"), "nodes")
     sig = nodes.select("node", "sig")
 
-    member = nodes.select("node", F.explode("bands").alias("bucket")).repartition("bucket")
-    full = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialize(member.join(full, "bucket"), "buckets")
-    some = shared.select("node").distinct()
-    sets = materialize(_sets(docs, some, words), "sets")
-
-    stars = shared.join(sig, "node").select("bucket", "node", "sig").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_stars, _EDGE)
-    best = stars.groupBy(F.col("b")).agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-    links = materialize(_confirmed(best.select("a", "b"), sets, percent), "links")
-    comp = components(links)
-
-    for best_pairs in (1, 1, None):
-        labelled = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
-        labelled = materialize(labelled.join(mixed, "bucket"), "mixed")
-        rows = labelled.join(sig, "node")
-        if best_pairs is None:
-            rows = rows.join(_common(sets, labelled), "node").join(_common_with(sets, labelled), "node", "left")
+    member = nodes.select("node", F.explode("bands").alias("bucket"))
+    full = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(join_counted(member, full, ["bucket"], "size", BANDS * nodes.count(), "node"), "buckets")
+    sets = materialize(_sets(docs, nodes.join(shared.select("node").distinct(), "node", "left_semi"), words), "sets")
+    total = shared.count()
+
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    comp = docs.sparkSession.createDataFrame([], "node long, comp long")
+    for step in range(ROUNDS + 1):
+        mixed = materialize(_mixed(shared, comp, total), "mixed")
+        if step < ROUNDS:
+            pairs = _best_links(mixed, sig, step)
         else:
-            rows = rows.selectExpr("*", "0L as n", "0L as common", "cast(null as array<long>) as near", "cast(null as array<long>) as near_n")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        part = rows.select("bucket", "node", "comp", "n", "common", "near", "near_n", "sig", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        part = part.select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).drop("other")
-        dealt = part.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
-        pairs = dealt.mapInArrow(_between(best_pairs, percent), _EDGE).select("a", "b").distinct()
+            pairs = _remaining_pairs(sets, mixed, percent)
         more = materialize(_confirmed(pairs, sets, percent), "links")
+        discard(mixed)
         if not more.isEmpty():
             links = links.union(more)
             comp = components(links)
 
-    at = nodes.select("s1", "s2", "node").join(comp, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("comp"))
-    found = signed.select("doc_id", "n_shingles", "s1", "s2").join(at, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("comp"))).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    labelled = materialize(_labelled(nodes.select("s1", "s2", "node", "least_id", "copies"), comp), "labelled")
+    names = labelled.groupBy("comp").agg(F.min("least_id").alias("component"), F.count(F.lit(1)).alias("k"))
+    named = join_counted(labelled, names, ["comp"], "k", labelled.count(), "node").select("s1", "s2", "copies", "component")
+    # Rows without a set match nothing and are dealt by their own row.
+    apart = signed.select("doc_id", "text_hash", "n_shingles", F.when(has_set, F.col("s1")).otherwise(F.col("row")).alias("s1"), F.when(has_set, F.col("s2")).alias("s2"))
+    found = join_counted(apart, named, ["s1", "s2"], "copies", signed.count(), F.struct("doc_id", "text_hash"), "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row for each row of docs.
+
+    Candidates are nodes that share a band.  In ROUNDS rounds each bucket that holds several
+    components is dealt into random blocks, each node meets its block, and its best partner by
+    packed signatures is checked on full sets.  Nodes of buckets that are mixed after that meet by
+    their rarest shingles, and every pair that the sizes, the places of the shared shingles and a longer
+    signature (five standard deviations) do not rule out is checked.  So no bucket is capped, a
+    bucket of one component costs its rows, and every pair that shares a band is in one component, or
+    ruled out, or checked on full sets.
+
+    Null or empty texts, and texts of white space alone, have no shingles and are linked with
+    nothing.  Rows with a null id are linked with nothing and kept.  Repeated rows have equal
+    sets and so one component; the row whose id is the component's stays, so rows that repeat its
+    id and its set all stay.  Rows of one id with different texts are told apart: each has its own set
+    and component.  An empty table gives no rows.  Other columns are ignored.
+    """
+    return _resolved(docs, percent, words).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_first(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
-    """Rows of docs that near_duplicates() keeps: the least id of each component."""
-    gone = near_duplicates(docs, percent, words).where(~F.col("kept")).select(F.col("doc_id").alias("gone__")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone__"], "left_anti")
+    """Rows of docs that near_duplicates() keeps, told by id and text: the least id of each component."""
+    gone = _resolved(docs, percent, words).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    at = free_name(docs, "at_hash")
+    keyed = docs.withColumn(at, text_hash())
+    return keyed.join(gone, (keyed["doc_id"] == gone["gone_id"]) & (keyed[at] == gone["gone_hash"]), "left_anti").select(*docs.columns)
