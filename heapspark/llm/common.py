@@ -18,11 +18,19 @@ __all__ = ["discard", "documents", "fold", "free_name", "hash_below", "join_coun
 #: Bytes of text that a worker turns into Python strings at once.
 SLICE_BYTES = 4 << 20
 
+#: Arrow batches of whole texts are bounded in bytes; Spark's own default is 64 MB.
+_BATCH_CONF, _BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package (on a cluster, install it or pass --py-files)."""
+    """Let Python workers import this package (on a cluster, install it or pass --py-files), and keep Arrow batches small.
+
+    The session's batch bound is lowered only where nobody has set it.
+    """
+    if spark.conf.get(_BATCH_CONF, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_of
+from .common import slices, text_of
 from .tokens import encoder
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -49,17 +49,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, most=1 << 20):
             out: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
             texts = batch.column("text")
-            for at in range(0, len(ids), 256):
-                for doc, raw in zip(ids[at : at + 256], enc.encode(texts[at : at + 256].to_pylist())):
-                    raw += end
-                    n = len(raw) // 4
-                    for s in range(0, n, capacity):
-                        e = min(n, s + capacity)
-                        out.append((doc, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), n))
+            for doc, raw in zip(ids, enc.encode(texts.to_pylist())):
+                raw += end
+                n = len(raw) // 4
+                for s in range(0, n, capacity):
+                    e = min(n, s + capacity)
+                    out.append((doc, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), n))
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -70,15 +69,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     """Pack every document into sequences of at most capacity ids, with first-fit decreasing.
 
     Documents are cut each capacity ids; pieces then meet in randomised groups (a seeded hash
-    of id and start) of about group_docs documents' pieces, and each group is packed on its own.
-    So a group is small however large the corpus or one source is, and groups run in parallel.
-    sequence_id = group * 2^32 + bin; offsets in a sequence have no gaps.
+    of id, start and the piece's checksum) of about group_docs documents' pieces, and each group is
+    packed on its own.  So a group is small however large the corpus, one source or one id is, and
+    groups run in parallel.  sequence_id = group * 2^32 + bin; offsets in a sequence have no gaps.
 
     Null or empty text: only the end id.  Repeated rows are documents of their own.  Null ids
-    are kept.  An empty table gives no rows.  Other columns of docs are ignored.
+    are kept.  An empty table gives no rows.  Other columns of docs are ignored.  Only rows that repeat
+    both id and text share a group.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    group = F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)).alias("g")
+    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", F.lit(seed)), F.lit(groups)).alias("g")
 
     def fill(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")

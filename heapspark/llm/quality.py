@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import free_name, materialize, slices, text_hash
 
 _SYMBOLS = "#*$%&|<>"
-_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_distinct_words", "n_word_marks"]
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_distinct_words", "n_mark_words"]
+_COUNT_TYPES = ", ".join(f"{c} long" for c in _COUNTS)
+_MARKS = string.punctuation.encode()
 
 
 def _repeated(words: list[bytes], width: int = 5) -> int:
@@ -49,22 +52,29 @@ def measure(text: str) -> tuple[int, ...]:
     spaces = sum(map(text.count, " \t\n\v\f\r"))
     symbols = sum(map(text.count, _SYMBOLS))
     upper = sum(map(bytes.isupper, words))
-    marks = sum(map(raw.count, (b" | ", b"!!")))
+    marks = len(words) - len(raw.translate(None, _MARKS).split())  # words of punctuation alone
     return len(words), len(text) - spaces, symbols, dup, _repeated(words), len(lines), upper, len(set(words)), marks
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, *_COUNTS) of whole texts; null text has no words.  No shuffle."""
+def _measures(text: pa.Array) -> pa.Array:
+    rows = [measure(t or "") for part in slices([pa.RecordBatch.from_arrays([text], names=["text"])]) for t in part.column(0).to_pylist()]
+    cols = list(zip(*rows)) or [[]] * len(_COUNTS)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_COUNTS)
+
+
+def counts_of(text: Column) -> Column:
+    """A struct of _COUNTS of the whole text; null text has no words."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measure(t or "") for t in batch.column("text").to_pylist()]
-            cols = list(zip(*rows)) or [[]] * len(_COUNTS)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(c, pa.int64()) for c in cols]], names=["key", *_COUNTS])
+    @F.arrow_udf(f"struct<{_COUNT_TYPES.replace(' long', ': long')}>")
+    def count(text: pa.Array) -> pa.Array:
+        return _measures(text)
 
-    keyed = docs.select(F.struct("doc_id", F.xxhash64("doc_id", "text").alias("text_hash")).alias("key"), "text")
-    out = keyed.mapInArrow(count, "key struct<doc_id: long, text_hash: long>, " + ", ".join(f"{c} long" for c in _COUNTS))
-    return out.select("key.doc_id", "key.text_hash", *_COUNTS)
+    return count.asNondeterministic()(text)  # keeps the optimiser from measuring once for each use
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, *_COUNTS) of whole texts.  No shuffle."""
+    return docs.select("doc_id", text_hash().alias("text_hash"), counts_of(F.col("text")).alias("counts")).select("doc_id", "text_hash", "counts.*")
 
 
 @dataclass(frozen=True)
@@ -85,8 +95,8 @@ RULES = (
     Rule("capitals", bad="n_words > 0 and 100 * n_upper_words > 40 * n_words"),
     Rule("word_length", bad="n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)"),
     Rule("variety", bad="n_words >= 40 and 100 * n_distinct_words < 15 * n_words"),
-    Rule("marks", bad="n_words > 0 and 100 * n_word_marks > 15 * n_words"),
-    Rule("prose", good="n_words >= 30 and 100 * n_symbols <= word_chars and 100 * n_upper_words <= 15 * n_words and 100 * n_word_marks <= 2 * n_words"),
+    Rule("marks", bad="n_words > 0 and 100 * n_mark_words > 10 * n_words"),
+    Rule("prose", good="n_words >= 30 and 100 * n_symbols <= word_chars and 100 * n_upper_words <= 15 * n_words and 100 * n_mark_words <= 3 * n_words"),
     Rule("fresh", good="n_words >= 10 and 100 * n_repeat_words <= 5 * n_words and 100 * n_dup_lines <= 10 * n_lines"),
 )
 
@@ -142,30 +152,47 @@ def posterior(table: np.ndarray, good: float, patterns: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(score[:, 0] - score[:, 1]))
 
 
+_BASE = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
+
+
+def learn(votes: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(votes, quality): the posterior of each pattern of votes.  votes: a column of that name, an array in the order of rules.
+
+    Votes of all rows are counted by pattern, at most 3^rules rows whatever the corpus; EM runs on
+    those counts.
+    """
+    seen = votes.groupBy("votes").count().collect()  # bounded by the number of patterns
+    patterns = np.array([r["votes"] for r in seen], dtype=int).reshape(-1, len(rules))
+    table, good = expectation_maximisation(patterns, np.array([r["count"] for r in seen], dtype=float))
+    chance = posterior(table, good, patterns) if len(seen) else []
+    return votes.sparkSession.createDataFrame([(p.tolist(), float(q)) for p, q in zip(patterns, chance)], "votes array<int>, quality double")
+
+
+def _votes(rules: tuple[Rule, ...]) -> Column:
+    return F.array(*[vote(r) for r in rules])
+
+
 def judge(docs: DataFrame, threshold: float = 0.5, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, text_hash, counts, base_failed, quality, kept) of every document.
 
-    Votes of all documents are counted by pattern, at most 3^rules rows whatever the corpus; EM
-    runs on those counts, and each document gets its pattern's posterior.  base_failed rejects
+    Each document gets the posterior of its pattern of votes (see learn()).  base_failed rejects
     outright.  Null or empty texts have no words and fail.  Repeated rows get equal results.
-    An empty table gives no rows.
+    An empty table gives no rows.  Other columns are ignored.
     """
-    names = [f"v_{r.name}" for r in rules]
-    voted = materialize(measured(docs).select("*", *[vote(r).alias(n) for r, n in zip(rules, names)]), "votes")
-    seen = voted.groupBy(*names).count().collect()  # bounded by the number of patterns
-    patterns = np.array([[r[n] for n in names] for r in seen], dtype=int).reshape(-1, len(names))
-    table, good = expectation_maximisation(patterns, np.array([r["count"] for r in seen], dtype=float))
-    chance = posterior(table, good, patterns) if len(seen) else []
-    spark = docs.sparkSession
-    schema = ", ".join(f"{n} int" for n in names) + ", quality double"
-    found = spark.createDataFrame([(*p.tolist(), float(q)) for p, q in zip(patterns, chance)], schema)
-    base = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    joined = voted.join(F.broadcast(found), names, "left")  # at most 3^rules rows
-    return joined.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("quality") >= threshold))
-
-
-def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rows of docs that judge() keeps, with their columns unchanged."""
-    kept = judge(docs, threshold).where("kept").select(F.col("doc_id").alias("k1"), F.col("text_hash").alias("k2")).distinct()
-    keyed = docs.withColumn("k2__", F.xxhash64("doc_id", "text"))
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["k1"]) & (keyed["k2__"] == kept["k2"]), "left_semi").drop("k2__")
+    voted = materialize(measured(docs).withColumn("votes", _votes(rules)), "votes")
+    joined = voted.join(F.broadcast(learn(voted, rules)), "votes", "left")  # at most 3^rules rows
+    return joined.withColumn("base_failed", F.expr(_BASE)).withColumn("kept", ~F.expr(_BASE) & (F.col("quality") >= threshold)).drop("votes")
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rows of docs that judge() keeps, with their columns unchanged.
+
+    One pass counts votes, a second one measures again and filters, so that no text is shuffled.
+    """
+    found = learn(docs.select(counts_of(F.col("text")).alias("counts")).select("counts.*").select(_votes(rules).alias("votes")), rules)
+    verdict, counts = free_name(docs, "verdict"), free_name(docs, "counts")
+    inside = lambda sql: re.sub(r"\bn_\w+|\bword_chars", lambda m: f"{counts}.{m[0]}", sql)
+    voted = F.array(*[vote(Rule(r.name, inside(r.bad), inside(r.good))) for r in rules])
+    good = found.where(F.col("quality") >= threshold).select(F.col("votes").alias(verdict))  # at most 3^rules rows
+    counted = docs.withColumn(counts, counts_of(F.col("text"))).where(~F.expr(inside(_BASE))).withColumn(verdict, voted)
+    return counted.join(F.broadcast(good), verdict, "left_semi").select(*docs.columns)
