@@ -1,13 +1,14 @@
-"""Toxicity by compression distance: which of two dictionaries suits a text's windows better.
+"""Toxicity by compression distance: which of two trained dictionaries suits a text's windows better.
 
-Both dictionaries end with the same base, trained by zstandard on ordinary text.  Before it, the
-toxic one holds a lexicon learnt from whole toxic texts (what is frequent there and rare in ordinary
-text), the ordinary one as many neutral bytes; so equal offsets cost equally, and a window's two
-compressed lengths differ only by what the lexicon explains.  A logistic model, fitted on documents
-that neither dictionary was made from, calibrates the differences to a probability.
+zstandard trains one dictionary on toxic text and one on ordinary text.  Toxic texts are mostly ordinary
+words, so the toxic one is trained on their distinctive stretches (frequent there and rare in ordinary
+text), and both sides end with the ordinary dictionary, the toxic one having its own before it and
+the other as many neutral bytes: equal offsets cost equally, and a window's two compressed lengths
+differ only by what the toxic dictionary explains.  A logistic model, fitted on documents that
+neither dictionary was made from, calibrates the differences to a probability.
 
-The toxic side is not trained by zstandard: a dictionary of toxic windows beside one of ordinary
-windows (`trained_pair`) measures worse; the README has both variants' figures.
+Two dictionaries of equal size, of whole toxic and whole ordinary windows (`trained_pair`), measure far
+worse; the README has both variants' figures.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, text_of
+from .common import fold, hash_below, slices, text_of
 
 WINDOW, STEP = 256, 240
 LEVEL = 6
@@ -31,7 +32,7 @@ GRAMS = (4, 6, 8)
 LEASTS = (1, 2, 3, 4, 6, 9, 14, 20, 30, 45, 70, 100, 150, 220, 330, 500)
 #: How many times as frequent in toxic texts as in ordinary ones a gram must be.
 LIFT = 8.0
-#: Bytes of the lexicon; stretches of more toxic texts come first, then longer ones.
+#: Bytes of the toxic dictionary.
 SEGMENT_BYTES = 4_096
 #: Bytes of the common base.
 BASE_BYTES = 49_152
@@ -68,14 +69,17 @@ def _counts(lines: list[bytes], grams: Sequence[int]) -> np.ndarray:
 
 
 def lexicons(toxic: list[str], ordinary: list[str], leasts: Sequence[int] = LEASTS, grams: Sequence[int] = GRAMS, lift: float = LIFT, size: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    """For each of leasts: stretches of toxic texts whose grams occur in so many of them, and `lift` times as often as in ordinary ones."""
+    """For each of leasts: a dictionary of toxic stretches, whose grams occur in so many toxic texts and `lift` times as often as in ordinary ones.
+
+    Trained by zstandard; where the stretches are too few for its trainer, they are the dictionary, those of more texts first.
+    """
     lines = [_line(t) for t in toxic]
     seen, other = _counts(lines, grams), _counts([_line(t) for t in ordinary], grams)
     rare = seen * float(max(1, len(ordinary))) >= lift * len(toxic) * np.maximum(1, other)
     if not rare.any():  # too few ordinary texts for that lift: all that they lack
         rare = (seen > 0) & (other == 0)
     for least in leasts:
-        keep, found = rare & (seen >= least), Counter()
+        keep, found, each = rare & (seen >= least), Counter(), []
         for x in lines:
             edge = np.zeros(len(x) + 1, np.int32)
             for k in grams:
@@ -83,7 +87,12 @@ def lexicons(toxic: list[str], ordinary: list[str], leasts: Sequence[int] = LEAS
                 edge[at] += 1
                 edge[at + k] -= 1
             ends = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(edge) > 0]).astype(np.int8)))
-            found.update({x[i:j] for i, j in zip(ends[::2], ends[1::2])})
+            own = [x[i:j] for i, j in zip(ends[::2], ends[1::2])]
+            found.update(set(own))
+            each += [s for s in own if len(s) >= 8]
+        if out := _train(each, size, 24):
+            yield out
+            continue
         out = b""
         for segment, _ in sorted(found.items(), key=lambda f: (-f[1], -len(f[0]), f[0])):
             if len(out) + len(segment) <= size:
@@ -91,13 +100,18 @@ def lexicons(toxic: list[str], ordinary: list[str], leasts: Sequence[int] = LEAS
         yield out
 
 
+def _train(samples: list[bytes], size: int, k: int) -> bytes:
+    """A zstandard dictionary of the samples; none of too few."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
 def trained(texts: list[str], size: int) -> bytes:
     """A zstandard dictionary of the texts' windows; of too little text, the text itself."""
     samples = [w for t in texts for w in windows(t.encode("utf-8", "surrogatepass"), 128, 128)]
-    try:
-        return zstandard.train_dictionary(size, samples, k=32, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[:size]
+    return _train(samples, size, 32) or b"".join(samples)[:size]
 
 
 def _compressor(content: bytes, kind: int = zstandard.DICT_TYPE_RAWCONTENT) -> zstandard.ZstdCompressor:
@@ -112,7 +126,7 @@ class Model:
     ordinary: bytes
     weights: np.ndarray  # of features() and a constant
     kind: int = zstandard.DICT_TYPE_RAWCONTENT
-    least: int = 0  # toxic texts that a gram of the lexicon is in
+    least: int = 0  # toxic texts that a gram of the toxic dictionary's stretches is in
     _pair: tuple | None = None
 
     def __getstate__(self):
@@ -157,8 +171,8 @@ def _calibrate(model: Model, rest: list[tuple[str, int, float]]) -> float:
 def learn(rows: list[tuple[str, int, float]], leasts: Sequence[int] = LEASTS, grams: Sequence[int] = GRAMS, lift: float = LIFT, segment_bytes: int = SEGMENT_BYTES, base_bytes: int = BASE_BYTES, trained_pair: bool = False) -> Model | None:
     """From (text, toxic, weight) rows in random order: two thirds make the dictionaries, the rest calibrates.
 
-    Of the lexicons of `leasts`, the one with the least loss on the rest is taken.  trained_pair: one
-    zstandard dictionary of base_bytes of toxic windows and one of ordinary windows, without a lexicon.
+    Of the toxic dictionaries of `leasts`, the one with the least loss on the rest is taken.  trained_pair: one
+    zstandard dictionary of base_bytes of toxic windows and one of ordinary windows, nothing more.
     """
     train, rest = [r for i, r in enumerate(rows) if i % 3], rows[::3]
     toxic, ordinary = [t for t, y, _ in train if y], [t for t, y, _ in train if not y]
@@ -190,9 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1500, folds: i
     usable = labels.where((fold("doc_id", folds) != held) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, rows_per_class / n) for k, n in sizes.items()}
-    at = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000))
-    cut = F.when(F.col("toxic") == 1, int(share.get(1, 0) * 1_000_000)).otherwise(int(share.get(0, 0) * 1_000_000))
-    chosen = F.broadcast(usable.where(at < cut))  # about 2 * rows_per_class rows
+    below = F.lit(False)
+    for k, n in sizes.items():
+        below = F.when(F.col("toxic") == k, hash_below(F.xxhash64("doc_id", F.lit("toxicity")), rows_per_class, n)).otherwise(below)
+    chosen = F.broadcast(usable.where(below))  # about 2 * rows_per_class rows
     rows = text_of(docs).join(chosen, "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("at")).collect()
     return learn([(r["text"], r["toxic"], 1 / share[r["toxic"]]) for r in sorted(rows, key=lambda r: (r["at"], r["toxic"]))])
 
@@ -203,7 +218,7 @@ def predict(docs: DataFrame, model: Model | None, threshold: float = 0.3, folds:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             score = [m.score(t) if m is not None else 0.0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
