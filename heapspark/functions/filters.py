@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from .values import smart_fix
+from .values import smart_fix, whole
 
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
@@ -43,4 +43,4 @@ def numeric(x: Column, text: str, percent: bool = False) -> Column:
 
 def text(x: Column, pattern: str) -> Column:
     """A pattern found anywhere unless it is anchored; null fails."""
-    return F.coalesce(x.cast("string").rlike(f"^(?:{smart_fix(pattern, anywhere=True)})$"), F.lit(False))
+    return F.coalesce(x.cast("string").rlike(whole(smart_fix(pattern, anywhere=True))), F.lit(False))

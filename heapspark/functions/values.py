@@ -21,6 +21,11 @@ def smart_fix(pattern: str, anywhere: bool = False) -> str:
     return fixed
 
 
+def whole(pattern: str) -> str:
+    """The pattern over all of a text: unlike `$`, the end is not before a last line break."""
+    return rf"\A(?:{pattern})\z"
+
+
 def truthy(x: Column, kind: str) -> Column:
     """Operand of AND / OR: number other than 0 and NaN, non-empty string, true; null is false."""
     if kind == "boolean":
@@ -66,11 +71,11 @@ def compare(a: Column, op: str, b: Column, floating: bool = False, strict: bool
 
 
 def like(x: Column, pattern: str) -> Column:
-    return F.coalesce(x.cast("string").rlike(f"^(?:{smart_fix(pattern)})$"), F.lit(False))
+    return F.coalesce(x.cast("string").rlike(whole(smart_fix(pattern))), F.lit(False))
 
 
 def not_like(x: Column, pattern: str) -> Column:
-    return F.coalesce(~x.cast("string").rlike(f"^(?:{smart_fix(pattern)})$"), F.lit(False))
+    return F.coalesce(~x.cast("string").rlike(whole(smart_fix(pattern))), F.lit(False))
 
 
 def in_array(x: Column, items: Column) -> Column:
@@ -115,7 +120,8 @@ def divide(a: Column, b: Column) -> Column:
     """Floating division as in Java: x/0 is an infinity, 0/0 and NaN operands NaN."""
     a, b = a.cast("double"), b.cast("double")
     nan, inf = F.lit(float("nan")), F.lit(float("inf"))
-    by_zero = F.when((a == 0) | F.isnan(a), nan).when(a > 0, inf).otherwise(-inf)
+    minus = b.cast("string").startswith("-")  # -0.0 turns the sign
+    by_zero = F.when((a == 0) | F.isnan(a), nan).when((a > 0) != minus, inf).otherwise(-inf)
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b == 0, by_zero).otherwise(a / F.when(b != 0, b))
 
 
@@ -146,6 +152,14 @@ def part(array: Column, first: int, last: int) -> Column:
     return F.when(array.isNotNull(), F.slice(array, low + 1, F.greatest(high - low + 1, F.lit(0))))
 
 
+def _hash_step(h: Column, point: Column) -> Column:
+    """31 * h + each UTF-16 unit of a code point, wrapping at 32 bits as a text's hash does."""
+    over = (point - 0x10000).cast("long")
+    one = lambda h, unit: F.pmod(h * 31 + unit + 2**31, F.lit(2**32)) - 2**31
+    high, low = F.lit(0xD800) + F.floor(over / 1024), F.lit(0xDC00) + F.pmod(over, F.lit(1024))
+    return F.when(point < 0x10000, one(h, point.cast("long"))).otherwise(one(one(h, high), low)).cast("long")
+
+
 #: Methods that queries may call on values; Java's indexes count from 0.
 METHODS = {
     "length": F.length,
@@ -156,9 +170,9 @@ METHODS = {
     "substring": lambda s, a, b=None: F.substring(s, a + 1, 2**31 - 1) if b is None else F.substring(s, a + 1, b - a),
     "toUpperCase": F.upper,
     "toLowerCase": F.lower,
-    "trim": F.trim,
+    "trim": lambda s: F.regexp_replace(s, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""),
     "replaceAll": lambda s, r, x: F.regexp_replace(s, r, x),
-    "matches": lambda s, r: s.rlike(f"^(?:{r})$"),
+    "matches": lambda s, r: s.rlike(whole(r)),
     "equals": lambda a, b: a.eqNullSafe(b),
     "get": lambda a, i: F.get(a, F.lit(i)),
     "size": F.size,
@@ -167,7 +181,11 @@ METHODS = {
     "longValue": lambda x: x.cast("long"),
     "floatValue": lambda x: x.cast("float"),
     "doubleValue": lambda x: x.cast("double"),
-    "compareTo": lambda a, b: F.when(a < b, -1).when(a > b, 1).otherwise(0),
+    "compareTo": lambda a, b: F.when(a < b, -1).when(a > b, 1).when(a == b, 0),
+    "hashCode": lambda s: F.when(s.isNotNull(), F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: _hash_step(h, F.ascii(c))).cast("int")),
+    "toArray": lambda a: a,
+    "getKey": lambda e: e["key"],
+    "getValue": lambda e: e["value"],
 }
 
 

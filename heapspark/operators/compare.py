@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Parts of keys that differ between runs: addresses, array indexes, array sizes.
-MASKS = (r"\s*@ 0x[0-9a-f]+", r"^\[\d+\](, \[\d+\])*", r"(?<=\[)\d+(?=\])")
+# Parts of keys that differ between runs: addresses, array indexes, array sizes.
+MASKS = (r"\s*@ 0x[0-9a-f]+", r"^(\[[0-9]+\], ){0,100}\[[0-9]+\](,\.\.\.)?$", r"(?<=\p{javaJavaIdentifierPart}\[)\d+(?=\])")
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def mask_key(key: Column, pattern: str, replace: str = "", prefix: str = "", suffix: str = "") -> Column:
@@ -52,9 +53,11 @@ def changed(now: Column, before: Column) -> Column:
 def compare(tables: Sequence[DataFrame], key: str, values: Sequence[str], mode: str = "ABSOLUTE") -> DataFrame:
     """Modes ABSOLUTE, DIFF_TO_FIRST, DIFF_TO_PREVIOUS, DIFF_RATIO_TO_FIRST, DIFF_RATIO_TO_PREVIOUS.
 
-    The first table is always shown as it is; ratios add columns value_i_ratio.
+    The first table is always shown as it is; ratios add columns value_i_ratio.  Columns that are
+    not numbers show their value where it changed.
     """
     met = align(tables, key, values)
+    types = dict(tables[0].dtypes)
     out: list[Column] = [F.col(key), F.col("nth")]
     for i in range(len(tables)):
         base = 0 if mode.endswith("FIRST") else i - 1
@@ -64,6 +67,9 @@ def compare(tables: Sequence[DataFrame], key: str, values: Sequence[str], mode:
                 out.append(now)
                 continue
             before = F.col(f"{v}_{base}")
+            if types[v] not in _NUMBERS and not types[v].startswith("decimal"):
+                out.append(changed(now, before).alias(f"{v}_{i}"))
+                continue
             out.append(difference(now, before).alias(f"{v}_{i}"))
             if "RATIO" in mode:
                 out.append(ratio(now, before).alias(f"{v}_{i}_ratio"))

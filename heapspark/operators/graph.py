@@ -12,7 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.store import materialize
+from ..functions.values import whole
+from ..plans.store import discard, materialize
 
 
 def outbound(refs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -29,12 +30,25 @@ def without_excluded(refs: DataFrame, excluded: Column) -> DataFrame:
     return refs.groupBy("src_id", "dst_id").agg(F.bool_and(F.coalesce(excluded, F.lit(False))).alias("x")).where(~F.col("x")).select("src_id", "dst_id")
 
 
+def edges_of(refs: DataFrame) -> DataFrame:
+    """Different references between different objects, written and clustered by source, so that rounds read them and nothing else.
+
+    A table that is already of this kind is returned as it is.
+    """
+    if getattr(refs, "_edges", False):
+        return refs
+    edges = refs.select("src_id", "dst_id").where("src_id <> dst_id").distinct()
+    out = materialize(edges.repartition("src_id").sortWithinPartitions("src_id"), "edges")
+    out._edges = True
+    return out
+
+
 def breadth_first(refs: DataFrame, start: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """(object_id, parent_id, depth) of all that start reaches by shortest paths; the least parent of a level wins.
 
     blocked objects are not entered, nor started from.
     """
-    edges = refs.select("src_id", "dst_id").where("src_id <> dst_id").distinct()
+    edges = edges_of(refs)
     first = start.select("object_id").distinct()
     if blocked is not None:
         stop = blocked.select(F.col("object_id").alias("dst_id")).distinct()
@@ -102,13 +116,13 @@ class Dominance:
     def nearest(self, ids: DataFrame, labels: DataFrame, skip: str) -> DataFrame:
         """(object_id, dominator_id): the nearest strict dominator whose label does not wholly match skip; null: the root."""
         depth = self.pairs.groupBy("object_id").agg(F.count(F.lit(1)).alias("depth"))
-        usable = labels.where(~F.col("label").rlike(f"^(?:{skip})$")).select(F.col("object_id").alias("dominator_id"))
+        usable = labels.where(~F.col("label").rlike(whole(skip))).select(F.col("object_id").alias("dominator_id"))
         above = self.pairs.where("object_id <> dominator_id").join(usable, "dominator_id", "left_semi").join(depth.select(F.col("object_id").alias("dominator_id"), "depth"), "dominator_id")
         best = above.groupBy("object_id").agg(F.max_by("dominator_id", "depth").alias("dominator_id"))
         return ids.select("object_id").distinct().join(best, "object_id", "left")
 
 
-def dominance(refs: DataFrame, roots: DataFrame) -> Dominance:
+def dominance(refs: DataFrame, roots: DataFrame, tree: DataFrame | None = None) -> Dominance:
     """Dominators of all that roots reach, under one virtual root above them.
 
     An object's dominators are itself and what dominates all its predecessors.  The pairs start as
@@ -116,33 +130,56 @@ def dominance(refs: DataFrame, roots: DataFrame) -> Dominance:
     object's pairs those that all its predecessors have.  Pairs only go, so the rounds end, in the
     greatest solution: the dominators.  Objects with one predecessor, most of a heap, take its pairs.
     """
-    tree = materialize(breadth_first(refs, roots), "tree")
+    edges = edges_of(refs)
+    if tree is None:
+        tree = materialize(breadth_first(edges, roots), "tree")
     reach = tree.select("object_id")
     top = roots.select("object_id").distinct()
-    edges = refs.select("src_id", "dst_id").where("src_id <> dst_id").distinct()
     edges = edges.join(reach.select(F.col("object_id").alias("src_id")), "src_id", "left_semi").join(top.select(F.col("object_id").alias("dst_id")), "dst_id", "left_anti")
-    edges = materialize(edges, "edges")
-    degree = edges.groupBy(F.col("dst_id").alias("object_id")).agg(F.count(F.lit(1)).alias("degree"))
+    edges = materialize(edges, "passed")
+    degree = materialize(edges.groupBy(F.col("dst_id").alias("object_id")).agg(F.count(F.lit(1)).alias("degree")), "degree")
     own = reach.select("object_id", F.col("object_id").alias("dominator_id"))
     pairs = materialize(paths(tree, reach).select("object_id", F.col("at").alias("dominator_id")), "dominance")
     n = pairs.count()
     while True:
         passed = edges.join(pairs.select(F.col("object_id").alias("src_id"), "dominator_id"), "src_id").groupBy(F.col("dst_id").alias("object_id"), "dominator_id").agg(F.count(F.lit(1)).alias("n"))
         kept = passed.join(degree, "object_id").where("n = degree").select("object_id", "dominator_id")
-        pairs = materialize(kept.where("object_id <> dominator_id").union(own), "dominance")
+        pairs = materialize(kept.where("object_id <> dominator_id").union(own), "dominance", instead_of=pairs)
         now = pairs.count()
         if now == n:
+            discard(edges, degree)
             return Dominance(pairs)
         n = now
 
 
-def retained_set(objects: DataFrame, refs: DataFrame, roots: DataFrame, ids: DataFrame) -> DataFrame:
-    """ids and all that roots reach only through them."""
-    left = breadth_first(refs, roots, blocked=ids).select("object_id")
-    reach = breadth_first(refs, roots).select("object_id")
+def retained_set(objects: DataFrame, refs: DataFrame, roots: DataFrame, ids: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """ids and all that roots reach only through them.  tree: breadth_first() from the roots, where it is known."""
+    edges = edges_of(refs)
+    left = breadth_first(edges, roots, blocked=ids).select("object_id")
+    reach = (breadth_first(edges, roots) if tree is None else tree).select("object_id")
     return reach.join(left, "object_id", "left_anti")
 
 
+def retained_by_groups(refs: DataFrame, roots: DataFrame, groups: DataFrame, tree: DataFrame) -> DataFrame:
+    """(group_id, object_id): the exact retained set of each group (group_id, object_id) of objects.
+
+    One search for all groups: what roots reach past a group's members advances level by level, keyed by
+    group.  Rows grow with groups times objects, as the question does; ask for the groups of a report.
+    """
+    edges = edges_of(refs)
+    names = groups.select("group_id").distinct()
+    stop = materialize(groups.select("group_id", "object_id").distinct(), "groups")
+    first = roots.select("object_id").distinct().join(F.broadcast(names))  # roots times the report's groups
+    level = materialize(first.join(stop, ["group_id", "object_id"], "left_anti").select("group_id", "object_id"), "past")
+    seen = level
+    while not level.isEmpty():
+        step = level.join(edges, F.col("object_id") == F.col("src_id")).select("group_id", F.col("dst_id").alias("object_id")).distinct()
+        level = materialize(step.join(stop, ["group_id", "object_id"], "left_anti").join(seen, ["group_id", "object_id"], "left_anti"), "past")
+        seen = seen.union(level)
+    every = tree.select("object_id").join(F.broadcast(names))
+    return every.join(seen, ["group_id", "object_id"], "left_anti").select("group_id", "object_id")
+
+
 def retained_by_fields(refs: DataFrame, roots: DataFrame, ids: DataFrame, fields: list[str]) -> DataFrame:
     """What roots reach only through the named fields of ids; an edge stays if another field makes it too."""
     marked = refs.join(ids.select(F.col("object_id").alias("src_id"), F.lit(True).alias("ours")).distinct(), "src_id", "left")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.values import smart_fix
+from ..functions.values import smart_fix, whole
 from ..plans.snapshot import Snapshot
 from . import graph, quantize
 
@@ -26,13 +26,22 @@ def command(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return f
 
 
+def _known(given: str, *names: str) -> None:
+    if given not in names:
+        raise ValueError(f"unknown grouping {given}; known: {', '.join(names)}")
+
+
 def _named(snap: Snapshot, df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(snap.classes.select("class_id", "name", "loader_id")), "class_id")
 
 
 @command
 def histogram(snap: Snapshot, ids: DataFrame | None = None, group_by: str = "BY_CLASS") -> DataFrame:
-    """(name, objects, shallow) of the heap or of a set; also BY_SUPERCLASS, BY_CLASSLOADER, BY_PACKAGE."""
+    """(name, objects, shallow) of the heap or of a set, a row a class: classes of one name from two loaders stay apart.
+
+    Also BY_SUPERCLASS, BY_CLASSLOADER, BY_PACKAGE.
+    """
+    _known(group_by, "BY_CLASS", "BY_SUPERCLASS", "BY_CLASSLOADER", "BY_PACKAGE")
     objects = snap.objects if ids is None else snap.objects.join(ids.select("object_id").distinct(), "object_id", "left_semi")
     classes = objects.groupBy("class_id").agg(quantize.count().alias("objects"), F.sum("shallow").cast("long").alias("shallow"))
     sums = [F.sum(c).cast("long").alias(c) for c in ("objects", "shallow")]
@@ -42,20 +51,42 @@ def histogram(snap: Snapshot, ids: DataFrame | None = None, group_by: str = "BY_
         return quantize.by_loader(classes, snap.classes, *sums)
     if group_by == "BY_PACKAGE":
         return quantize.by_package(_named(snap, classes), "name", *sums)
-    return _named(snap, classes).groupBy("name").agg(*sums)
+    return _named(snap, classes).select("name", "objects", "shallow")
+
+
+@command
+def retained_column(snap: Snapshot, classes: DataFrame, dom: graph.Dominance, tree: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
+    """(class_id, objects, shallow, retained): a class table with its retained sizes.
+
+    Approximate without tree and refs: the least retained size, what the objects dominate one by one.
+    With them precise: what roots reach only through the objects of the class together.
+    """
+    rows = snap.objects.join(F.broadcast(classes.select("class_id")), "class_id", "left_semi")
+    own = rows.groupBy("class_id").agg(quantize.count().alias("objects"), F.sum("shallow").cast("long").alias("shallow"))
+    if tree is None:
+        # An object counts once for its class however many of its dominators are of that class.
+        held = dom.pairs.join(rows.select(F.col("object_id").alias("dominator_id"), "class_id"), "dominator_id").select("object_id", "class_id").distinct()
+    else:
+        held = graph.retained_by_groups(refs if refs is not None else snap.refs, snap.roots, rows.select(F.col("class_id").alias("group_id"), "object_id"), tree).withColumnRenamed("group_id", "class_id")
+    sizes = held.join(snap.objects.select("object_id", "shallow"), "object_id").groupBy("class_id").agg(F.sum("shallow").cast("long").alias("retained"))
+    return own.join(sizes, "class_id", "left")
 
 
 @command
 def dominator_tree(snap: Snapshot, dom: graph.Dominance, group_by: str = "NONE") -> DataFrame:
-    """Top level of the tree with retained sizes and their share of the heap; or its rows by class."""
+    """Top level of the tree with retained sizes and their share of the heap; or its rows by class, loader or package."""
+    _known(group_by, "NONE", "BY_CLASS", "BY_CLASSLOADER", "BY_PACKAGE")
     top = dom.tree().where("dominator_id is null").select("object_id")
     rows = top.join(dom.retained(snap.objects), "object_id").join(snap.objects.select("object_id", "class_id", "shallow"), "object_id")
     heap = snap.objects.agg(F.sum("shallow").alias("heap"))
     rows = rows.crossJoin(F.broadcast(heap)).withColumn("share", F.col("retained") / F.col("heap")).drop("heap")  # one row
     if group_by == "NONE":
         return rows.select("object_id", "class_id", "shallow", "retained", "share")
-    by = _named(snap, rows).groupBy("name" if group_by == "BY_CLASS" else "loader_id")
-    return by.agg(quantize.count().alias("objects"), F.sum("shallow").cast("long").alias("shallow"), F.sum("retained").cast("long").alias("retained"))
+    sums = [F.sum(c).cast("long").alias(c) for c in ("objects", "shallow", "retained")]
+    per = _named(snap, rows.withColumn("objects", F.lit(1))).groupBy("class_id", "name", "loader_id").agg(*sums)
+    if group_by == "BY_PACKAGE":
+        return quantize.by_package(per, "name", *sums)
+    return per.drop("class_id", "loader_id") if group_by == "BY_CLASS" else per.groupBy("loader_id").agg(*sums)
 
 
 @command
@@ -85,11 +116,13 @@ def immediate_dominators(snap: Snapshot, dom: graph.Dominance, ids: DataFrame, s
 
 @command
 def big_drops_in_dominator_tree(snap: Snapshot, dom: graph.Dominance, percent: float = 1.0) -> DataFrame:
-    """Objects whose retained size exceeds their greatest child's by more than percent of the heap."""
+    """Objects whose retained size exceeds their greatest child's by more than percent of the heap; so do leaves below the top level."""
     retained = dom.retained(snap.objects)
     child = dom.tree().where("dominator_id is not null").join(retained, "object_id").groupBy(F.col("dominator_id").alias("object_id")).agg(F.max("retained").alias("child"), quantize.count().alias("children"))
     heap = snap.objects.agg(F.sum("shallow").alias("heap"))
-    met = retained.join(child, "object_id").crossJoin(F.broadcast(heap))  # one row
+    inner = dom.tree().where("dominator_id is not null").select("object_id", F.lit(True).alias("below"))
+    met = retained.join(child, "object_id", "left").join(inner, "object_id", "left").where("child is not null or below")
+    met = met.withColumn("child", F.coalesce("child", F.lit(0))).withColumn("children", F.coalesce("children", F.lit(0))).crossJoin(F.broadcast(heap))  # one row
     return met.withColumn("drop_size", F.col("retained") - F.col("child")).where(F.col("drop_size") > percent / 100 * F.col("heap")).select("object_id", "retained", F.col("child").alias("biggest_child"), "drop_size", "children")
 
 
@@ -99,6 +132,13 @@ def top_consumers(snap: Snapshot, dom: graph.Dominance, percent: float = 1.0) ->
     return dominator_tree(snap, dom).where(F.col("share") > percent / 100)
 
 
+@command
+def top_consumers_grouped(snap: Snapshot, dom: graph.Dominance, group_by: str = "BY_CLASS", percent: float = 1.0) -> DataFrame:
+    """Classes, loaders or packages whose top-level dominators retain more than percent of the heap."""
+    heap = snap.objects.agg(F.sum("shallow").alias("heap"))
+    return dominator_tree(snap, dom, group_by).crossJoin(F.broadcast(heap)).where(F.col("retained") > percent / 100 * F.col("heap")).drop("heap")  # one row
+
+
 @command
 def pie_biggest_objects(snap: Snapshot, dom: graph.Dominance) -> DataFrame:
     """The biggest top-level dominators: three at least, up to ten while they hold under a quarter of the heap, none under 1 %."""
@@ -194,13 +234,13 @@ def classloader_explorer(snap: Snapshot) -> DataFrame:
 @command
 def group_by_value(df: DataFrame, field: str, shallow: Column) -> DataFrame:
     """(value, objects, shallow, average) of the objects' text or field value."""
-    return df.groupBy(F.col(field).alias("value")).agg(quantize.count().alias("objects"), F.sum(shallow).cast("long").alias("shallow"))
+    return df.groupBy(F.col(field).alias("value")).agg(quantize.count().alias("objects"), F.sum(shallow).cast("long").alias("shallow"), F.avg(shallow).alias("average"))
 
 
 @command
 def find_strings(df: DataFrame, field: str, pattern: str) -> DataFrame:
     """Objects whose whole text matches."""
-    return df.where(F.coalesce(F.col(field).rlike(f"^(?:{smart_fix(pattern)})$"), F.lit(False)))
+    return df.where(F.coalesce(F.col(field).rlike(whole(smart_fix(pattern))), F.lit(False)))
 
 
 @command
@@ -232,6 +272,12 @@ def hash_entries(df: DataFrame, keep: Sequence[str], entries: Column) -> DataFra
     return df.select(*keep, F.explode(entries).alias("key", "value"))
 
 
+@command
+def hash_set_values(df: DataFrame, keep: Sequence[str], value: str) -> DataFrame:
+    """(keep, value): the different values of each set, where a row is a set's entry; null is a value too."""
+    return df.select(*keep, F.col(value).alias("value")).distinct()
+
+
 @command
 def extract_list_values(df: DataFrame, keep: Sequence[str], array: str) -> DataFrame:
     return df.select(*keep, F.posexplode(array).alias("at", "value"))

@@ -35,8 +35,13 @@ def average_long(x: Column | str, of_bytes: bool = False) -> Column:
     """Whole division of sum by count; of nothing 0, or 1 for bytes."""
     x = F.col(x) if isinstance(x, str) else x
     n = F.count(x)
-    mean = F.sum(x) / F.when(n > 0, n)
-    return F.coalesce(F.when(mean >= 0, F.floor(mean)).otherwise(F.ceil(mean)), F.lit(1 if of_bytes else 0)).cast("long")
+    return F.coalesce(truncated(F.sum(x), F.when(n > 0, n)), F.lit(1 if of_bytes else 0)).cast("long")
+
+
+def truncated(a: Column, b: Column) -> Column:
+    """Whole division of longs, towards 0, exact at any size."""
+    wide = "decimal(20,0)"
+    return ((a - a % b).cast(wide) / b.cast(wide)).cast("long")
 
 
 def latest(x: Column | str, order: Column | str) -> Column:
@@ -61,8 +66,9 @@ def linear_double(x: Column, low: float, high: float, step: float) -> Column:
 
 
 def linear_long(x: Column, low: int, high: int, step: int) -> Column:
-    """As above for whole numbers; ranges are aligned to 0 and shifted by low."""
-    return F.when(x <= low, F.lit(low).cast("long")).when(x > high, F.lit(2**63 - 1)).otherwise(F.lit(low) + step * (F.expr("0") + F.floor((x - 1) / step) + 1)).cast("long")
+    """As above for whole numbers; ranges are aligned to 0 (division truncates) and shifted by low."""
+    inside = F.when((x > low) & (x <= high), x.cast("long"))
+    return F.when(x <= low, F.lit(low).cast("long")).when(x > high, F.lit(2**63 - 1)).otherwise(F.lit(low) + step * (truncated(inside - 1, F.lit(step).cast("long")) + 1)).cast("long")
 
 
 def totals(df: DataFrame, *columns: str) -> DataFrame:
@@ -73,22 +79,24 @@ def totals(df: DataFrame, *columns: str) -> DataFrame:
 def by_package(df: DataFrame, name: str, *aggregates: Column) -> DataFrame:
     """One row for each package prefix and each class (whole name), with all below it summed.
 
-    Classes without a package are below <ROOT>.
+    Classes without a package are below <ROOT>.  A class and a package of one name are rows of their own.
     """
     parts = F.split(F.col(name), r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
     nodes = F.when(F.size(parts) == 1, F.array(F.lit("<ROOT>"), F.col(name))).otherwise(prefixes)
-    return df.withColumn("package", F.explode(nodes)).groupBy("package").agg(*aggregates)
+    last = F.size(nodes) - 1
+    marked = F.transform(nodes, lambda n, i: F.struct(n.alias("package"), (i == last).alias("is_class")))
+    return df.withColumn("node__", F.explode(marked)).select("*", "node__.*").groupBy("package", "is_class").agg(*aggregates).drop("is_class")
 
 
 def by_superclass(df: DataFrame, classes: DataFrame, *aggregates: Column) -> DataFrame:
-    """One row for each class with its subclasses' rows summed in: df has class_id.
+    """One row for each class (of each loader) with its subclasses' rows summed in: df has class_id.
 
     Rows are summed by class before they meet the closure, so the join is between classes.
     """
     up = class_ancestors(classes).select("class_id", "ancestor_id")
     named = classes.select(F.col("class_id").alias("ancestor_id"), "name")
-    return df.join(F.broadcast(up), "class_id").join(F.broadcast(named), "ancestor_id").groupBy("name").agg(*aggregates)
+    return df.join(F.broadcast(up), "class_id").join(F.broadcast(named), "ancestor_id").groupBy("ancestor_id", "name").agg(*aggregates).drop("ancestor_id")
 
 
 def by_loader(df: DataFrame, classes: DataFrame, *aggregates: Column) -> DataFrame:

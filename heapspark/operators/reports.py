@@ -41,15 +41,15 @@ def list_objects(snap: Snapshot, ids: DataFrame, inbound: bool = False) -> DataF
 
 
 @command
-def path2gc(snap: Snapshot, target: int, paths: int = 30, max_length: int | None = None) -> DataFrame:
+def path2gc(snap: Snapshot, target: int, paths: int = 30, max_length: int | None = None, reached: DataFrame | None = None) -> DataFrame:
     """(path, length): up to `paths` simple paths from roots to one object, shortest first, least ids first.
 
     Walks back level by level over objects that roots reach, all unfinished walks at once, until enough
     paths are found; only the final list is limited.  The walks of a level can be many where paths branch
-    and meet again.
+    and meet again.  reached: breadth_first() from the roots, where it is known.
     """
     spark = snap.objects.sparkSession
-    reached = materialize(graph.breadth_first(snap.refs, snap.roots).select(F.col("object_id").alias("up")), "reached")
+    reached = (graph.breadth_first(snap.refs, snap.roots) if reached is None else reached).select(F.col("object_id").alias("up"))
     back = snap.refs.select(F.col("dst_id").alias("at"), F.col("src_id").alias("up")).distinct().join(reached, "up", "left_semi")
     roots = snap.roots.select(F.col("object_id").alias("at"), F.lit(True).alias("root")).distinct()
     walks = spark.createDataFrame([([target], target)], "path array<long>, at long")

@@ -6,11 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.values import smart_fix
+from ..functions.values import smart_fix, whole
 from ..plans.snapshot import Snapshot, class_ancestors
 
 
+#: Classes up to this number become a filter, which reaches the scans; more are joined.
+LISTED = 1000
+
+
 def _of(snap: Snapshot, ids: DataFrame) -> DataFrame:
+    """Objects of some classes.  A filter on a list folds away the tables and files of other classes."""
+    listed = [r[0] for r in ids.limit(LISTED + 1).collect()]
+    if len(listed) <= LISTED:
+        return snap.objects.where(F.col("class_id").isin(listed))
     return snap.objects.join(F.broadcast(ids), "class_id", "left_semi")  # one row for each class
 
 
@@ -26,12 +34,12 @@ def extent_with_subclasses(snap: Snapshot, name: str) -> DataFrame:
 
 def extent_like(snap: Snapshot, pattern: str) -> DataFrame:
     """Objects of the classes whose whole name matches."""
-    return _of(snap, snap.classes.where(F.col("name").rlike(f"^(?:{smart_fix(pattern)})$")).select("class_id"))
+    return _of(snap, snap.classes.where(F.col("name").rlike(whole(smart_fix(pattern)))).select("class_id"))
 
 
 def class_objects(snap: Snapshot, pattern: str) -> DataFrame:
     """The classes themselves."""
-    return snap.classes.where(F.col("name").rlike(f"^(?:{smart_fix(pattern)})$"))
+    return snap.classes.where(F.col("name").rlike(whole(smart_fix(pattern))))
 
 
 def by_id(snap: Snapshot, ids: Sequence[int]) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.values import whole
+from ..operators import graph
 from ..operators.graph import breadth_first
 from ..plans.snapshot import Snapshot
+from ..plans.store import discard as remove, materialize
 
 _TABLES = ("objects", "classes", "refs", "roots")
 
@@ -22,6 +28,64 @@ def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
     return Snapshot(*[spark.read.parquet(f"{path}/{t}") for t in _TABLES])
 
 
+class Indexed:
+    """A snapshot and what follows from it, each part written when first asked for and then reused.
+
+    edges: different references between objects, by source; tree: shortest paths from the roots;
+    dominance: dominators under those.
+    """
+
+    def __init__(self, snap: Snapshot):
+        objects = materialize(snap.objects.sortWithinPartitions("class_id"), "objects")
+        self.snap = Snapshot(objects, snap.classes, materialize(snap.refs, "refs"), snap.roots)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return graph.edges_of(self.snap.refs)
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        return materialize(breadth_first(self.edges, self.snap.roots), "tree")
+
+    @cached_property
+    def dominance(self) -> graph.Dominance:
+        return graph.dominance(self.edges, self.snap.roots, self.tree)
+
+    @cached_property
+    def retained(self) -> DataFrame:
+        return materialize(self.dominance.retained(self.snap.objects), "retained")
+
+    def drop(self) -> None:
+        """Remove what was written."""
+        held = self.__dict__
+        remove(self.snap.objects, self.snap.refs, *[held[k] for k in ("edges", "tree", "retained") if k in held])
+        if "dominance" in held:
+            remove(held["dominance"].pairs)
+
+
+_INDEXED: dict[tuple[str, str], tuple[tuple, Indexed]] = {}
+
+
+def state_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the files below a folder: it changes where any of them does."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing, out = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while listing.hasNext():
+        f = listing.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def indexed(spark: SparkSession, folder: str, build: Callable[[SparkSession, str], Snapshot]) -> Indexed:
+    """The session's index of a source folder; built again, and the old one removed, where the source has changed."""
+    key, now = (spark.sparkContext.applicationId, folder), state_of(spark, folder)
+    if key in _INDEXED and _INDEXED[key][0] != now:
+        _INDEXED.pop(key)[1].drop()
+    if key not in _INDEXED:
+        _INDEXED[key] = (now, Indexed(build(spark, folder)))
+    return _INDEXED[key][1]
+
+
 def keep_unreachable(snap: Snapshot) -> Snapshot:
     """Unreachable objects become roots of type UNREACHABLE."""
     lost = snap.objects.join(breadth_first(snap.refs, snap.roots).select("object_id"), "object_id", "left_anti").select("object_id", F.lit(2048).alias("type"))
@@ -30,7 +94,7 @@ def keep_unreachable(snap: Snapshot) -> Snapshot:
 
 def discard(snap: Snapshot, percent: int, names: str, seed: int = 1, offset: int = 0) -> Snapshot:
     """Without percent of the objects whose class name wholly matches; chosen by a hash of the id, so alike at every run."""
-    classes = snap.classes.where(F.col("name").rlike(f"^(?:{names})$")).select("class_id")
+    classes = snap.classes.where(F.col("name").rlike(whole(names))).select("class_id")
     gone = snap.objects.join(F.broadcast(classes), "class_id", "left_semi").where(F.pmod(F.xxhash64("object_id", F.lit(seed)) + offset, F.lit(100)) < percent).select("object_id")
     objects = snap.objects.join(gone, "object_id", "left_anti")
     refs = snap.refs.join(gone.withColumnRenamed("object_id", "src_id"), "src_id", "left_anti").join(gone.withColumnRenamed("object_id", "dst_id"), "dst_id", "left_anti")
