@@ -548,3 +548,216 @@ def test_queries_are_registered():
 
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
     assert json.dumps(sorted(QUERIES))
+
+
+# --- inputs that once went wrong
+
+CLASH = ["gone", "line_row", "secrets", "runs", "has_token", "raw_tokens", "hex", "assign", "access", "random", "tokens", "counts", "verdict", "at_hash", "k1__", "k2__", "gone__", "m__", "line_hash", "votes", "value__join"]
+
+
+@pytest.fixture(scope="module")
+def clash(spark):
+    common.ship(spark)
+    text = "password = hunter2hunter2 and " + " ".join(f"plain word{i} of prose" for i in range(12))
+    rows = [(i, text if i < 3 else f"{text} {i} " * 2, i, *["kept"] * len(CLASH)) for i in range(4)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH))
+
+
+@pytest.mark.parametrize("stage", [quality.keep_good, lines.drop_frequent_lines, neardup.keep_first, secrets.redact])
+def test_no_caller_column_is_touched(clash, stage):
+    out = stage(clash)
+    assert out.columns[: len(clash.columns)] == clash.columns or set(clash.columns) <= set(out.columns)
+    got = rows(out)
+    assert got and all(r[c] == "kept" for r in got for c in CLASH)
+
+
+def test_scan_refuses_a_taken_column(clash):
+    with pytest.raises(ValueError):
+        secrets.scan(clash, "hex")
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id with different texts are told apart: only the copy goes."""
+    common.ship(spark)
+    a, b = "one two three four five six seven", "other words that have nothing in common with it"
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows(neardup.near_duplicates(df))) == [(1, 1), (5, 1), (5, 5), (9, 5)]
+    assert sorted((r["doc_id"], r["text"]) for r in rows(neardup.keep_first(df))) == [(1, a), (5, b)]
+
+
+def test_near_duplicates_many_unlinked(spark, monkeypatch):
+    """Texts that share most of a passage with a large group, but not enough: no links, and pairs stay few."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    common.ship(spark)
+    rng = np.random.default_rng(11)
+    vocab = [f"v{i}" for i in range(9000)]
+    core = list(rng.choice(vocab, 100))
+    texts = [(i, " ".join([*core, *rng.choice(vocab, 3)])) for i in range(60)]  # linked
+    texts += [(100 + i, " ".join([*core, *rng.choice(vocab, 60)])) for i in range(80)]  # not linked
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(neardup.near_duplicates(df))}
+    assert got == slow_components(texts) and len({c for _, _, c in got}) == 81
+
+
+def test_token_files_roll_and_refuse(spark, docs, tmp_path):
+    manifest = frames.write(docs, WORD, f"file://{tmp_path}/a", file_docs=17).persist()
+    assert manifest.agg(F.max("n_docs")).first()[0] == 17 and manifest.count() > 10
+    check_frames(rows(frames.read(manifest)), pairs(docs))
+    writer = frames.FrameWriter((tmp_path / "x").open("wb"), 2)
+    with pytest.raises(ValueError):
+        writer.add(1, np.array([65_536], "u4"))
+    assert frames.id_width(WORD, 2) == 2 and frames.id_width(WORD, 70_000) == 4
+
+
+def test_numerals_are_no_letters(spark):
+    assert langid.counts("½²Ⅷ 12")[0].size == 0 and langid.counts("a½b")[0].size > 0
+
+
+def slow_battery(token):
+    """(p, half) of one token by plain Python."""
+    v = token.rstrip("=").replace("-", "+").replace("_", "/")
+    kind = next((k for k, p in (("hex", r"[0-9a-f]+"), ("HEX", r"[0-9A-F]+"), ("base32", r"[A-Z2-7]+"), ("base62", r"[A-Za-z0-9]+")) if re.fullmatch(p, v)), "base64")
+    alphabet, tops = secrets._ALPHABETS[kind]
+    n, k = len(v), len(alphabet)
+    codes = [alphabet.find(c) + 1 for c in v]
+    upper = lambda z: 1 / (1 + math.exp(1.5976 * (z := max(-8.0, min(8.0, z))) + 0.07056 * z**3))
+    chi = k / n * sum(codes.count(i) ** 2 for i in range(1, k + 1)) - n
+    edges, chi_class = [0, *tops], 0.0
+    for a, b in zip(edges, edges[1:]):
+        want = n * (b - a) / k
+        chi_class += (sum(a < c <= b for c in codes) - want) ** 2 / want
+    df, high, mean = len(tops) - 1, sum(c > k / 2 for c in codes), (k + 1) / 2
+    runs, mean_runs = sum((a > k / 2) != (b > k / 2) for a, b in zip(codes, codes[1:])) + 1, 2 * high * (n - high) / n + 1
+    var = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:]))
+    zs = ((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n), ((chi_class / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    ps = [*map(upper, zs), 2 * upper(abs(runs - mean_runs) / math.sqrt(var) if var > 0 else 8.0), 2 * upper(abs(serial) / ((k * k - 1) / 12 * math.sqrt(n - 1)))]
+    half = -sum(math.log(max(1e-15, min(1.0, p))) for p in ps)
+    return (math.exp(-half) * (1 + half + half**2 / 2 + half**3 / 6) if n >= 16 else 0.0), half
+
+
+def test_battery_equals_a_slow_one(spark):
+    rng = np.random.default_rng(8)
+    tokens = ["".join(rng.choice(list(a), n)) for a in (s for s, _ in secrets._ALPHABETS.values()) for n in (20, 33, 64)] + ["averylongordinaryword" * 2, "a/b-c_d" * 5 + "=="]
+    df = spark.createDataFrame([(i, f" {t} ") for i, t in enumerate(tokens)], "doc_id long, text string")
+    got = {r["doc_id"]: r["x"]["tokens"][0] for r in secrets.with_spans(df, "x").collect()}
+    for i, t in enumerate(tokens):
+        p, half = slow_battery(t)
+        assert got[i]["v"] == t and got[i]["p"] == pytest.approx(p, rel=1e-6, abs=1e-12) and got[i]["half"] == pytest.approx(half, rel=1e-6), t
+
+
+def test_flagged_tokens_are_few_ordinary_ones(spark):
+    """Of the flagged tokens the share of ordinary ones stays near the chosen rate."""
+    rng = np.random.default_rng(9)
+    words = "".join(rng.choice(list("etaoinshrdlucmfw"), 3000, p=np.array([13, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 2, 2, 12]) / 100))
+    secret = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(60)]
+    ordinary = [words[i * 40 : i * 40 + 40] for i in range(60)]
+    prose = " ".join(words[i : i + 6] for i in range(0, 2400, 6))
+    df = spark.createDataFrame([(i, f"{prose} {t} ") for i, t in enumerate(secret + ordinary)], "doc_id long, text string")
+    hit = {r["doc_id"] for r in secrets.scan(df).collect() if r["secrets"]["random"]}
+    assert len(hit & set(range(60))) >= 55 and len(hit - set(range(60))) <= 2
+
+
+def test_long_folds_are_linear(spark):
+    """Positions past many matches, over several chunks."""
+    text = "é key token=abcdefgh x\n" * 700
+    r = rows(secrets.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")))[0]
+    assert r["n_assign"] == 700 and r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in base_spans(text)).encode()).hexdigest()
+    masked = rows(secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")))[0]["text"]
+    assert masked == re.sub(r"token=abcdefgh", "[SECRET]", text)
+
+
+def slow_sketch(text, width=sketch.WIDTH):
+    """Kept hashes by plain integers, one shingle at a time."""
+    mask, m1, m2 = 2**64 - 1, int(sketch._M1), int(sketch._M2)
+
+    def mix(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 32)) * m2) & mask
+        return x ^ (x >> 32)
+
+    def joined(part):
+        if len(part) == 1:
+            return (part[0] + 1) * m1 & mask
+        a, b = joined(part[: len(part) // 2]), joined(part[len(part) // 2 :])
+        return (a * m1 + (b ^ (b >> 29))) & mask
+
+    points = [ord(c) for c in text]
+    return sorted({h for i in range(len(points) - width + 1) if (h := mix(joined(points[i : i + width]))) < int(sketch.FRACTION * 2**64)})
+
+
+def test_sketch_equals_a_slow_one(docs):
+    for _, text in pairs(docs)[:20]:
+        if len(text) >= sketch.WIDTH:
+            assert sketch.sketch(text).tolist() == slow_sketch(text)
+
+
+def test_likeness_equals_slow_sets(docs):
+    order = sorted(pairs(docs), key=lambda x: -x[0])
+    want = {}
+    for (d, t), (_, u) in zip(order, order[1:] + order[:1]):
+        e = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
+        a, b, c = (set(slow_sketch(x)) if len(x) >= sketch.WIDTH else None for x in (t, e, u))
+        if a and b and c:
+            want[d] = (1.0 if t == e else len(a & b) / len(a), 1.0 if t == u else len(a & c) / len(a))
+    got = {r["doc_id"]: (r["near_edited"], r["near_next"]) for r in rows(sketch.fingerprints(docs))}
+    assert len(want) > 150 and all(got[d] == pytest.approx(x) for d, x in want.items())
+
+
+def test_language_scores_equal_slow_ones(docs):
+    """Each query's score against TF-IDF and softmax written out over a dictionary."""
+    model = langid.fit(docs.withColumn("text", F.substring("text", 1, 3000)))
+    texts = pairs(docs)[:12]
+    for _, text in texts:
+        letters = re.findall(r"[^\W\d_]+", text.lower())
+        t = f" {' '.join(letters)} "
+        grams = Counter()
+        for i in range(len(t)):
+            if 0 < i < len(t) - 1:
+                grams[ord(t[i]) % langid.FEATURES] += 1
+            if i + 1 < len(t):
+                grams[(ord(t[i]) * 7919 + ord(t[i + 1]) + 104_729) % langid.FEATURES] += 1
+            if i + 2 < len(t):
+                grams[((ord(t[i]) * 7919 + ord(t[i + 1])) * 7919 + ord(t[i + 2]) + 1_299_709) % langid.FEATURES] += 1
+        x = {g: (1 + math.log(n)) * model.idf[g] for g, n in grams.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        logits = [(sum(v / size * model.weights[g, k] for g, v in x.items()) + model.bias[k]) / model.temperature for k in range(len(model.langs))]
+        e = [math.exp(z - max(logits)) for z in logits]
+        assert model.scores(text) == pytest.approx([v / sum(e) for v in e])
+
+
+def test_toxicity_scores_equal_slow_ones(spark):
+    """Window gains by plain compression with each dictionary, and the logistic written out."""
+    import zstandard
+
+    rng = np.random.default_rng(5)
+    plain = [" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)) for _ in range(40)]
+    rows_ = [(t if i % 4 else f"{t[:90]} zqxzqx {t[90:]}", int(i % 4 == 0), 1.0) for i, t in enumerate(plain)]
+    rng.shuffle(rows_)
+    model = toxicity.learn([(t, int(y), float(w)) for t, y, w in rows_])
+    sides = [zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(c, dict_type=model.kind), write_content_size=False, write_checksum=False, write_dict_id=False) for c in (model.toxic, model.ordinary)]
+    for text in [t for t, _, _ in rows_[:8]] + [""]:
+        raw = text.encode()
+        d = [len(sides[1].compress(raw[i : i + toxicity.WINDOW])) - len(sides[0].compress(raw[i : i + toxicity.WINDOW])) for i in range(0, max(1, len(raw) - 16), toxicity.STEP)]
+        gain = [max(0, g) for g in d]
+        x = [sum(gain) / len(d), math.log1p(sum(gain)), min(max(gain), 20) / 4, (sum(d) - sum(gain)) / len(d), sum(d) / math.sqrt(len(d)), 1.0]
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(x, model.weights)))))))
+
+
+def test_runs_hold_each_hash_once(spark, docs):
+    """A batch's own run has only hashes that no live run has; its increments only such that one has."""
+    runs = lines.LineRuns(spark, min_docs=10**6, fanout=99)
+    for b in range(3):
+        runs.add(lines.document_keys(docs.where(f"doc_id % 3 = {b}")))
+    own = [run for run, _ in runs.levels[0]]
+    assert own[0].unionByName(own[1]).unionByName(own[2]).groupBy("h1", "h2").count().where("count > 1").count() == 0
+    assert all(d.join(own[0].unionByName(own[1]), ["h1", "h2"], "left_anti").count() == 0 for _, d in runs.levels[0] if d is not None)
+    runs.drop()
+
+
+def test_slices_are_bounded():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 400, None, "y" * 900, "", "z" * 10, "w" * 300])], names=["text"])
+    got = list(common.slices([batch], most=500))
+    assert sum((b.column(0).to_pylist() for b in got), []) == batch.column(0).to_pylist() and len(got) > 1
