@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks a worker remembers, about 170 bytes each.  Where they are more, the half that came last is forgotten: what is
 #: frequent comes early.
-MEMORY = 400_000
+MEMORY = 1_000_000
 
 #: Runs of non-space with their leading space, and white space as the byte-level pattern cuts it.
 _CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
