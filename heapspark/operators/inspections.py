@@ -204,6 +204,53 @@ def merge_shortest_paths(snap: Snapshot, tree: DataFrame, ids: DataFrame) -> Dat
     return _named(snap, named).groupBy("depth", "name").agg(F.countDistinct("at").alias("on_path"), quantize.count().alias("referenced"))
 
 
+@command
+def grouped_paths(snap: Snapshot, tree: DataFrame, ids: DataFrame, group_by: str = "FROM_GC_ROOTS_BY_CLASS") -> DataFrame:
+    """Shortest paths of ids from the roots as a tree: (level, path, name, on_path, referenced), a row a node.
+
+    FROM_GC_ROOTS merges objects (path: the object's id), FROM_GC_ROOTS_BY_CLASS equal sequences of classes from
+    the roots down, FROM_OBJECTS_BY_CLASS those from the objects up.  on_path: different objects at the node;
+    referenced: ids whose path passes it.  Rows and path texts grow with the paths' lengths; ids that roots don't
+    reach have no path.
+    """
+    _known(group_by, "FROM_GC_ROOTS", "FROM_GC_ROOTS_BY_CLASS", "FROM_OBJECTS_BY_CLASS")
+    walked = graph.paths(tree, ids.select("object_id").distinct())
+    named = _named(snap, walked.join(snap.objects.select(F.col("object_id").alias("at"), "class_id"), "at")).select("object_id", "at", "depth", "name")
+    if group_by == "FROM_GC_ROOTS":
+        return named.groupBy(F.col("depth").alias("level"), F.col("at").cast("string").alias("path"), "name").agg(F.lit(1).cast("long").alias("on_path"), quantize.count().alias("referenced"))
+    w = Window.partitionBy("object_id").orderBy("depth" if group_by == "FROM_GC_ROOTS_BY_CLASS" else F.desc("depth"))  # one path
+    so_far = named.withColumn("path", F.array_join(F.collect_list("name").over(w), ">")).withColumn("level", F.row_number().over(w) - 1)
+    return so_far.groupBy("level", "path", "name").agg(F.countDistinct("at").alias("on_path"), quantize.count().alias("referenced"))
+
+
+@command
+def immediate_dominated(snap: Snapshot, dom: graph.Dominance, ids: DataFrame) -> DataFrame:
+    """(dominator_id, object_id, class_id, shallow, retained): what each of ids dominates immediately."""
+    under = dom.tree().join(ids.select(F.col("object_id").alias("dominator_id")).distinct(), "dominator_id", "left_semi")
+    rows = under.select("dominator_id", "object_id").join(dom.retained(snap.objects), "object_id").join(snap.objects.select("object_id", "class_id", "shallow"), "object_id")
+    return rows.select("dominator_id", "object_id", "class_id", "shallow", "retained")
+
+
+@command
+def leakhunter(snap: Snapshot, dom: graph.Dominance, tree: DataFrame, threshold_percent: float = 20.0, ratio: float = 0.7, common: float = 0.8) -> DataFrame:
+    """Suspects of find_leaks and where they pile up: (kind, name, object_id, objects, retained, point, point_name).
+
+    A single object's point is its accumulation point; a group's is the deepest object, least id first, that the
+    shortest paths of at least `common` of its members pass, null where there is none.  Groups are at most
+    100 / threshold_percent.
+    """
+    found = graph.materialize(find_leaks(snap, dom, threshold_percent), "suspects")
+    single = accumulation_point(snap, dom, found.where("kind = 'object'").select("object_id"), ratio)
+    groups = F.broadcast(found.where("kind = 'class'").select("name", F.col("objects").alias("members")))
+    top = _named(snap, dominator_tree(snap, dom)).where(F.col("share") <= threshold_percent / 100).select("object_id", "name")
+    members = graph.materialize(top.join(groups, "name"), "members")
+    passed = graph.paths(tree, members).where("object_id <> at").join(members, "object_id").groupBy("name", "at").agg(quantize.count().alias("n"), F.max("depth").alias("depth"), F.max("members").alias("members"))
+    shared = passed.where(F.col("n") >= common * F.col("members")).groupBy("name").agg(F.max_by("at", F.struct("depth", -F.col("at"))).alias("shared"))
+    met = found.join(single, "object_id", "left").join(shared.withColumn("kind", F.lit("class")), ["kind", "name"], "left").withColumn("point", F.coalesce("point", "shared"))
+    point = _named(snap, snap.objects.join(F.broadcast(met.select(F.col("point").alias("object_id")).distinct()), "object_id", "left_semi")).select(F.col("object_id").alias("point"), F.col("name").alias("point_name"))
+    return met.join(point, "point", "left").select("kind", "name", "object_id", "objects", "retained", "point", "point_name")
+
+
 @command
 def unreachable_objects(snap: Snapshot) -> DataFrame:
     return histogram(snap, graph.unreachable(snap.objects, snap.refs, snap.roots))

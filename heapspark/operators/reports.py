@@ -143,6 +143,18 @@ def thread_stack(frames: DataFrame, thread_id: int) -> DataFrame:
     return frames.where(F.col("thread_id") == thread_id).select("depth", "text", "locals").orderBy("depth")
 
 
+@command
+def thread_details(snap: Snapshot, threads: DataFrame, frames: DataFrame, dom: graph.Dominance) -> DataFrame:
+    """(object_id, depth, text, local, name, retained): a row for each local object of each frame of the threads.
+
+    A frame without locals, or a thread without frames, keeps one row with nulls.
+    """
+    of = threads.select("object_id").distinct().join(frames.withColumnRenamed("thread_id", "object_id"), "object_id", "left")
+    rows = of.select("object_id", "depth", "text", F.explode_outer("locals").alias("local"))
+    sized = inspections._named(snap, snap.objects).select(F.col("object_id").alias("local"), "name").join(dom.retained(snap.objects).withColumnRenamed("object_id", "local"), "local", "left")
+    return rows.join(sized, "local", "left").select("object_id", "depth", "text", "local", "name", "retained")
+
+
 @command
 def linked_queue(snap: Snapshot, heads: DataFrame, following: str = "next", referent: str = "referent") -> DataFrame:
     """(object_id, at, referent) of linked lists walked from their heads until null or a link to itself.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import smart_fix, whole
 from ..plans.snapshot import Snapshot, class_ancestors
+from . import graph
 
 
 #: Classes up to this number become a filter, which reaches the scans; more are joined.
@@ -37,6 +38,40 @@ def extent_like(snap: Snapshot, pattern: str) -> DataFrame:
     return _of(snap, snap.classes.where(F.col("name").rlike(whole(smart_fix(pattern)))).select("class_id"))
 
 
+def extent_of(snap: Snapshot, classes: DataFrame) -> DataFrame:
+    """Objects of the classes that a sub-select returns (column class_id)."""
+    return _of(snap, classes.select("class_id").where("class_id is not null").distinct())
+
+
+def implements(snap: Snapshot, objects: DataFrame, name: str, column: str = "implements") -> DataFrame:
+    """objects with a boolean column: whether their class is of this name or descends from one that is."""
+    of = snap.classes.where(F.col("name") == name).select(F.col("class_id").alias("ancestor_id"))
+    under = class_ancestors(snap.classes).join(of, "ancestor_id").select("class_id", F.lit(True).alias(column)).distinct()
+    return objects.join(F.broadcast(under), "class_id", "left").withColumn(column, F.coalesce(column, F.lit(False)))  # one row for each class
+
+
+def object_set(
+    snap: Snapshot, classes: DataFrame, ids: DataFrame | None = None, include_subclasses: bool = False, include_loaded_instances: bool = False,
+    retained: bool = False, edges: DataFrame | None = None, tree: DataFrame | None = None,
+) -> DataFrame:
+    """(object_id): the objects that an inspection's argument names.
+
+    Objects of classes (column class_id) and, as asked, of their subclasses and of all classes of their
+    loaders; with ids besides; with all that roots reach only through the set.  edges and tree: those of
+    the snapshot's index, where they are known.
+    """
+    of = classes.select("class_id").distinct()
+    if include_loaded_instances:
+        loaders = snap.classes.join(of, "class_id", "left_semi").select("loader_id").distinct()
+        of = of.union(snap.classes.join(loaders, "loader_id", "left_semi").select("class_id")).distinct()
+    if include_subclasses:
+        of = class_ancestors(snap.classes).join(of.withColumnRenamed("class_id", "ancestor_id"), "ancestor_id", "left_semi").select("class_id").distinct()
+    out = _of(snap, of).select("object_id")
+    if ids is not None:
+        out = out.union(ids.select("object_id")).distinct()
+    return graph.retained_set(snap.objects, snap.refs if edges is None else edges, snap.roots, out, tree) if retained else out
+
+
 def class_objects(snap: Snapshot, pattern: str) -> DataFrame:
     """The classes themselves."""
     return snap.classes.where(F.col("name").rlike(whole(smart_fix(pattern))))

@@ -502,9 +502,13 @@ _RETAINED = _L + f""", o AS (SELECT c_nationkey AS n, count(*) AS n_orders FROM
  rr AS (SELECT ({OFFSET['region']} + r_regionkey)::BIGINT AS object_id, (24 + coalesce((SELECT sum(own) FROM ns WHERE r = r_regionkey), 0) + 96 * (SELECT count(*) FROM j WHERE cr = sr AND cr = r_regionkey))::BIGINT AS retained FROM region) """
 
 
-@query(_RETAINED + "SELECT object_id, retained FROM nr UNION ALL SELECT object_id, retained FROM rr")
+@query(_RETAINED + f"""SELECT object_id, retained, 1::BIGINT AS objects FROM (SELECT object_id, retained FROM nr UNION ALL SELECT object_id, retained FROM rr
+  UNION ALL SELECT {OFFSET['customer']} + c_custkey, 48 + 56 * count(o_orderkey) FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
+  UNION ALL SELECT {OFFSET['supplier']} + s_suppkey, 40 FROM supplier UNION ALL SELECT {OFFSET['orders']} + o_orderkey, 56 FROM orders) UNION ALL SELECT NULL, 96, count(*) FROM l HAVING count(*) > 0""")
 def retained_size(s, d):
-    return _index(s, d).retained.where(F.col("object_id") < OFFSET["customer"])
+    """Of every reachable object; lines, named by a hash that SQL lacks, are counted by their retained size."""
+    named = F.when(F.col("object_id") < LINE, F.col("object_id")).alias("object_id")
+    return _index(s, d).retained.groupBy(named, "retained").agg(quantize.count().alias("objects"))
 
 
 @query()
@@ -832,3 +836,83 @@ def component_report(s, d):
     shop = _index(s, d).snap
     ids = shop.objects.where(F.col("class_id") == snap.CLASS_OF["customer"]).select("object_id")
     return reports.component_report(shop, ids, F.col("name") == "lines")["histogram"]
+
+
+_PATHS = f"""WITH l AS (SELECT DISTINCT * FROM lineitem), p AS (
+  SELECT {OFFSET['region']} + n_regionkey AS a, {OFFSET['nation']} + n_nationkey AS b, {OFFSET['customer']} + c_custkey AS c, {OFFSET['orders']} + o_orderkey AS e, 'shop.party.Customer' AS cn, 'shop.trade.Order' AS en
+   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT {OFFSET['region']} + n_regionkey, {OFFSET['nation']} + n_nationkey, {OFFSET['supplier']} + s_suppkey, -row_number() OVER (), 'shop.party.Supplier', 'shop.trade.LineItem'
+   FROM l JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+ r AS (SELECT 'shop.place.Region' AS rn, 'shop.place.Nation' AS nn, p.* FROM p) """
+
+
+def _paths_of_trade(s: SparkSession, d: str, group_by: str) -> DataFrame:
+    """Shortest paths of orders and lines: over customers those, over suppliers these."""
+    at = _index(s, d)
+    ids = at.snap.objects.where(F.col("class_id").isin(snap.CLASS_OF["orders"], snap.CLASS_OF["lineitem"]))
+    return inspections.grouped_paths(at.snap, at.tree, ids, group_by)
+
+
+@query(_PATHS + """SELECT level, path, name, count(DISTINCT node)::BIGINT AS on_path, count(*)::BIGINT AS referenced FROM (
+  SELECT 0 AS level, rn AS path, rn AS name, a AS node FROM r UNION ALL SELECT 1, rn || '>' || nn, nn, b FROM r UNION ALL SELECT 2, rn || '>' || nn || '>' || cn, cn, c FROM r
+  UNION ALL SELECT 3, rn || '>' || nn || '>' || cn || '>' || en, en, e FROM r) GROUP BY 1, 2, 3""")
+def paths_from_roots_by_class(s, d):
+    return _paths_of_trade(s, d, "FROM_GC_ROOTS_BY_CLASS")
+
+
+@query(_PATHS + """SELECT level, path, name, count(DISTINCT node)::BIGINT AS on_path, count(*)::BIGINT AS referenced FROM (
+  SELECT 0 AS level, en AS path, en AS name, e AS node FROM r UNION ALL SELECT 1, en || '>' || cn, cn, c FROM r UNION ALL SELECT 2, en || '>' || cn || '>' || nn, nn, b FROM r
+  UNION ALL SELECT 3, en || '>' || cn || '>' || nn || '>' || rn, rn, a FROM r) GROUP BY 1, 2, 3""")
+def paths_from_objects_by_class(s, d):
+    return _paths_of_trade(s, d, "FROM_OBJECTS_BY_CLASS")
+
+
+@query(_PATHS + """SELECT level, path, name, on_path, referenced, count(*)::BIGINT AS nodes FROM (SELECT level, CASE WHEN name <> 'shop.trade.LineItem' THEN node::VARCHAR END AS path, name, 1::BIGINT AS on_path, count(*)::BIGINT AS referenced FROM (
+  SELECT 0 AS level, rn AS name, a AS node FROM r UNION ALL SELECT 1, nn, b FROM r UNION ALL SELECT 2, cn, c FROM r UNION ALL SELECT 3, en, e FROM r) GROUP BY level, node, name) GROUP BY ALL""")
+def paths_from_roots(s, d):
+    """The same by objects; lines, named by a hash that SQL lacks, are counted."""
+    out = _paths_of_trade(s, d, "FROM_GC_ROOTS")
+    named = F.when(F.col("name") != "shop.trade.LineItem", F.col("path")).alias("path")
+    return out.groupBy("level", named, "name", "on_path", "referenced").agg(quantize.count().alias("nodes"))
+
+
+@query(_RETAINED + f"""SELECT dominator_id::BIGINT AS dominator_id, name, retained::BIGINT AS retained, count(*)::BIGINT AS objects FROM (SELECT {OFFSET['region']} + r AS dominator_id, 'shop.place.Nation' AS name, retained FROM nr
+  UNION ALL SELECT {OFFSET['region']} + cr, 'shop.trade.LineItem', 96 FROM j WHERE cr = sr AND cn <> sn) GROUP BY 1, 2, 3""")
+def immediate_dominated(s, d):
+    """What regions dominate immediately, by class and retained size."""
+    shop, dom = _dominance(s, d)
+    rows = inspections._named(shop, inspections.immediate_dominated(shop, dom, shop.roots))
+    return rows.groupBy("dominator_id", "name", "retained").agg(quantize.count().alias("objects"))
+
+
+@query(_RETAINED + f""", h AS (SELECT sum(shallow) AS heap FROM ({_CLASS_OBJECTS})), lone AS (SELECT count(*)::BIGINT AS n FROM j WHERE cr <> sr),
+ b AS (SELECT rr.object_id, rr.retained, max_by(nr.object_id, nr.retained) AS nation, max(nr.retained) AS most FROM rr LEFT JOIN nr ON nr.r = rr.object_id - {OFFSET['region']} GROUP BY 1, 2),
+ c AS (SELECT 0 AS depth, {OFFSET['region']} + sr AS node, 'shop.place.Region' AS name, count(*) AS n FROM j WHERE cr <> sr GROUP BY sr UNION ALL SELECT 1, {OFFSET['nation']} + sn, 'shop.place.Nation', count(*) FROM j WHERE cr <> sr GROUP BY sn
+  UNION ALL SELECT 2, {OFFSET['supplier']} + l_suppkey, 'shop.party.Supplier', count(*) FROM j WHERE cr <> sr GROUP BY l_suppkey), best AS (SELECT max_by(node, depth) AS node, max_by(name, depth) AS name FROM c, lone WHERE c.n >= 0.8 * lone.n)
+ SELECT 'object' AS kind, 'shop.place.Region' AS name, object_id, 1::BIGINT AS objects, retained, CASE WHEN most >= 0.7 * retained THEN nation ELSE object_id END AS point, CASE WHEN most >= 0.7 * retained THEN 'shop.place.Nation' ELSE 'shop.place.Region' END AS point_name FROM b, h WHERE retained > 0.05 * heap
+ UNION ALL SELECT 'class', 'shop.place.Region', NULL, count(*), sum(retained)::BIGINT, NULL, NULL FROM rr, h WHERE retained <= 0.05 * heap HAVING sum(retained) > 0.05 * max(heap)
+ UNION ALL SELECT 'class', 'shop.trade.LineItem', NULL, n, n * 96, (SELECT node FROM best), (SELECT name FROM best) FROM lone, h WHERE 96 * n > 0.05 * heap""")
+def leakhunter(s, d):
+    shop, dom = _dominance(s, d)
+    return inspections.leakhunter(shop, dom, _index(s, d).tree, threshold_percent=5.0)
+
+
+@query(f"SELECT class_id IN (13, 14) AS implements, sum(objects)::BIGINT AS objects FROM ({_CLASS_OBJECTS}) GROUP BY 1")
+def implements_class(s, d):
+    shop = snap.shop(s, d)
+    return scans.implements(shop, shop.objects, "shop.party.Party").groupBy("implements").agg(quantize.count().alias("objects"))
+
+
+@query(f"SELECT name, objects, shallow FROM ({_CLASS_OBJECTS}) WHERE class_id IN (15, 17)")
+def extent_of_subselect(s, d):
+    """Objects of the classes that a sub-select finds by their superclass."""
+    shop = snap.shop(s, d)
+    return inspections.histogram(shop, scans.extent_of(shop, shop.classes.where("super_id = 4")))
+
+
+@query(f"SELECT name, objects, shallow FROM ({_CLASS_OBJECTS}) WHERE class_id IN (13, 14, 15, 17)")
+def object_set_retained(s, d):
+    """Parties, subclasses included, and all that roots reach only through them: orders and lines."""
+    at = _index(s, d)
+    party = at.snap.classes.where("name = 'shop.party.Party'")
+    return inspections.histogram(at.snap, scans.object_set(at.snap, party, include_subclasses=True, retained=True, edges=at.edges, tree=at.tree))

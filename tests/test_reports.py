@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from heapspark.operators import graph, inspections, reports
+from heapspark.operators import graph, inspections, reports, scans
 from heapspark.plans.snapshot import Snapshot
 
 
@@ -73,3 +73,53 @@ def test_names(spark, snap):
     reports.name_resolver("a.A")(lambda df: F.concat(F.lit("#"), F.col("label")))
     named = snap.objects.join(snap.classes, "class_id")
     assert {r[0] for r in named.select(reports.resolved_name(named)).collect()} == {"#o0", ""}
+
+
+def test_path_trees(spark, snap):
+    """Paths of 4 and 8 (least parents: 0-1-3-4, 0-1-3-4-8) and of 6; classes alternate with ids, 3 and 1 are of one class."""
+    tree = graph.breadth_first(snap.refs, snap.roots)
+    wanted = ids(spark, 4, 4, 8, 99)
+
+    def got(group_by):
+        return {(r["level"], r["path"], r["on_path"], r["referenced"]) for r in inspections.grouped_paths(snap, tree, wanted, group_by).collect()}
+
+    assert got("FROM_GC_ROOTS") == {(0, "0", 1, 2), (1, "1", 1, 2), (2, "3", 1, 2), (3, "4", 1, 2), (4, "8", 1, 1)}
+    a, b = "a.A", "a.B"
+    assert got("FROM_GC_ROOTS_BY_CLASS") == {(0, a, 1, 2), (1, f"{a}>{b}", 1, 2), (2, f"{a}>{b}>{b}", 1, 2), (3, f"{a}>{b}>{b}>{a}", 1, 2), (4, f"{a}>{b}>{b}>{a}>{a}", 1, 1)}
+    assert (0, a, 2, 2) in got("FROM_OBJECTS_BY_CLASS") and (1, f"{a}>{b}", 1, 1) in got("FROM_OBJECTS_BY_CLASS") and (1, f"{a}>{a}", 1, 1) in got("FROM_OBJECTS_BY_CLASS")
+    with pytest.raises(ValueError):
+        got("BY_NOTHING")
+
+
+def test_object_sets(spark, snap):
+    def got(**kwargs):
+        return {r["object_id"] for r in scans.object_set(snap, snap.classes.where("name = 'a.A'"), **kwargs).collect()}
+
+    even = set(range(0, 12, 2))
+    assert got() == even and got(include_subclasses=True) == set(range(12)) and got(include_loaded_instances=True) == even
+    assert got(ids=ids(spark, 3, 4)) == even | {3}
+    assert scans.object_set(snap, snap.classes.where("name = 'none'"), ids=ids(spark, 4), retained=True).select("object_id").distinct().count() == 6
+    rows = scans.implements(snap, snap.objects, "a.A").collect()
+    assert all(r["implements"] for r in rows) and len(rows) == 12
+    assert {r["object_id"] for r in scans.implements(snap, snap.objects, "a.B").collect() if r["implements"]} == set(range(1, 12, 2))
+    assert scans.extent_of(snap, spark.createDataFrame([(2,), (None,), (2,)], "class_id int")).count() == 6
+
+
+def test_dominated_threads_and_suspects(spark, snap):
+    dom = graph.dominance(snap.refs, snap.roots)
+    assert {(r["object_id"], r["retained"]) for r in inspections.immediate_dominated(snap, dom, ids(spark, 0, 0)).collect()} == {(1, 8), (2, 8), (3, 56), (10, 16)}
+    frames = spark.createDataFrame([(3, 0, "run", [4, 5]), (3, 1, "main", [])], "thread_id long, depth int, text string, locals array<long>")
+    got = {tuple(r) for r in reports.thread_details(snap, ids(spark, 3, 7), frames, dom).collect()}
+    assert got == {(3, 0, "run", 4, "a.A", 48), (3, 0, "run", 5, "a.B", 24), (3, 1, "main", None, None, None), (7, None, None, None, None, None)}
+    row = inspections.leakhunter(snap, dom, graph.breadth_first(snap.refs, snap.roots), 20.0, ratio=0.5).collect()
+    # 0 keeps 96, then 3 56, 4 48, 5 24, 6 16 and 7 8: each half or more of the one before
+    assert [(r["kind"], r["object_id"], r["point"], r["point_name"]) for r in row] == [("object", 0, 7, "a.B")]
+
+
+def test_group_suspects_meet_at_an_object(spark, snap):
+    """Roots 0 and 1 both hold 2 to 11, and 2 lies on the least shortest paths of most of them."""
+    edges = [(r, x, "f") for r in (0, 1) for x in (2, 3)] + [(2, x, "f") for x in range(4, 12)] + [(3, x, "f") for x in range(4, 12)]
+    shared = Snapshot(snap.objects, snap.classes, spark.createDataFrame(edges, "src_id long, dst_id long, name string"), ids(spark, 0, 1).withColumn("type", F.lit(2)))
+    dom, tree = graph.dominance(shared.refs, shared.roots), graph.breadth_first(shared.refs, shared.roots)
+    got = {r["name"]: (r["objects"], r["point"]) for r in inspections.leakhunter(shared, dom, tree, 20.0, common=0.6).collect()}
+    assert got == {"a.A": (6, 2), "a.B": (6, 2)}
