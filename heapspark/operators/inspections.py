@@ -162,23 +162,26 @@ def find_leaks(snap: Snapshot, dom: graph.Dominance, threshold_percent: float =
 
 @command
 def accumulation_point(snap: Snapshot, dom: graph.Dominance, ids: DataFrame, ratio: float = 0.7, max_depth: int = 1000) -> DataFrame:
-    """From each object down to its biggest child while that keeps `ratio` of the size; null past max_depth."""
+    """From each object down to its biggest child while that keeps `ratio` of the size; null past max_depth.
+
+    Whether to go on depends on the object alone, so descents are chains of such links: they advance by doubling,
+    and a descent of n takes log n rounds.
+    """
     retained = dom.retained(snap.objects)
     child = dom.tree().where("dominator_id is not null").join(retained, "object_id")
     best = child.groupBy("dominator_id").agg(F.max_by(F.struct("object_id", "retained"), F.struct("retained", -F.col("object_id"))).alias("c"))
-    best = best.select(F.col("dominator_id").alias("at"), F.col("c.object_id").alias("next"), F.col("c.retained").alias("next_size"))
-    best = graph.materialize(best, "children")
-    here = ids.select("object_id").join(retained, "object_id").select("object_id", F.col("object_id").alias("at"), F.col("retained").alias("size"))
-    done = []
-    for _ in range(max_depth):
-        step = graph.materialize(here.join(best, "at", "left").withColumn("go", F.coalesce(F.col("next_size") >= ratio * F.col("size"), F.lit(False))), "descent")
-        done.append(step.where("not go").select("object_id", F.col("at").alias("point")))
-        here = step.where("go").select("object_id", F.col("next").alias("at"), F.col("next_size").alias("size"))
-        if here.isEmpty():
+    best = best.join(retained.withColumnRenamed("object_id", "dominator_id"), "dominator_id").where(F.col("c.retained") >= ratio * F.col("retained"))
+    down = graph.materialize(best.select(F.col("dominator_id").alias("at"), F.col("c.object_id").alias("end"), F.lit(1).cast("long").alias("steps")), "descent")
+    span = 1  # steps that a link goes down, unless its descent ends before
+    while span < max_depth:
+        far = down.select(F.col("at").alias("end"), F.col("end").alias("further"), F.col("steps").alias("more"))
+        longer = down.join(far, "end", "left")
+        if longer.where("further is not null").isEmpty():
             break
-    else:
-        done.append(here.select("object_id", F.lit(None).cast("long").alias("point")))
-    return graph.reduce(DataFrame.union, done)
+        down = graph.materialize(longer.select("at", F.coalesce("further", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "descent", instead_of=down)
+        span *= 2
+    met = ids.select("object_id").join(retained.select("object_id"), "object_id").join(down.withColumnRenamed("at", "object_id"), "object_id", "left")
+    return met.select("object_id", F.when(F.coalesce("steps", F.lit(0)) < max_depth, F.coalesce("end", "object_id")).alias("point"))
 
 
 @command

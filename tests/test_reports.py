@@ -123,3 +123,28 @@ def test_group_suspects_meet_at_an_object(spark, snap):
     dom, tree = graph.dominance(shared.refs, shared.roots), graph.breadth_first(shared.refs, shared.roots)
     got = {r["name"]: (r["objects"], r["point"]) for r in inspections.leakhunter(shared, dom, tree, 20.0, common=0.6).collect()}
     assert got == {"a.A": (6, 2), "a.B": (6, 2)}
+
+
+@pytest.mark.parametrize("sizes", [[1] * 20, [1, 1, 1, 200] + [1] * 16, [500] + [1] * 19, [1] * 10 + [90] * 10])
+def test_descents_of_a_chain(spark, snap, sizes):
+    """A chain of 20 with a leaf beside each link: descents by doubling end where a walk step by step ends."""
+    n = len(sizes)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)] + [(100 + i, j) for i in range(n) for j in [*range(i + 1), 100 + i]]
+    dom = graph.Dominance(spark.createDataFrame(pairs, "object_id long, dominator_id long"))
+    objects = spark.createDataFrame([*enumerate(sizes), *[(100 + i, 2) for i in range(n)]], "object_id long, shallow long")
+    chain = Snapshot(objects, snap.classes, snap.refs, snap.roots)
+    kept = [sum(sizes[i:]) + 2 * (n - i) for i in range(n)]
+
+    def walk(i, most):
+        for _ in range(most):
+            if i >= 100:
+                return i
+            below = max((kept[i + 1], -i - 1), (2, -100 - i)) if i + 1 < n else (2, -100 - i)
+            if below[0] < 0.7 * kept[i]:
+                return i
+            i = -below[1]
+        return None
+
+    for most in (1000, 8, 3, 1):
+        got = {r["object_id"]: r["point"] for r in inspections.accumulation_point(chain, dom, ids(spark, *range(n), 105, 999), max_depth=most).collect()}
+        assert got == {i: walk(i, most) for i in [*range(n), 105]}
