@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import frames, langid, lines, nbest, neardup, packing, quality, secrets, sketch, toxicity
-from .common import documents
+from . import chat, frames, langid, lines, nbest, neardup, packing, periodic, quality, secrets, sketch, toxicity, whitening
+from .common import documents, ship
 
 
 def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +51,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+#: A conversation whose texts collide with templates; it joins the given ones.
+COLLIDING_ID, COLLIDING = -7, r"\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(COLLIDING_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(COLLIDING).alias("text"))
+    return chat.round_trip(given.union(added))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sentencepiece_nbest, op2_packing, op3_token_frames, op4_secret_scan, op5_line_dedup,
         op6_quality_rules, op7_fingerprints, op8_toxicity, op9_near_duplicates, op10_language_id,
+        op11_chat_format, op12_whitening, op13_periodic_runs,
     )
 }
 
@@ -89,4 +110,16 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
         JOIN (SELECT doc_id, min(got) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
+    "op11_chat_format": f"""
+        WITH c AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT {COLLIDING_ID}, 0, 'user', '{COLLIDING}' UNION ALL SELECT {COLLIDING_ID}, 1, 'assistant', '{COLLIDING}'),
+        n AS (
+          SELECT *, (length(text) - length(replace(text, '###', ''))) // 3 + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS marks,
+                 length(text) - length(replace(text, '\\', '')) AS backs, regexp_matches(text, '\\\\(\\\\|###|</turn>|\\z)') AS clash FROM c)
+        SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(length(role) + length(text) + 14 + marks + CASE WHEN clash THEN backs ELSE 0 END)::BIGINT AS formatted_chars
+        FROM n GROUP BY conv_id""",
 }
