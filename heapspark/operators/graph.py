@@ -1,8 +1,9 @@
 """Reachability, shortest paths, dominators and retained sets, as joins and groupings of edges.
 
-Rounds go level by level; each level is a written table, so lineage stays short and a lost
-executor costs one round.  No adjacency list is ever gathered in a row, so hubs are only hot keys,
-which Spark's skew handling splits.
+Objects with a single predecessor, most of a heap, are followed to the nearest object with several by doubling, so
+chains take rounds by the logarithm of their length; only what remains advances step by step.  Each round is a
+written table, so lineage stays short and a lost executor costs one round.  No adjacency list is ever gathered in a
+row, so hubs are only hot keys, which Spark's skew handling splits.
 """
 
 from __future__ import annotations
@@ -13,7 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import whole
-from ..plans.store import discard, materialize
+from ..plans.order import LEAST, running
+from ..plans.store import counted, discard, materialize
+from .forest import NONE, Forest
+
+#: Tables of improvements that are read together before they are merged.
+MERGED = 8
 
 
 def outbound(refs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -31,125 +37,254 @@ def without_excluded(refs: DataFrame, excluded: Column) -> DataFrame:
 
 
 def edges_of(refs: DataFrame) -> DataFrame:
-    """Different references between different objects, written and clustered by source, so that rounds read them and nothing else.
+    """Different references between different objects, written by ranges of (source, target), so that rounds read them and nothing else.
 
-    A table that is already of this kind is returned as it is.
+    A hub's edges are dealt over as many files as they fill.  A table that is already of this kind is returned as it is.
     """
     if getattr(refs, "_edges", False):
         return refs
     edges = refs.select("src_id", "dst_id").where("src_id <> dst_id").distinct()
-    out = materialize(edges.repartition("src_id").sortWithinPartitions("src_id"), "edges")
+    out = materialize(edges.repartitionByRange("src_id", "dst_id").sortWithinPartitions("src_id", "dst_id"), "edges")
     out._edges = True
     return out
 
 
+def lone_chains(edges: DataFrame, label: str | None = None, most: bool = False) -> DataFrame:
+    """(object_id, up, anchor, steps[, label]) of all objects with a single predecessor, `up`.
+
+    anchor: the first object above that has none or several, `steps` edges up; null where predecessors lead round
+    in a circle.  label: a column of edges, one value a target, whose least (most: greatest) value over the chain,
+    anchor excluded, is kept.  Chains advance by doubling.
+    """
+    carried = [label] if label else []
+    best = F.greatest if most else F.least
+    alone = edges.groupBy(F.col("dst_id").alias("object_id")).agg(F.count(F.lit(1)).alias("n"), F.min("src_id").alias("up"), *[F.min(c).alias(c) for c in carried]).where("n = 1").drop("n")
+    now = materialize(alone.select("object_id", "up", F.col("up").alias("to"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open"), *carried), "chains")
+    left = None
+    while True:
+        far = now.select(F.col("object_id").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"), F.col("open").alias("goes_on"), *[F.col(c).alias(f"{c}__more") for c in carried])
+        going = now.where("open").join(far, "to", "left")
+        met = going.select(
+            "object_id", "up", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("goes_on", F.lit(False)).alias("open"),
+            *[F.when(F.col("further").isNull(), F.col(c)).otherwise(best(c, f"{c}__more")).alias(c) for c in carried],
+        )
+        if carried and left is not None:  # circles: until their labels settle
+            before = now.where("open").select("object_id", *[F.col(c).alias(f"{c}__before") for c in carried])
+        new, seen = counted(now.where("not open").unionByName(met), "chains", still=F.count_if("open"))
+        still = seen["still"]
+        settled = still == left and (not carried or new.where("open").join(before, "object_id").where(" or ".join(f"not ({c} <=> {c}__before)" for c in carried)).isEmpty())
+        discard(now)
+        now, left = new, still
+        if not still or settled:
+            out = now.select("object_id", "up", F.when(~F.col("open"), F.col("to")).alias("anchor"), "steps", *carried)
+            out._written_at = now._written_at
+            return out
+
+
 def breadth_first(refs: DataFrame, start: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """(object_id, parent_id, depth) of all that start reaches by shortest paths; the least parent of a level wins.
 
-    blocked objects are not entered, nor started from.
+    blocked objects are not entered, nor started from.  Objects with a single predecessor hang below the nearest one
+    with several or none; between those, distances improve from round to round until none does.  A round reads the
+    objects that the last one improved.
     """
-    edges = edges_of(refs)
     first = start.select("object_id").distinct()
+    edges = edges_of(refs)
     if blocked is not None:
-        stop = blocked.select(F.col("object_id").alias("dst_id")).distinct()
-        edges = edges.join(stop, "dst_id", "left_anti")
-        first = first.join(stop.withColumnRenamed("dst_id", "object_id"), "object_id", "left_anti")
-    levels = [materialize(first.select("object_id", F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("depth")), "level")]
+        stop = blocked.select("object_id").distinct()
+        first = first.join(stop, "object_id", "left_anti")
+        edges = edges.join(stop.withColumnRenamed("object_id", "dst_id"), "dst_id", "left_anti")
+    first = materialize(first, "starts")
+    edges = materialize(edges.join(first.withColumnRenamed("object_id", "dst_id"), "dst_id", "left_anti"), "entering")
+    chains = lone_chains(edges)
+    by_source = chains.select(F.col("object_id").alias("src_id"), "anchor", "steps", F.lit(True).alias("alone"))
+    several = edges.join(chains.select(F.col("object_id").alias("dst_id")), "dst_id", "left_anti")
+    hops = several.join(by_source, "src_id", "left").where("alone is null or anchor is not null")
+    hops = materialize(hops.select("src_id", "dst_id", F.coalesce("anchor", "src_id").alias("from"), (F.coalesce("steps", F.lit(0)) + 1).alias("length")), "hops")
+
+    levels = [materialize(first.select("object_id", F.lit(0).cast("long").alias("depth")), "reached")]
     while True:
-        seen = reduce(DataFrame.union, levels).select("object_id")
-        step = edges.join(levels[-1].select(F.col("object_id").alias("src_id")), "src_id").groupBy(F.col("dst_id").alias("object_id")).agg(F.min("src_id").alias("parent_id"))
-        new = materialize(step.join(seen, "object_id", "left_anti").withColumn("depth", F.lit(len(levels))), "level")
-        if new.isEmpty():
-            return reduce(DataFrame.union, levels)
+        step = hops.join(levels[-1].withColumnRenamed("object_id", "from"), "from").groupBy(F.col("dst_id").alias("object_id")).agg(F.min(F.col("depth") + F.col("length")).alias("depth"))
+        known = reduce(DataFrame.unionByName, levels).groupBy("object_id").agg(F.min("depth").alias("known"))
+        new, seen = counted(step.join(known, "object_id", "left").where("known is null or depth < known").select("object_id", "depth"), "reached")
+        if not seen["rows"]:
+            break
         levels.append(new)
+        if len(levels) > MERGED:  # the last improvements apart: the next round starts from them
+            settled = materialize(reduce(DataFrame.unionByName, levels[:-1]).groupBy("object_id").agg(F.min("depth").alias("depth")), "reached")
+            discard(*levels[:-1])
+            levels = [settled, new]
+    reached = materialize(reduce(DataFrame.unionByName, levels).groupBy("object_id").agg(F.min("depth").alias("depth")), "reached")
+    discard(new, *levels)
+    into = hops.join(reached.select(F.col("object_id").alias("from"), F.col("depth").alias("before")), "from").join(reached.withColumnRenamed("object_id", "dst_id"), "dst_id").where("before + length = depth")
+    parents = into.groupBy(F.col("dst_id").alias("object_id")).agg(F.min("src_id").alias("parent_id"))
+    heads = reached.join(parents, "object_id", "left").select("object_id", "parent_id", F.col("depth").cast("int").alias("depth"))
+    under = chains.join(reached.select(F.col("object_id").alias("anchor"), "depth"), "anchor").select("object_id", F.col("up").alias("parent_id"), (F.col("depth") + F.col("steps")).cast("int").alias("depth"))
+    out = materialize(heads.unionByName(under), "tree")
+    discard(hops, reached, chains, first, edges)
+    return out
 
 
 def unreachable(objects: DataFrame, refs: DataFrame, roots: DataFrame) -> DataFrame:
     return objects.join(breadth_first(refs, roots).select("object_id"), "object_id", "left_anti")
 
 
-def paths(tree: DataFrame, ids: DataFrame) -> DataFrame:
-    """(object_id, at, depth): for each id, every object on its shortest path, itself included."""
-    walk = materialize(ids.select("object_id").join(tree.select("object_id", "depth", "parent_id"), "object_id").select("object_id", F.col("object_id").alias("at"), "depth", "parent_id"), "path")
-    out = [walk]
-    up = tree.select(F.col("object_id").alias("at"), "depth", "parent_id")
+def spread(edges: DataFrame, labels: DataFrame, most: bool = False) -> DataFrame:
+    """(object_id, label): the least (most: the greatest) label of all objects that reach each one, itself included.
+
+    labels: (object_id, label), a row an object; edges run between those objects.  Chains and circles of objects with
+    a single predecessor are settled by doubling; the rest in rounds that read what the last one improved.
+    """
+    best, one = (F.max, F.greatest) if most else (F.min, F.least)
+    better = (lambda a, b: a > b) if most else (lambda a, b: a < b)
+    own = labels.select(F.col("object_id").alias("dst_id"), "label")
+    edges = materialize(edges.select("src_id", "dst_id").join(own, "dst_id"), "labelled")
+    chains = lone_chains(edges, "label", most)
+    by_source = chains.select(F.col("object_id").alias("src_id"), "anchor", F.col("label").alias("passed"), F.lit(True).alias("alone"))
+    hops = edges.drop("label").join(chains.select(F.col("object_id").alias("dst_id")), "dst_id", "left_anti").join(by_source, "src_id", "left")
+    hops = materialize(hops.select("dst_id", F.when(F.col("alone"), F.col("anchor")).otherwise(F.col("src_id")).alias("from"), "passed").groupBy("dst_id", "from").agg(best("passed").alias("passed")), "hops")
+    given = labels.select("object_id", "label").join(chains.select("object_id"), "object_id", "left_anti")
+    first = given.unionByName(hops.where("passed is not null").select(F.col("dst_id").alias("object_id"), F.col("passed").alias("label")))
+    levels = [materialize(first.groupBy("object_id").agg(best("label").alias("label")), "spread")]
     while True:
-        step = out[-1].where("parent_id is not null").select("object_id", F.col("parent_id").alias("at")).join(up, "at").select("object_id", "at", "depth", "parent_id")
-        step = materialize(step, "path")
-        if step.isEmpty():
-            return reduce(DataFrame.union, out).select("object_id", "at", "depth")
-        out.append(step)
+        step = hops.join(levels[-1].withColumnRenamed("object_id", "from"), "from").groupBy(F.col("dst_id").alias("object_id")).agg(best("label").alias("label"))
+        known = reduce(DataFrame.unionByName, levels).groupBy("object_id").agg(best("label").alias("known"))
+        new, seen = counted(step.join(known, "object_id").where(better(F.col("label"), F.col("known"))).select("object_id", "label"), "spread")
+        if not seen["rows"]:
+            break
+        levels.append(new)
+        if len(levels) > MERGED:
+            settled = materialize(reduce(DataFrame.unionByName, levels[:-1]).groupBy("object_id").agg(best("label").alias("label")), "spread")
+            discard(*levels[:-1])
+            levels = [settled, new]
+    heads = materialize(reduce(DataFrame.unionByName, levels).groupBy("object_id").agg(best("label").alias("label")), "spread")
+    under = chains.join(heads.select(F.col("object_id").alias("anchor"), F.col("label").alias("above")), "anchor", "left").select("object_id", F.when(F.col("above").isNull(), F.col("label")).otherwise(one("label", "above")).alias("label"))
+    out = materialize(heads.unionByName(under), "spread")
+    discard(new, *levels, heads, hops, chains, edges)
+    return out
+
+
+def sources(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(object_id): one object, the least, of each strongly connected part of ids that no other part refers to.
+
+    Together they reach all of ids.  An object that no lesser one reaches is the least of its part; where no other
+    such object reaches it either, nothing outside its part does.  So two spreads suffice, and no part is built.
+    """
+    ids = materialize(ids.select("object_id").distinct(), "ids")
+    inner = edges.where("src_id <> dst_id").join(ids.withColumnRenamed("object_id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("object_id", "dst_id"), "dst_id", "left_semi").select("src_id", "dst_id").distinct()
+    inner = materialize(inner, "inner")
+    low = spread(inner, ids.withColumn("label", F.col("object_id")))
+    chosen = low.select("object_id", F.when(F.col("label") == F.col("object_id"), F.col("object_id")).otherwise(F.lit(LEAST)).alias("label"))
+    high = spread(inner, chosen, most=True)
+    out = chosen.where(f"label <> {LEAST}").select("object_id").join(high, "object_id").where("label = object_id").select("object_id")
+    out = materialize(out, "sources")
+    discard(low, high, inner, ids)
+    return out
 
 
 @dataclass(frozen=True)
 class Dominance:
-    """(object_id, dominator_id) for every reachable object and each of its dominators, itself included.
+    """nodes: (object_id, dominator_id, depth, enter, leave), a row for every reachable object, in the order of enter.
 
-    Retained sizes, retained sets and the tree follow by grouping this table.
+    dominator_id is the immediate dominator, null below the virtual root; depth counts from 1.  a dominates b where
+    a.enter <= b.enter < a.leave, so retained sizes are differences of sums along enter, and sets are intervals.
     """
 
-    pairs: DataFrame
+    nodes: DataFrame
 
     def tree(self) -> DataFrame:
         """(object_id, dominator_id, depth): the immediate dominator, null below the virtual root."""
-        depth = self.pairs.groupBy("object_id").agg(F.count(F.lit(1)).alias("depth"))
-        above = self.pairs.where("object_id <> dominator_id").join(depth.select(F.col("object_id").alias("dominator_id"), F.col("depth").alias("d")), "dominator_id")
-        nearest = above.groupBy("object_id").agg(F.max_by("dominator_id", "d").alias("dominator_id"))
-        return depth.join(nearest, "object_id", "left").select("object_id", "dominator_id", "depth")
+        return self.nodes.select("object_id", "dominator_id", "depth")
 
     def retained(self, objects: DataFrame) -> DataFrame:
         """(object_id, retained): the shallow sizes of all that an object dominates, summed."""
-        sized = self.pairs.join(objects.select("object_id", "shallow"), "object_id")
-        return sized.groupBy(F.col("dominator_id").alias("object_id")).agg(F.sum("shallow").cast("long").alias("retained"))
+        sized = self.nodes.select("object_id", "enter", "leave").join(objects.select("object_id", F.col("shallow").cast("long").alias("shallow")), "object_id", "left")
+        ran = running(sized, ["enter"], "shallow", "before")
+        upto = ran.select((F.col("enter") + 1).alias("leave"), (F.col("before") + F.coalesce("shallow", F.lit(0))).alias("upto"))
+        return ran.join(upto, "leave").select("object_id", (F.col("upto") - F.col("before")).alias("retained"))
 
     def dominated_set(self, ids: DataFrame) -> DataFrame:
         """All that some of ids dominates: the least retained set of ids."""
-        return self.pairs.join(ids.select(F.col("object_id").alias("dominator_id")), "dominator_id", "left_semi").select("object_id").distinct()
+        chosen = self.nodes.select("object_id", "enter", "leave").join(ids.select("object_id", F.lit(True).alias("chosen")).distinct(), "object_id", "left")
+        open_to = running(chosen.withColumn("until", F.when(F.col("chosen"), F.col("leave"))), ["enter"], "until", "open_to", "max", inclusive=True)
+        return open_to.where("open_to > enter").select("object_id")
+
+    def outermost(self, groups: DataFrame) -> DataFrame:
+        """Rows of groups (group_id, object_id) whose object no other object of the group dominates; group_id is a whole number, without nulls.
+
+        Objects that roots don't reach have no row.
+        """
+        placed = groups.select("group_id", "object_id").distinct().join(self.nodes.select("object_id", "enter", "leave"), "object_id")
+        return running(placed, ["enter"], "leave", "open_to", "max", within=["group_id"]).where("open_to <= enter").select("group_id", "object_id")
 
     def top_ancestors(self, ids: DataFrame) -> DataFrame:
-        """Those of ids that no other of ids dominates."""
+        """Those of ids that no other of ids dominates; ids that roots don't reach stay."""
         own = ids.select("object_id").distinct()
-        above = self.pairs.where("object_id <> dominator_id").join(own, "object_id", "left_semi")
-        under = above.join(own.select(F.col("object_id").alias("dominator_id")), "dominator_id", "left_semi").select("object_id").distinct()
+        top = self.outermost(own.withColumn("group_id", F.lit(0)))
+        under = own.join(self.nodes.select("object_id"), "object_id", "left_semi").join(top, "object_id", "left_anti")
         return own.join(under, "object_id", "left_anti")
 
     def nearest(self, ids: DataFrame, labels: DataFrame, skip: str) -> DataFrame:
-        """(object_id, dominator_id): the nearest strict dominator whose label does not wholly match skip; null: the root."""
-        depth = self.pairs.groupBy("object_id").agg(F.count(F.lit(1)).alias("depth"))
-        usable = labels.where(~F.col("label").rlike(whole(skip))).select(F.col("object_id").alias("dominator_id"))
-        above = self.pairs.where("object_id <> dominator_id").join(usable, "dominator_id", "left_semi").join(depth.select(F.col("object_id").alias("dominator_id"), "depth"), "dominator_id")
-        best = above.groupBy("object_id").agg(F.max_by("dominator_id", "depth").alias("dominator_id"))
-        return ids.select("object_id").distinct().join(best, "object_id", "left")
+        """(object_id, dominator_id): the nearest strict dominator whose label does not wholly match skip; null: the root.
+
+        Chains of skipped dominators advance by doubling.
+        """
+        usable = labels.where(~F.col("label").rlike(whole(skip))).select("object_id")
+        skipped = self.nodes.select("object_id", "dominator_id").join(usable, "object_id", "left_anti")
+        past = materialize(skipped.select(F.col("object_id").alias("at"), F.col("dominator_id").alias("to")), "skipped")
+        while True:
+            far = past.select(F.col("at").alias("to"), F.col("to").alias("further"), F.lit(True).alias("on"))
+            met = past.join(far, "to", "left")
+            if met.where("on").isEmpty():
+                break
+            past = materialize(met.select("at", F.when(F.col("on"), F.col("further")).otherwise(F.col("to")).alias("to")), "skipped", instead_of=past)
+        mine = ids.select("object_id").distinct().join(self.nodes.select("object_id", F.col("dominator_id").alias("at")), "object_id", "left")
+        return mine.join(past.withColumn("on", F.lit(True)), "at", "left").select("object_id", F.when(F.col("on"), F.col("to")).otherwise(F.col("at")).alias("dominator_id"))
 
 
 def dominance(refs: DataFrame, roots: DataFrame, tree: DataFrame | None = None) -> Dominance:
     """Dominators of all that roots reach, under one virtual root above them.
 
-    An object's dominators are itself and what dominates all its predecessors.  The pairs start as
-    the objects on one shortest path, which hold all dominators, and each round keeps of an
-    object's pairs those that all its predecessors have.  Pairs only go, so the rounds end, in the
-    greatest solution: the dominators.  Objects with one predecessor, most of a heap, take its pairs.
+    Any spanning tree holds all dominators on its paths.  Where an edge enters an object from outside the subtree of
+    its parent, the object moves to the nearest common ancestor of its parent and all such sources, which still
+    holds them; where none does, the tree is the dominators' own.  Ancestors are found by doubling, so a round takes
+    time by the logarithm of the depth; the number of rounds follows how far merges of paths depend on each
+    other, not how deep the graph is (two or three in most heaps, a ladder of crossing chains one a rung).
     """
     edges = edges_of(refs)
     if tree is None:
-        tree = materialize(breadth_first(edges, roots), "tree")
+        tree = breadth_first(edges, roots)
     reach = tree.select("object_id")
     top = roots.select("object_id").distinct()
-    edges = edges.join(reach.select(F.col("object_id").alias("src_id")), "src_id", "left_semi").join(top.select(F.col("object_id").alias("dst_id")), "dst_id", "left_anti")
-    edges = materialize(edges, "passed")
-    degree = materialize(edges.groupBy(F.col("dst_id").alias("object_id")).agg(F.count(F.lit(1)).alias("degree")), "degree")
-    own = reach.select("object_id", F.col("object_id").alias("dominator_id"))
-    pairs = materialize(paths(tree, reach).select("object_id", F.col("at").alias("dominator_id")), "dominance")
-    n = pairs.count()
+    passed = edges.join(reach.withColumnRenamed("object_id", "src_id"), "src_id", "left_semi").join(top.withColumnRenamed("object_id", "dst_id"), "dst_id", "left_anti")
+    several = passed.groupBy("dst_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dst_id")
+    wrong = meets = materialize(passed.join(several, "dst_id", "left_semi"), "meets")
+    parents = tree.select("object_id", "parent_id")
+    forest = Forest(parents, tree.select("object_id", "depth"))
+    nodes = None
     while True:
-        passed = edges.join(pairs.select(F.col("object_id").alias("src_id"), "dominator_id"), "src_id").groupBy(F.col("dst_id").alias("object_id"), "dominator_id").agg(F.count(F.lit(1)).alias("n"))
-        kept = passed.join(degree, "object_id").where("n = degree").select("object_id", "dominator_id")
-        pairs = materialize(kept.where("object_id <> dominator_id").union(own), "dominance", instead_of=pairs)
-        now = pairs.count()
-        if now == n:
-            discard(edges, degree)
-            return Dominance(pairs)
-        n = now
+        over = wrong.join(parents.withColumnRenamed("object_id", "dst_id"), "dst_id").where("parent_id is not null and parent_id <> src_id")
+        over, seen = counted(over, "crossing")
+        if seen["rows"]:
+            common = forest.nearest_common(over.select(F.col("parent_id").alias("a"), F.col("src_id").alias("b")).distinct())
+            met = over.join(common.select(F.col("a").alias("parent_id"), F.col("b").alias("src_id"), F.col("top"), F.coalesce("depth", F.lit(-1)).alias("at")), ["parent_id", "src_id"])
+            moved = met.groupBy(F.col("dst_id").alias("object_id")).agg(F.min_by("top", "at").alias("moved_to"), F.lit(True).alias("moved"))
+            now = materialize(parents.join(moved, "object_id", "left").select("object_id", F.when(F.col("moved"), F.col("moved_to")).otherwise(F.col("parent_id")).alias("parent_id")), "parents")
+            discard(common, parents)
+            parents = now
+        forest.drop()
+        discard(over, nodes)
+        forest = Forest(parents)
+        nodes = forest.numbered()
+        inside = nodes.select(F.col("object_id").alias("parent_id"), "enter", "leave")
+        checked = meets.join(parents.withColumnRenamed("object_id", "dst_id"), "dst_id").where("parent_id is not null").join(inside, "parent_id").join(nodes.select(F.col("object_id").alias("src_id"), F.col("enter").alias("at")), "src_id")
+        wrong = checked.where("at < enter or at >= leave").select("src_id", "dst_id")
+        if wrong.isEmpty():
+            forest.drop()
+            discard(meets, parents)
+            out = nodes.select("object_id", F.col("parent_id").alias("dominator_id"), (F.col("depth") + 1).alias("depth"), "enter", "leave")
+            out._written_at = nodes._written_at
+            return Dominance(out)
 
 
 def retained_set(objects: DataFrame, refs: DataFrame, roots: DataFrame, ids: DataFrame, tree: DataFrame | None = None) -> DataFrame:
@@ -160,24 +295,43 @@ def retained_set(objects: DataFrame, refs: DataFrame, roots: DataFrame, ids: Dat
     return reach.join(left, "object_id", "left_anti")
 
 
+def _grown(edges: DataFrame, start: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """(group_id, object_id) of start and all that edges lead to, group by group; within: only to those pairs."""
+    key = ["group_id", "object_id"]
+    levels = [materialize(start.select(*key).distinct(), "grown")]
+    while True:
+        step = levels[-1].join(edges, F.col("object_id") == F.col("src_id")).select("group_id", F.col("dst_id").alias("object_id")).distinct()
+        if within is not None:
+            step = step.join(within, key, "left_semi")
+        new, seen = counted(step.join(reduce(DataFrame.unionByName, levels), key, "left_anti"), "grown")
+        if not seen["rows"]:
+            discard(new)
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(new)
+        if len(levels) > MERGED:
+            settled = materialize(reduce(DataFrame.unionByName, levels[:-1]), "grown")
+            discard(*levels[:-1])
+            levels = [settled, new]
+
+
 def retained_by_groups(refs: DataFrame, roots: DataFrame, groups: DataFrame, tree: DataFrame) -> DataFrame:
     """(group_id, object_id): the exact retained set of each group (group_id, object_id) of objects.
 
-    One search for all groups: what roots reach past a group's members advances level by level, keyed by
-    group.  Rows grow with groups times objects, as the question does; ask for the groups of a report.
+    A group's region is what its members reach.  What roots reach past the members enters it at roots and at edges
+    from outside, since nothing outside depends on a member, and goes on inside; the rest of the region is retained.
+    So each group is searched in its own region only, and no row stands for an object outside it.
     """
-    edges = edges_of(refs)
-    names = groups.select("group_id").distinct()
-    stop = materialize(groups.select("group_id", "object_id").distinct(), "groups")
-    first = roots.select("object_id").distinct().join(F.broadcast(names))  # roots times the report's groups
-    level = materialize(first.join(stop, ["group_id", "object_id"], "left_anti").select("group_id", "object_id"), "past")
-    seen = level
-    while not level.isEmpty():
-        step = level.join(edges, F.col("object_id") == F.col("src_id")).select("group_id", F.col("dst_id").alias("object_id")).distinct()
-        level = materialize(step.join(stop, ["group_id", "object_id"], "left_anti").join(seen, ["group_id", "object_id"], "left_anti"), "past")
-        seen = seen.union(level)
-    every = tree.select("object_id").join(F.broadcast(names))
-    return every.join(seen, ["group_id", "object_id"], "left_anti").select("group_id", "object_id")
+    reach = tree.select("object_id")
+    edges = edges_of(refs).join(reach.withColumnRenamed("object_id", "src_id"), "src_id", "left_semi")
+    key = ["group_id", "object_id"]
+    members = materialize(groups.select(*key).distinct().join(reach, "object_id", "left_semi").select(*key), "members")
+    region = _grown(edges, members)
+    open_to = materialize(region.join(members, key, "left_anti"), "region")
+    top = roots.select("object_id").distinct()
+    entering = open_to.join(edges, F.col("object_id") == F.col("dst_id")).select("group_id", F.col("src_id").alias("object_id"), "dst_id").join(region, key, "left_anti")
+    past = open_to.join(top, "object_id", "left_semi").select(*key).unionByName(entering.select("group_id", F.col("dst_id").alias("object_id")))
+    escaped = _grown(edges, past, within=open_to)
+    return region.join(escaped, key, "left_anti")
 
 
 def retained_by_fields(refs: DataFrame, roots: DataFrame, ids: DataFrame, fields: list[str]) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import smart_fix, whole
 from ..plans.snapshot import Snapshot
 from . import graph, quantize
+from .forest import Forest
 
 COMMANDS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -65,10 +67,11 @@ def retained_column(snap: Snapshot, classes: DataFrame, dom: graph.Dominance, tr
     own = rows.groupBy("class_id").agg(quantize.count().alias("objects"), F.sum("shallow").cast("long").alias("shallow"))
     if tree is None:
         # An object counts once for its class however many of its dominators are of that class.
-        held = dom.pairs.join(rows.select(F.col("object_id").alias("dominator_id"), "class_id"), "dominator_id").select("object_id", "class_id").distinct()
+        tops = dom.outermost(rows.select(F.col("class_id").alias("group_id"), "object_id")).join(dom.retained(snap.objects), "object_id")
+        sizes = tops.groupBy(F.col("group_id").alias("class_id")).agg(F.sum("retained").cast("long").alias("retained"))
     else:
-        held = graph.retained_by_groups(refs if refs is not None else snap.refs, snap.roots, rows.select(F.col("class_id").alias("group_id"), "object_id"), tree).withColumnRenamed("group_id", "class_id")
-    sizes = held.join(snap.objects.select("object_id", "shallow"), "object_id").groupBy("class_id").agg(F.sum("shallow").cast("long").alias("retained"))
+        held = graph.retained_by_groups(refs if refs is not None else snap.refs, snap.roots, rows.select(F.col("class_id").alias("group_id"), "object_id"), tree)
+        sizes = held.join(snap.objects.select("object_id", "shallow"), "object_id").groupBy(F.col("group_id").alias("class_id")).agg(F.sum("shallow").cast("long").alias("retained"))
     return own.join(sizes, "class_id", "left")
 
 
@@ -92,11 +95,8 @@ def dominator_tree(snap: Snapshot, dom: graph.Dominance, group_by: str = "NONE")
 @command
 def retained_by_class(snap: Snapshot, dom: graph.Dominance) -> DataFrame:
     """Least retained size of each class: its top ancestors' retained sizes summed."""
-    of = dom.pairs.join(snap.objects.select("object_id", "class_id"), "object_id")
-    upper = snap.objects.select(F.col("object_id").alias("dominator_id"), F.col("class_id").alias("upper"))
-    under = of.where("object_id <> dominator_id").join(upper, "dominator_id").where("class_id = upper").select("object_id").distinct()
-    tops = snap.objects.join(under, "object_id", "left_anti").join(dom.retained(snap.objects), "object_id")
-    return _named(snap, tops).groupBy("name").agg(F.sum("retained").cast("long").alias("retained"))
+    tops = dom.outermost(snap.objects.select(F.col("class_id").alias("group_id"), "object_id")).join(dom.retained(snap.objects), "object_id")
+    return _named(snap, tops.withColumnRenamed("group_id", "class_id")).groupBy("name").agg(F.sum("retained").cast("long").alias("retained"))
 
 
 @command
@@ -199,31 +199,67 @@ def class_references(snap: Snapshot, ids: DataFrame, inbound: bool = False) -> D
     return histogram(snap, near)
 
 
+def _forest(tree: DataFrame, forest: Forest | None) -> Forest:
+    return forest or Forest(tree.select("object_id", "parent_id"), tree.select("object_id", "depth"))
+
+
+def _passed(snap: Snapshot, tree: DataFrame, ids: DataFrame, forest: Forest | None) -> DataFrame:
+    """(object_id, parent_id, depth, name, n): objects on the shortest paths of ids, and how many of these pass them."""
+    own = ids.groupBy("object_id").agg(quantize.count().alias("n")).join(tree.select("object_id"), "object_id", "left_semi")
+    below = _forest(tree, forest).subtree_sums(own, "n")
+    return _named(snap, tree.join(below, "object_id").join(snap.objects.select("object_id", "class_id"), "object_id")).select("object_id", "parent_id", "depth", "name", "n")
+
+
 @command
-def merge_shortest_paths(snap: Snapshot, tree: DataFrame, ids: DataFrame) -> DataFrame:
-    """Shortest paths of ids from the roots, by class at each depth: (depth, name, objects on paths, ids below them)."""
-    walked = graph.paths(tree, ids)
-    named = walked.join(snap.objects.select(F.col("object_id").alias("at"), "class_id"), "at")
-    return _named(snap, named).groupBy("depth", "name").agg(F.countDistinct("at").alias("on_path"), quantize.count().alias("referenced"))
+def merge_shortest_paths(snap: Snapshot, tree: DataFrame, ids: DataFrame, forest: Forest | None = None) -> DataFrame:
+    """Shortest paths of ids from the roots, by class at each depth: (depth, name, objects on paths, ids below them).
+
+    Ids are counted up the tree, so there is one row an object, not one for each step of each path.
+    """
+    return _passed(snap, tree, ids, forest).groupBy("depth", "name").agg(quantize.count().alias("on_path"), F.sum("n").cast("long").alias("referenced"))
 
 
 @command
-def grouped_paths(snap: Snapshot, tree: DataFrame, ids: DataFrame, group_by: str = "FROM_GC_ROOTS_BY_CLASS") -> DataFrame:
+def grouped_paths(snap: Snapshot, tree: DataFrame, ids: DataFrame, group_by: str = "FROM_GC_ROOTS_BY_CLASS", forest: Forest | None = None) -> DataFrame:
     """Shortest paths of ids from the roots as a tree: (level, path, name, on_path, referenced), a row a node.
 
     FROM_GC_ROOTS merges objects (path: the object's id), FROM_GC_ROOTS_BY_CLASS equal sequences of classes from
     the roots down, FROM_OBJECTS_BY_CLASS those from the objects up.  on_path: different objects at the node;
-    referenced: ids whose path passes it.  Rows and path texts grow with the paths' lengths; ids that roots don't
-    reach have no path.
+    referenced: ids whose path passes it; ids that roots don't reach have no path.  By class, a level of the result
+    comes from the one before: objects that share their sequence and, on the way up, their place, go on as one
+    row, and only the groups hold texts.
     """
     _known(group_by, "FROM_GC_ROOTS", "FROM_GC_ROOTS_BY_CLASS", "FROM_OBJECTS_BY_CLASS")
-    walked = graph.paths(tree, ids.select("object_id").distinct())
-    named = _named(snap, walked.join(snap.objects.select(F.col("object_id").alias("at"), "class_id"), "at")).select("object_id", "at", "depth", "name")
+    passed = graph.materialize(_passed(snap, tree, ids, forest), "passed")
     if group_by == "FROM_GC_ROOTS":
-        return named.groupBy(F.col("depth").alias("level"), F.col("at").cast("string").alias("path"), "name").agg(F.lit(1).cast("long").alias("on_path"), quantize.count().alias("referenced"))
-    w = Window.partitionBy("object_id").orderBy("depth" if group_by == "FROM_GC_ROOTS_BY_CLASS" else F.desc("depth"))  # one path
-    so_far = named.withColumn("path", F.array_join(F.collect_list("name").over(w), ">")).withColumn("level", F.row_number().over(w) - 1)
-    return so_far.groupBy("level", "path", "name").agg(F.countDistinct("at").alias("on_path"), quantize.count().alias("referenced"))
+        return passed.select(F.col("depth").alias("level"), F.col("object_id").cast("string").alias("path"), "name", F.lit(1).cast("long").alias("on_path"), F.col("n").alias("referenced"))
+    down = group_by == "FROM_GC_ROOTS_BY_CLASS"
+    sums = [F.countDistinct("object_id").alias("on_path"), F.sum("n").cast("long").alias("referenced")]
+    if down:
+        now = passed.where("parent_id is null").select("object_id", "name", "n", F.xxhash64("name").alias("group"))
+    else:
+        own = ids.groupBy("object_id").agg(quantize.count().alias("n"))
+        now = passed.drop("n").join(own, "object_id").select("object_id", "name", "n", F.xxhash64("name").alias("group"))
+    out, texts, level = [], None, 0
+    now = graph.materialize(now, "front")
+    while True:
+        # a group's own row: its class, and the text of the group that it goes on from
+        groups = now.groupBy("group", "name", *(["before"] if texts is not None else [])).agg(*sums)
+        if texts is None:
+            groups = groups.withColumn("path", F.col("name"))
+        else:
+            groups = groups.join(texts.select(F.col("group").alias("before"), F.col("path").alias("head")), "before").withColumn("path", F.concat("head", F.lit(">"), "name"))
+        texts, seen = graph.counted(groups.select("group", "path", "name", "on_path", "referenced"), "groups")
+        if not seen["rows"]:
+            return reduce(DataFrame.unionByName, out)
+        out.append(texts.select(F.lit(level).alias("level"), "path", "name", "on_path", "referenced"))
+        if down:
+            step = passed.join(now.select(F.col("object_id").alias("parent_id"), F.col("group").alias("before")), "parent_id")
+        else:
+            up = now.join(passed.select("object_id", "parent_id"), "object_id").where("parent_id is not null").groupBy(F.col("parent_id").alias("object_id"), F.col("group").alias("before")).agg(F.sum("n").alias("n"))
+            step = up.join(passed.select("object_id", "name"), "object_id")
+        level += 1
+        now = graph.materialize(step.select("object_id", "name", "n", "before", F.xxhash64("before", "name").alias("group")), "front", instead_of=now)
 
 
 @command
@@ -235,7 +271,7 @@ def immediate_dominated(snap: Snapshot, dom: graph.Dominance, ids: DataFrame) ->
 
 
 @command
-def leakhunter(snap: Snapshot, dom: graph.Dominance, tree: DataFrame, threshold_percent: float = 20.0, ratio: float = 0.7, common: float = 0.8) -> DataFrame:
+def leakhunter(snap: Snapshot, dom: graph.Dominance, tree: DataFrame, threshold_percent: float = 20.0, ratio: float = 0.7, common: float = 0.8, forest: Forest | None = None) -> DataFrame:
     """Suspects of find_leaks and where they pile up: (kind, name, object_id, objects, retained, point, point_name).
 
     A single object's point is its accumulation point; a group's is the deepest object, least id first, that the
@@ -247,8 +283,12 @@ def leakhunter(snap: Snapshot, dom: graph.Dominance, tree: DataFrame, threshold_
     groups = F.broadcast(found.where("kind = 'class'").select("name", F.col("objects").alias("members")))
     top = _named(snap, dominator_tree(snap, dom)).where(F.col("share") <= threshold_percent / 100).select("object_id", "name")
     members = graph.materialize(top.join(groups, "name"), "members")
-    passed = graph.paths(tree, members).where("object_id <> at").join(members, "object_id").groupBy("name", "at").agg(quantize.count().alias("n"), F.max("depth").alias("depth"), F.max("members").alias("members"))
-    shared = passed.where(F.col("n") >= common * F.col("members")).groupBy("name").agg(F.max_by("at", F.struct("depth", -F.col("at"))).alias("shared"))
+    forest = _forest(tree, forest)
+    counts = forest.subtree_sums(members.select("object_id", "name", F.lit(1).cast("long").alias("n")).join(tree.select("object_id"), "object_id", "left_semi"), "n", ["name"])
+    # a member's own path does not count for itself
+    own = members.select("object_id", "name", F.lit(1).alias("own"))
+    strict = counts.join(own, ["object_id", "name"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).join(groups, "name").join(tree.select("object_id", "depth"), "object_id")
+    shared = strict.where(F.col("n") >= common * F.col("members")).groupBy("name").agg(F.max_by("object_id", F.struct("depth", -F.col("object_id"))).alias("shared"))
     met = found.join(single, "object_id", "left").join(shared.withColumn("kind", F.lit("class")), ["kind", "name"], "left").withColumn("point", F.coalesce("point", "shared"))
     point = _named(snap, snap.objects.join(F.broadcast(met.select(F.col("point").alias("object_id")).distinct()), "object_id", "left_semi")).select(F.col("object_id").alias("point"), F.col("name").alias("point_name"))
     return met.join(point, "point", "left").select("kind", "name", "object_id", "objects", "retained", "point", "point_name")

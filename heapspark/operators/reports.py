@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..plans.snapshot import Snapshot
 from ..plans.store import materialize
 from . import compare, graph, inspections, quantize
+from .forest import Forest
 from .inspections import command
 
 #: Texts of objects by class: functions from a row's columns to its text.  Later registrations win.
@@ -41,28 +42,29 @@ def list_objects(snap: Snapshot, ids: DataFrame, inbound: bool = False) -> DataF
 
 
 @command
-def path2gc(snap: Snapshot, target: int, paths: int = 30, max_length: int | None = None, reached: DataFrame | None = None) -> DataFrame:
-    """(path, length): up to `paths` simple paths from roots to one object, shortest first, least ids first.
+def path2gc(snap: Snapshot, target: int, paths: int = 30, excluded: Column | None = None) -> DataFrame:
+    """(path, length): shortest paths from roots to one object, one after another, shortest first, least ids first; at most `paths`.
 
-    Walks back level by level over objects that roots reach, all unfinished walks at once, until enough
-    paths are found; only the final list is limited.  The walks of a level can be many where paths branch
-    and meet again.  reached: breadth_first() from the roots, where it is known.
+    A search goes back from the object and enters each other object once, from the one nearest to the target
+    (ties: the least id), but no root.  Each root that refers to an object found so ends a path, so a root can end
+    several.  excluded: a condition on references; an edge made of such alone is not followed.  The object's own
+    path, where it is a root.  Paths are put together for the `paths` chosen ends only.
     """
     spark = snap.objects.sparkSession
-    reached = (graph.breadth_first(snap.refs, snap.roots) if reached is None else reached).select(F.col("object_id").alias("up"))
-    back = snap.refs.select(F.col("dst_id").alias("at"), F.col("src_id").alias("up")).distinct().join(reached, "up", "left_semi")
-    roots = snap.roots.select(F.col("object_id").alias("at"), F.lit(True).alias("root")).distinct()
-    walks = spark.createDataFrame([([target], target)], "path array<long>, at long")
-    done: list[DataFrame] = []
-    found = 0
-    while max_length is None or len(done) < max_length:
-        here = materialize(walks.join(roots, "at", "left"), "walks")
-        done.append(here.where("root").select("path", F.size("path").alias("length")))
-        found += done[-1].count()
-        walks = here.where("root is null").join(back, "at").where(~F.array_contains("path", F.col("up"))).select(F.concat(F.array("up"), "path").alias("path"), F.col("up").alias("at"))
-        if found >= paths or walks.isEmpty():
-            break
-    return reduce(DataFrame.union, done).orderBy("length", "path").limit(paths)
+    edges = snap.refs.select("src_id", "dst_id").distinct() if excluded is None else graph.without_excluded(snap.refs, excluded)
+    roots = snap.roots.select("object_id").distinct()
+    start = spark.range(target, target + 1).select(F.col("id").alias("object_id"))
+    if not start.join(roots, "object_id", "left_semi").isEmpty():
+        return start.select(F.array("object_id").alias("path"), F.lit(1).alias("length"))
+    found = graph.breadth_first(edges.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id")), start, blocked=roots)
+    ends = edges.join(roots.withColumnRenamed("object_id", "src_id"), "src_id", "left_semi").join(found.select(F.col("object_id").alias("dst_id"), "depth"), "dst_id")
+    ends = materialize(ends.select(F.col("src_id").alias("root"), F.col("dst_id").alias("object_id"), "depth").orderBy("depth", "root", "object_id").limit(paths), "ends")
+    forest = Forest(found.select("object_id", "parent_id"), found.select("object_id", "depth"))
+    walked = forest.ancestors(ends)
+    steps = ends.join(walked, "object_id").groupBy("root", "object_id", "depth").agg(F.sort_array(F.collect_list(F.struct("distance", "at"))).alias("steps"))  # one path
+    out = materialize(steps.select(F.concat(F.array("root"), F.transform("steps", lambda s: s["at"])).alias("path"), (F.col("depth") + 2).alias("length")), "paths")
+    forest.drop()
+    return out.orderBy("length", "path")
 
 
 @command

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: Keys with more than 1 / HOT of all rows are hot; there can be no more than HOT of them.
 HOT = 65_536
@@ -38,6 +38,13 @@ def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -
     return out
 
 
+def counted(df: DataFrame, name: str, instead_of: DataFrame | None = None, **more: Column) -> tuple[DataFrame, dict[str, int]]:
+    """materialize(), with the number of rows (`rows`) and other aggregates, all gathered while writing."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in more.items()]), name, instead_of)
+    return out, seen.get
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Remove written tables; others are left alone."""
     for table in tables:

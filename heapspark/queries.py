@@ -481,7 +481,7 @@ _L = """WITH l AS (SELECT DISTINCT * FROM lineitem), j AS (SELECT c.c_nationkey
 def merged_shortest_paths(s, d):
     at = _index(s, d)
     shop = at.snap
-    return inspections.merge_shortest_paths(shop, at.tree, shop.objects.where(F.col("class_id") == snap.CLASS_OF["lineitem"]))
+    return inspections.merge_shortest_paths(shop, at.tree, shop.objects.where(F.col("class_id") == snap.CLASS_OF["lineitem"]), at.paths)
 
 
 def _dominance(s: SparkSession, d: str) -> tuple[snap.Snapshot, graph.Dominance]:
@@ -624,6 +624,16 @@ def accumulation_points(s, d):
     return inspections.accumulation_point(shop, dom, shop.roots.select("object_id"))
 
 
+@query("""SELECT 'SYSTEM_CLASS' AS root_type, 'shop.place.Region' AS name, count(*)::BIGINT AS objects FROM region WHERE r_regionkey = 0 HAVING count(*) > 0
+  UNION ALL SELECT 'UNREACHABLE', 'shop.place.Region', count(*) FROM region WHERE r_regionkey <> 0 HAVING count(*) > 0 UNION ALL SELECT 'UNREACHABLE', 'shop.trade.Part', count(*) FROM part HAVING count(*) > 0""")
+def keep_unreachable(s, d):
+    """Roots by type where only one region is a root and nations refer back to regions: lost regions are each in a circle with their nations, parts are alone."""
+    shop = _index(s, d).snap
+    back = shop.refs.where("name = 'nations'").select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), F.lit("region").alias("name"))
+    cut = snap.Snapshot(shop.objects, shop.classes, shop.refs.union(back), shop.roots.where(F.col("object_id") == OFFSET["region"]))
+    return inspections.gc_roots(snapshots.keep_unreachable(cut))
+
+
 @query("SELECT 'SYSTEM_CLASS' AS root_type, 'shop.place.Region' AS name, count(*)::BIGINT AS objects FROM region")
 def gc_roots(s, d):
     return inspections.gc_roots(snap.shop(s, d))
@@ -733,7 +743,20 @@ def path2gc(s, d):
     """Paths from the roots to the order of the greatest key."""
     target = table(s, d, "orders").agg(F.max("o_orderkey")).first()[0] + OFFSET["orders"]
     at = _index(s, d)
-    return reports.path2gc(at.snap, target, reached=at.tree).select(F.array_join("path", ">").alias("path"), "length")
+    return reports.path2gc(at.snap, target).select(F.array_join("path", ">").alias("path"), "length")
+
+
+@query(f"""WITH l AS (SELECT DISTINCT * FROM lineitem), t AS (SELECT min(s_suppkey) AS k FROM supplier), n AS (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey = (SELECT k FROM t))
+  SELECT concat_ws('>', {OFFSET['region']} + n_regionkey, {OFFSET['nation']} + n_nationkey, {OFFSET['supplier']} + (SELECT k FROM t)) AS path, 3 AS length FROM nation WHERE n_nationkey = (SELECT k FROM n)
+  UNION ALL SELECT concat_ws('>', {OFFSET['region']} + r_regionkey, {OFFSET['supplier']} + (SELECT k FROM t)), 2 FROM region""")
+def path2gc_excluding(s, d):
+    """Paths to the supplier of the least key where every region also refers to it, and to its nation by a field that is left out."""
+    at = _index(s, d)
+    key = table(s, d, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_nationkey").first()
+    far = at.snap.roots.select(F.col("object_id").alias("src_id"))
+    more = far.select("src_id", F.lit(OFFSET["supplier"] + key[0]).alias("dst_id"), F.lit("direct").alias("name")).union(far.select("src_id", F.lit(OFFSET["nation"] + key[1]), F.lit("weak")))
+    grown = snap.Snapshot(at.snap.objects, at.snap.classes, at.snap.refs.union(more), at.snap.roots)
+    return reports.path2gc(grown, OFFSET["supplier"] + key[0], excluded=F.col("name") == "weak").select(F.array_join("path", ">").alias("path"), "length")
 
 
 @query(f"""SELECT ({OFFSET['nation']} + c_nationkey)::BIGINT AS object_id, 'customers' AS name, ({OFFSET['customer']} + c_custkey)::BIGINT AS neighbour FROM customer
@@ -850,7 +873,7 @@ def _paths_of_trade(s: SparkSession, d: str, group_by: str) -> DataFrame:
     """Shortest paths of orders and lines: over customers those, over suppliers these."""
     at = _index(s, d)
     ids = at.snap.objects.where(F.col("class_id").isin(snap.CLASS_OF["orders"], snap.CLASS_OF["lineitem"]))
-    return inspections.grouped_paths(at.snap, at.tree, ids, group_by)
+    return inspections.grouped_paths(at.snap, at.tree, ids, group_by, at.paths)
 
 
 @query(_PATHS + """SELECT level, path, name, count(DISTINCT node)::BIGINT AS on_path, count(*)::BIGINT AS referenced FROM (
@@ -894,7 +917,7 @@ def immediate_dominated(s, d):
  UNION ALL SELECT 'class', 'shop.trade.LineItem', NULL, n, n * 96, (SELECT node FROM best), (SELECT name FROM best) FROM lone, h WHERE 96 * n > 0.05 * heap""")
 def leakhunter(s, d):
     shop, dom = _dominance(s, d)
-    return inspections.leakhunter(shop, dom, _index(s, d).tree, threshold_percent=5.0)
+    return inspections.leakhunter(shop, dom, _index(s, d).tree, threshold_percent=5.0, forest=_index(s, d).paths)
 
 
 @query(f"SELECT class_id IN (13, 14) AS implements, sum(objects)::BIGINT AS objects FROM ({_CLASS_OBJECTS}) GROUP BY 1")

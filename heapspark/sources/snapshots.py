@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.values import whole
 from ..operators import graph
+from ..operators.forest import Forest
 from ..operators.graph import breadth_first
 from ..plans.snapshot import Snapshot
 from ..plans.store import discard as remove, materialize
@@ -45,7 +46,12 @@ class Indexed:
 
     @cached_property
     def tree(self) -> DataFrame:
-        return materialize(breadth_first(self.edges, self.snap.roots), "tree")
+        return breadth_first(self.edges, self.snap.roots)
+
+    @cached_property
+    def paths(self) -> Forest:
+        """The shortest paths as a forest, with its ancestors at powers of two."""
+        return Forest(self.tree.select("object_id", "parent_id"), self.tree.select("object_id", "depth"))
 
     @cached_property
     def dominance(self) -> graph.Dominance:
@@ -59,8 +65,10 @@ class Indexed:
         """Remove what was written."""
         held = self.__dict__
         remove(self.snap.objects, self.snap.refs, *[held[k] for k in ("edges", "tree", "retained") if k in held])
+        if "paths" in held:
+            held["paths"].drop()
         if "dominance" in held:
-            remove(held["dominance"].pairs)
+            remove(held["dominance"].nodes)
 
 
 _INDEXED: dict[tuple[str, str], tuple[tuple, Indexed]] = {}
@@ -87,9 +95,13 @@ def indexed(spark: SparkSession, folder: str, build: Callable[[SparkSession, str
 
 
 def keep_unreachable(snap: Snapshot) -> Snapshot:
-    """Unreachable objects become roots of type UNREACHABLE."""
-    lost = snap.objects.join(breadth_first(snap.refs, snap.roots).select("object_id"), "object_id", "left_anti").select("object_id", F.lit(2048).alias("type"))
-    return Snapshot(snap.objects, snap.classes, snap.refs, snap.roots.union(lost))
+    """What roots don't reach is kept by new roots of type UNREACHABLE, as few as possible.
+
+    Lost objects that nothing refers to, and the least object of each circle of lost objects that nothing else
+    refers to; all other lost objects hang below those.
+    """
+    lost = snap.objects.select("object_id").join(breadth_first(snap.refs, snap.roots).select("object_id"), "object_id", "left_anti")
+    return Snapshot(snap.objects, snap.classes, snap.refs, snap.roots.union(graph.sources(snap.refs, lost).select("object_id", F.lit(2048).alias("type"))))
 
 
 def discard(snap: Snapshot, percent: int, names: str, seed: int = 1, offset: int = 0) -> Snapshot:

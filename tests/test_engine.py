@@ -77,6 +77,13 @@ def dominators(edges, roots):
     return {(n, d) for d in everything for n in everything - reach(edges, roots, {d})}
 
 
+def dominated_pairs(dom):
+    """(object, dominator) of intervals."""
+    rows = [tuple(r) for r in dom.nodes.select("object_id", "enter", "leave").collect()]
+    assert sorted(r[1] for r in rows) == list(range(len(rows)))
+    return {(b, a) for a, enter, leave in rows for b, at, _ in rows if enter <= at < leave}
+
+
 def test_sample_dominators(spark):
     edges = [(IDS[e[0]], IDS[e[2]], "f") for e in SAMPLE]
     dom = graph.dominance(edges_df(spark, edges), ids_df(spark, [0]))
@@ -105,7 +112,7 @@ def test_random_graphs(spark, seed):
     refs, top = edges_df(spark, edges), ids_df(spark, roots)
     objects = spark.createDataFrame([(i, i + 1) for i in range(n)], "object_id long, shallow long")
     dom = graph.dominance(refs, top)
-    assert {(r["object_id"], r["dominator_id"]) for r in dom.pairs.collect()} == dominators(edges, roots)
+    assert dominated_pairs(dom) == dominators(edges, roots)
     some = set(rng.sample(range(n), 3))
     everything = reach(edges, roots)
     assert ids(graph.retained_set(objects, refs, top, ids_df(spark, some))) == everything - reach(edges, roots, some)
