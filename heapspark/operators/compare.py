@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import bounds
+
 # Parts of keys that differ between runs: addresses, array indexes, array sizes.
 MASKS = (r"\s*@ 0x[0-9a-f]+", r"^(\[[0-9]+\], ){0,100}\[[0-9]+\](,\.\.\.)?$", r"(?<=\p{javaJavaIdentifierPart}\[)\d+(?=\])")
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -54,26 +56,33 @@ def compare(tables: Sequence[DataFrame], key: str, values: Sequence[str], mode:
     """Modes ABSOLUTE, DIFF_TO_FIRST, DIFF_TO_PREVIOUS, DIFF_RATIO_TO_FIRST, DIFF_RATIO_TO_PREVIOUS.
 
     The first table is always shown as it is; ratios add columns value_i_ratio.  Columns that are
-    not numbers show their value where it changed.
+    not numbers show their value where it changed; bounded sizes (bounds) keep their marks.
     """
     met = align(tables, key, values)
-    types = dict(tables[0].dtypes)
-    out: list[Column] = [F.col(key), F.col("nth")]
-    for i in range(len(tables)):
+    return met.select(F.col(key), F.col("nth"), *cells(F.col, values, len(tables), dict(tables[0].dtypes), mode))
+
+
+def cells(of: Callable[[str], Column], values: Sequence[str], tables: int, types: Mapping[str, str], mode: str) -> list[Column]:
+    """Columns value_i, and ratios, of rows that hold value_i of each table."""
+    out: list[Column] = []
+    for i in range(tables):
         base = 0 if mode.endswith("FIRST") else i - 1
         for v in values:
-            now = F.col(f"{v}_{i}")
+            now = of(f"{v}_{i}")
             if i == 0 or mode == "ABSOLUTE":
                 out.append(now)
                 continue
-            before = F.col(f"{v}_{base}")
+            before = of(f"{v}_{base}")
+            if types[v].startswith("struct"):
+                out.append(bounds.minus(now, before).alias(f"{v}_{i}"))
+                continue
             if types[v] not in _NUMBERS and not types[v].startswith("decimal"):
                 out.append(changed(now, before).alias(f"{v}_{i}"))
                 continue
             out.append(difference(now, before).alias(f"{v}_{i}"))
             if "RATIO" in mode:
                 out.append(ratio(now, before).alias(f"{v}_{i}_ratio"))
-    return met.select(*out)
+    return out
 
 
 def histogram_difference(now: DataFrame, before: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

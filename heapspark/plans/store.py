@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -15,6 +17,14 @@ HOT = 65_536
 LEAST_HOT = 64
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package (on a cluster, install it or pass --py-files)."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below spark.checkpoint.dir; a temporary folder only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import filters, values as v
-from .operators import compare, graph, inspections, quantize, reports, scans
+from .operators import aggregates, bounds, class_tree, compare, contents, graph, inspections, pairing, quantize, reports, scans
 from .plans import snapshot as snap
 from .plans.snapshot import LINE, OFFSET, table
 from .sources import results, snapshots
@@ -939,3 +940,161 @@ def object_set_retained(s, d):
     at = _index(s, d)
     party = at.snap.classes.where("name = 'shop.party.Party'")
     return inspections.histogram(at.snap, scans.object_set(at.snap, party, include_subclasses=True, retained=True, edges=at.edges, tree=at.tree))
+
+
+# --- rows about the same object, trees, bounds
+
+
+@query("""WITH a AS (SELECT c_nationkey AS nation, c_custkey AS id FROM customer), m AS (
+  SELECT nation, CASE WHEN id % 3 <> 0 THEN 0 WHEN id % 5 <> 0 THEN 1 ELSE 2 END AS matched, id AS object_0, id AS object_1 FROM a WHERE id % 7 <> 0),
+ l AS (SELECT nation, id, row_number() OVER (PARTITION BY nation ORDER BY id) AS nth FROM a WHERE id % 7 = 0), r AS (SELECT nation, id + 1000000000 AS id, row_number() OVER (PARTITION BY nation ORDER BY id) AS nth FROM a WHERE id % 11 = 0)
+ SELECT * FROM m UNION ALL SELECT coalesce(l.nation, r.nation), NULL, l.id, r.id FROM l FULL JOIN r ON l.nation = r.nation AND l.nth = r.nth""")
+def compare_duplicates(s, d):
+    """Customers of a nation in two heaps: the same address, the same name where it moved, the same retained size where it has no name; some are gone, others new.  Order by value would pair all after the first gap wrongly."""
+    c, key = table(s, d, "customer"), F.col("c_custkey")
+    first = c.select(
+        F.col("c_nationkey").alias("nation"), key.alias("object_id"), F.col("c_mktsegment").alias("class_name"), F.lit("instance").alias("kind"), (key * 16).alias("address"),
+        F.when(key % 5 != 0, F.col("c_name")).alias("own_name"), F.lit(48).cast("long").alias("shallow"), (key + 48).alias("retained"),
+    )
+    moved = first.where("object_id % 7 <> 0").withColumn("address", F.col("address") + F.when(F.col("object_id") % 3 == 0, 8).otherwise(0))
+    new = first.where("object_id % 11 = 0").withColumns({"object_id": F.col("object_id") + 10**9, "address": F.col("address") + 10**12, "own_name": F.concat(F.lit("new "), F.col("object_id")), "retained": F.lit(48).cast("long")})
+    return pairing.paired(first, moved.unionByName(new), "nation")
+
+
+_PACKAGES = f"""WITH RECURSIVE h AS ({_CLASS_OBJECTS}), p AS (
+  SELECT 0 AS level, string_split(name, '.')[1] AS path, string_split(name, '.') AS parts, class_id, objects, shallow FROM h
+  UNION ALL SELECT level + 1, path || '/' || parts[level + 2], parts, class_id, objects, shallow FROM p WHERE len(parts) > level + 1)
+ SELECT level, path, sum(CASE WHEN class_id <> 14 THEN objects END)::BIGINT AS objects_0, (CASE WHEN bool_or(class_id <> 14) THEN sum(CASE WHEN class_id = 14 THEN objects ELSE 0 END) ELSE sum(objects) END)::BIGINT AS objects_1 FROM p GROUP BY level, path"""
+
+
+@query(_PACKAGES)
+def compare_package_trees(s, d):
+    """Package trees without and with suppliers, merged level by level: what is new below each package."""
+
+    def nodes(hist: DataFrame) -> DataFrame:
+        parts = F.split("name", r"\.")
+        each = hist.select("objects", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.slice(parts, 1, n))).alias("at"))
+        own = each.groupBy("at").agg(F.sum("objects").cast("long").alias("objects"))
+        return own.select(F.array_join("at", ".").alias("node_id"), F.when(F.size("at") > 1, F.array_join(F.slice("at", 1, F.size("at") - 1), ".")).alias("parent_id"), F.element_at("at", -1).alias("name"), "objects")
+
+    sides = [nodes(inspections.histogram(x)) for x in (_without_suppliers(s, d), _index(s, d).snap)]
+    return pairing.compare_trees(sides, "name", ["objects"], "DIFF_TO_FIRST").select("level", "path", "objects_0", "objects_1")
+
+
+@query(_RETAINED + f""", h AS (SELECT 24 * (SELECT count(*) FROM region) AS r, 32 * (SELECT count(*) FROM nation) AS n, 48 * (SELECT count(*) FROM customer) AS c, 40 * (SELECT count(*) FROM supplier) AS s, 56 * (SELECT count(*) FROM orders) AS o,
+   96 * (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS l), x AS ({_CLASS_OBJECTS}), b AS (SELECT class_id, objects,
+   (CASE class_id WHEN 11 THEN (SELECT sum(retained) FROM rr) WHEN 12 THEN (SELECT sum(retained) FROM nr) WHEN 13 THEN c + o WHEN 14 THEN shallow WHEN 15 THEN shallow WHEN 17 THEN shallow END)::BIGINT AS least,
+   (CASE class_id WHEN 11 THEN r + n + c + s + o + l WHEN 12 THEN n + c + s + o + l WHEN 13 THEN c + o WHEN 14 THEN s WHEN 15 THEN o WHEN 17 THEN l END)::BIGINT AS exact FROM x, h)
+  SELECT class_id, CASE WHEN objects > 1 THEN '>= ' ELSE '' END || least AS before, CASE WHEN objects > 1 THEN '<= ' ELSE '' END || (exact - least) AS growth FROM b
+  UNION ALL SELECT NULL, CASE WHEN bool_or(objects > 1 AND least IS NOT NULL) THEN '>= ' ELSE '' END || sum(least)::BIGINT, CASE WHEN bool_or(objects > 1 AND least IS NOT NULL) THEN '<= ' ELSE '' END || sum(exact - least)::BIGINT FROM b""")
+def compare_bounds(s, d):
+    """Least retained sizes of classes, which are lower bounds, against precise ones; growth is then at most so much.  The last row is the total."""
+    at = _index(s, d)
+    least = inspections.retained_column(at.snap, at.snap.classes, at.dominance).select("class_id", bounds.bounded(F.col("retained"), F.when(F.col("objects") > 1, bounds.AT_LEAST).otherwise(bounds.EXACT)).alias("size"))
+    exact = inspections.retained_column(at.snap, at.snap.classes, at.dominance, at.tree, at.edges).select("class_id", bounds.bounded(F.col("retained")).alias("size"))
+    rows = compare.compare([least, exact], "class_id", ["size"], "DIFF_TO_FIRST")
+    sums = rows.agg(bounds.total(F.col("size_0")).alias("size_0"), bounds.total(F.col("size_1")).alias("size_1")).select(F.lit(None).cast("int").alias("class_id"), "size_0", "size_1")
+    both = rows.select("class_id", "size_0", "size_1").unionByName(sums)
+    return both.select("class_id", bounds.text(F.col("size_0")).alias("before"), bounds.text(F.col("size_1")).alias("growth"))
+
+
+# --- ids and addresses
+
+
+_ADDRESSES = " UNION ALL ".join(f"SELECT {OFFSET[t]} + {snap.KEY[t]} AS address FROM {t}" for t in OFFSET)
+_DENSE = f"WITH a AS ({_ADDRESSES}), i AS (SELECT row_number() OVER (ORDER BY address) - 1 AS object_id, address::BIGINT AS address FROM a) "
+
+
+@query(_DENSE + "SELECT object_id, address, address AS back FROM i")
+def dense_ids(s, d):
+    """Dense ids of all objects by address, and back; lines, whose addresses are the greatest, are numbered too but not shown, as SQL lacks their hash."""
+    objects = _index(s, d).snap.objects
+    ids = snapshots.dense_ids(objects.select(F.col("object_id").alias("address")))
+    shown = ids.where(F.col("address") < LINE).select("object_id", "address")
+    return snapshots.to_addresses(shown.withColumnRenamed("address", "own"), ids).select("object_id", F.col("own").alias("address"), F.col("address").alias("back"))
+
+
+@query(_DENSE + f""", w AS (SELECT o_orderkey AS nth, (CASE WHEN o_orderkey % 10 = 0 THEN -1 - o_orderkey ELSE {OFFSET['orders']} + o_orderkey END)::BIGINT AS address FROM orders)
+  SELECT nth, w.address, object_id FROM w LEFT JOIN i ON i.address = w.address""")
+def addresses_to_ids(s, d):
+    """A list of addresses with unknown ones among them: those keep their row, without an id."""
+    ids = snapshots.dense_ids(_index(s, d).snap.objects.select(F.col("object_id").alias("address")))
+    key = F.col("o_orderkey")
+    wanted = table(s, d, "orders").select(key.alias("nth"), F.when(key % 10 == 0, -1 - key).otherwise(snap.object_id("orders")).alias("address"))
+    return snapshots.to_ids(wanted, ids).select("nth", "address", "object_id")
+
+
+# --- own aggregates, contents of collections, classes by reference
+
+
+@query("""SELECT o_orderpriority, round(stddev_pop(o_totalprice), 4) AS deviation, round(exp(avg(ln(o_totalprice))), 4) AS geometric_mean, round((min(o_totalprice) + max(o_totalprice)) / 2, 4) AS midrange FROM orders GROUP BY 1""")
+def own_aggregates(s, d):
+    o, out = table(s, d, "orders"), None
+    for name in ("DEVIATION", "GEOMETRIC_MEAN", "MIDRANGE"):
+        one = aggregates.aggregate(o, ["o_orderpriority"], "o_totalprice", name, name.lower()).withColumn(name.lower(), F.round(name.lower(), 4))
+        out = one if out is None else out.join(one, "o_orderpriority")
+    return out
+
+
+_LIST, _NODE, _MAP, _TABLE, _ENTRY, _TREE, _LEAF = (k * 10**12 for k in range(20, 27))
+
+
+def _collections(s: SparkSession, d: str) -> snap.Snapshot:
+    """The tables as collections: a list of orders for each customer, a chained map of suppliers for each nation, a sorted tree of nations for each region."""
+    orders, supplier, nation = (table(s, d, t) for t in ("orders", "supplier", "nation"))
+
+    def chain(rows: DataFrame, group: list[str], key: str) -> DataFrame:
+        """rows with their place in the group, the next key and the group's size."""
+        w = Window.partitionBy(*group).orderBy(key)
+        return rows.withColumns({"place": F.row_number().over(w), "following": F.lead(key).over(w), "n": F.count(F.lit(1)).over(Window.partitionBy(*group))})
+
+    def ref(df: DataFrame, src, dst, name) -> DataFrame:
+        return df.select(src.cast("long").alias("src_id"), dst.cast("long").alias("dst_id"), (F.lit(name) if isinstance(name, str) else name).alias("name"))
+
+    c = lambda name, offset: F.col(name).cast("long") + offset
+    lists = chain(orders.select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+    maps = chain(supplier.select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 4).alias("b")), ["s_nationkey", "b"], "s_suppkey")
+    trees = chain(nation.select("n_nationkey", "n_regionkey"), ["n_regionkey"], "n_nationkey")
+    other = trees.select("n_regionkey", F.col("place").alias("child"), F.col("n_nationkey").alias("child_key"))
+    spine = trees.where("place % 2 = 0 or (place = 1 and n = 1)")
+    left = spine.where("place % 2 = 0").join(other, "n_regionkey").where("child = place - 1")
+    right = spine.join(other, "n_regionkey").where("place % 2 = 0 and (child = place + 2 or (child = place + 1 and place + 1 = n))")
+    refs = [
+        ref(lists.where("place = 1"), c("o_custkey", _LIST), c("o_orderkey", _NODE), "first"), ref(lists.where("following is not null"), c("o_orderkey", _NODE), c("following", _NODE), "next"),
+        ref(lists, c("o_orderkey", _NODE), c("o_orderkey", OFFSET["orders"]), "item"),
+        ref(nation, c("n_nationkey", _MAP), c("n_nationkey", _TABLE), "table"), ref(maps.where("place = 1"), c("s_nationkey", _TABLE), c("s_suppkey", _ENTRY), F.concat(F.lit("["), F.col("b").cast("string"), F.lit("]"))),
+        ref(maps.where("following is not null"), c("s_suppkey", _ENTRY), c("following", _ENTRY), "next"), ref(maps, c("s_suppkey", _ENTRY), c("s_suppkey", OFFSET["supplier"]), "key"),
+        ref(maps, c("s_suppkey", _ENTRY), c("s_nationkey", OFFSET["nation"]), "value"),
+        ref(trees.where("place = least(2, n)"), c("n_regionkey", _TREE), c("n_nationkey", _LEAF), "root"), ref(left, c("n_nationkey", _LEAF), c("child_key", _LEAF), "left"),
+        ref(right, c("n_nationkey", _LEAF), c("child_key", _LEAF), "right"), ref(trees, c("n_nationkey", _LEAF), c("n_nationkey", OFFSET["nation"]), "key"),
+    ]
+    region, customer = table(s, d, "region"), table(s, d, "customer")
+    objects = [df.select(c(key, offset).alias("object_id"), F.lit(cls).alias("class_id"), F.lit(24).cast("long").alias("shallow")) for df, key, offset, cls in ((customer, "c_custkey", _LIST, 31), (nation, "n_nationkey", _MAP, 33), (region, "r_regionkey", _TREE, 34))]
+    classes = s.createDataFrame([(30, "java.util.LinkedList", 1), (31, "shop.trade.OrderList", 30), (32, "java.util.HashMap", 1), (33, "shop.place.Suppliers", 32), (34, "java.util.TreeMap", 1), (1, "java.lang.Object", None)], "class_id int, name string, super_id int")
+    classes = classes.withColumns({"loader_id": F.lit(1), "instance_size": F.lit(24).cast("long")})
+    return snap.Snapshot(reduce(DataFrame.unionByName, objects), classes, reduce(DataFrame.unionByName, refs), region.select(c("r_regionkey", _TREE).alias("object_id"), F.lit(2).alias("type")))
+
+
+@query(f"""SELECT ({_LIST} + o_custkey)::BIGINT AS object_id, 'chain' AS kind, NULL::BIGINT AS bucket, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::BIGINT AS place, NULL::BIGINT AS key, ({OFFSET['orders']} + o_orderkey)::BIGINT AS value FROM orders
+  UNION ALL SELECT {_MAP} + s_nationkey, 'map', s_suppkey % 4, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 4 ORDER BY s_suppkey) - 1, {OFFSET['supplier']} + s_suppkey, {OFFSET['nation']} + s_nationkey FROM supplier
+  UNION ALL SELECT {_TREE} + n_regionkey, 'tree', NULL, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1, {OFFSET['nation']} + n_nationkey, NULL FROM nation""")
+def collection_contents(s, d):
+    """Lists, chained maps and sorted trees, whose classes have rules or inherit them."""
+    return contents.collection_contents(_collections(s, d)).select("object_id", "kind", "bucket", "place", "key", "value")
+
+
+@query("""WITH g AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_regionkey IN (0, 1)), z AS (SELECT k FROM g WHERE r = 0), c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT k FROM z)), p AS (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT k FROM z)),
+ t AS (SELECT 0 AS level, 'shop.place.Region' AS path, 1 AS n, 24 AS size, 'NEW' AS type UNION ALL SELECT 1, 'shop.place.Region>shop.place.Nation', (SELECT count(*) FROM z), 32, 'NEW'
+  UNION ALL SELECT 2, 'shop.place.Region>shop.place.Nation>shop.party.Customer', (SELECT count(*) FROM c), 48, 'NEW' UNION ALL SELECT 2, 'shop.place.Region>shop.place.Nation>shop.party.Supplier', (SELECT count(*) FROM p), 40, 'NEW'
+  UNION ALL SELECT 2, 'shop.place.Region>shop.place.Nation>shop.place.Region', 2, 24, 'MIXED'
+  UNION ALL SELECT 3, 'shop.place.Region>shop.place.Nation>shop.party.Customer>shop.trade.Order', (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), 56, 'NEW'
+  UNION ALL SELECT 3, 'shop.place.Region>shop.place.Nation>shop.party.Supplier>shop.trade.LineItem', (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM p))), 96, 'NEW'
+  UNION ALL SELECT 3, 'shop.place.Region>shop.place.Nation>shop.place.Region>shop.place.Nation', (SELECT count(*) FROM g), 32, 'MIXED')
+ SELECT level, path, n::BIGINT AS objects, (n * size)::BIGINT AS shallow, type FROM t WHERE n > 0""")
+def class_reference_tree(s, d):
+    """Three levels from one region, where nations refer back to their region and to the next one."""
+    shop = _index(s, d).snap
+    own = shop.refs.where("name = 'nations'").select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), F.lit("region").alias("name"))
+    following = own.select("src_id", (F.lit(OFFSET["region"]) + (F.col("dst_id") - OFFSET["region"] + 1) % 5).alias("dst_id"), F.lit("following").alias("name"))
+    circular = snap.Snapshot(shop.objects, shop.classes, shop.refs.union(own).union(following), shop.roots)
+    return class_tree.class_reference_tree(circular, shop.roots.where(F.col("object_id") == OFFSET["region"]), levels=3).select("level", "path", "objects", "shallow", "type")

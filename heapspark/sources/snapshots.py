@@ -11,6 +11,7 @@ from ..functions.values import whole
 from ..operators import graph
 from ..operators.forest import Forest
 from ..operators.graph import breadth_first
+from ..plans.order import numbered
 from ..plans.snapshot import Snapshot
 from ..plans.store import discard as remove, materialize
 
@@ -94,6 +95,37 @@ def indexed(spark: SparkSession, folder: str, build: Callable[[SparkSession, str
     return _INDEXED[key][1]
 
 
+def dense_ids(objects: DataFrame) -> DataFrame:
+    """(object_id, address): ids 0, 1, 2, ... in the order of addresses, without a global window."""
+    return numbered(objects.select("address").distinct(), ["address"], "object_id").select("object_id", "address")
+
+
+def renumbered(snap: Snapshot) -> tuple[Snapshot, DataFrame]:
+    """The snapshot with dense ids, whose old ids are the addresses; and the map (object_id, address).
+
+    References and roots of objects that are not there go.
+    """
+    ids = dense_ids(snap.objects.select(F.col("object_id").alias("address")))
+
+    def moved(df: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            df = df.withColumnRenamed(c, "address").join(ids, "address").withColumnRenamed("object_id", "new__id").drop("address").withColumnRenamed("new__id", c)
+        return df
+
+    objects = snap.objects.withColumnRenamed("object_id", "address").join(ids, "address")
+    return Snapshot(objects, snap.classes, moved(snap.refs, "src_id", "dst_id").select(*snap.refs.columns), moved(snap.roots, "object_id").select(*snap.roots.columns)), ids
+
+
+def to_ids(addresses: DataFrame, ids: DataFrame) -> DataFrame:
+    """addresses (with a column address) and their object_id, null where no object has the address."""
+    return addresses.join(ids.select("address", "object_id"), "address", "left")
+
+
+def to_addresses(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (with a column object_id) and their address, null where there is no such object."""
+    return rows.join(ids.select("object_id", "address"), "object_id", "left")
+
+
 def keep_unreachable(snap: Snapshot) -> Snapshot:
     """What roots don't reach is kept by new roots of type UNREACHABLE, as few as possible.
 
