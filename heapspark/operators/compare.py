@@ -91,6 +91,11 @@ def histogram_difference(now: DataFrame, before: DataFrame, keys: Sequence[str],
     return sides[0].unionByName(sides[1]).groupBy(*keys).agg(*[F.sum(v).cast("long").alias(v) for v in values])
 
 
+def absolute_totals(diff: DataFrame, values: Sequence[str]) -> DataFrame:
+    """One row: each column's sum, and the sum of its absolute values as value_moved: growth and shrinking don't cancel out."""
+    return diff.agg(*[x for v in values for x in (F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(v), F.coalesce(F.sum(F.abs(v)), F.lit(0)).cast("long").alias(f"{v}_moved"))])
+
+
 def histogram_intersection(a: DataFrame, b: DataFrame, keys: Sequence[str], count: str, size: str) -> DataFrame:
     """Classes with equal counts other than 0 in both; sizes are summed."""
     other = b.select(*keys, F.col(count), F.col(size).alias("size__"))

@@ -295,7 +295,7 @@ def retained_set(objects: DataFrame, refs: DataFrame, roots: DataFrame, ids: Dat
     return reach.join(left, "object_id", "left_anti")
 
 
-def _grown(edges: DataFrame, start: DataFrame, within: DataFrame | None = None) -> DataFrame:
+def grown(edges: DataFrame, start: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """(group_id, object_id) of start and all that edges lead to, group by group; within: only to those pairs."""
     key = ["group_id", "object_id"]
     levels = [materialize(start.select(*key).distinct(), "grown")]
@@ -325,12 +325,12 @@ def retained_by_groups(refs: DataFrame, roots: DataFrame, groups: DataFrame, tre
     edges = edges_of(refs).join(reach.withColumnRenamed("object_id", "src_id"), "src_id", "left_semi")
     key = ["group_id", "object_id"]
     members = materialize(groups.select(*key).distinct().join(reach, "object_id", "left_semi").select(*key), "members")
-    region = _grown(edges, members)
+    region = grown(edges, members)
     open_to = materialize(region.join(members, key, "left_anti"), "region")
     top = roots.select("object_id").distinct()
     entering = open_to.join(edges, F.col("object_id") == F.col("dst_id")).select("group_id", F.col("src_id").alias("object_id"), "dst_id").join(region, key, "left_anti")
     past = open_to.join(top, "object_id", "left_semi").select(*key).unionByName(entering.select("group_id", F.col("dst_id").alias("object_id")))
-    escaped = _grown(edges, past, within=open_to)
+    escaped = grown(edges, past, within=open_to)
     return region.join(escaped, key, "left_anti")
 
 

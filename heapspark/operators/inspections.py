@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import smart_fix, whole
+from ..plans.order import running
 from ..plans.snapshot import Snapshot
 from . import graph, quantize
 from .forest import Forest
@@ -230,6 +231,7 @@ def grouped_paths(snap: Snapshot, tree: DataFrame, ids: DataFrame, group_by: str
     row, and only the groups hold texts.
     """
     _known(group_by, "FROM_GC_ROOTS", "FROM_GC_ROOTS_BY_CLASS", "FROM_OBJECTS_BY_CLASS")
+    ids = ids.select("object_id").distinct()
     passed = graph.materialize(_passed(snap, tree, ids, forest), "passed")
     if group_by == "FROM_GC_ROOTS":
         return passed.select(F.col("depth").alias("level"), F.col("object_id").cast("string").alias("path"), "name", F.lit(1).cast("long").alias("on_path"), F.col("n").alias("referenced"))
@@ -238,8 +240,7 @@ def grouped_paths(snap: Snapshot, tree: DataFrame, ids: DataFrame, group_by: str
     if down:
         now = passed.where("parent_id is null").select("object_id", "name", "n", F.xxhash64("name").alias("group"))
     else:
-        own = ids.groupBy("object_id").agg(quantize.count().alias("n"))
-        now = passed.drop("n").join(own, "object_id").select("object_id", "name", "n", F.xxhash64("name").alias("group"))
+        now = passed.join(ids, "object_id", "left_semi").select("object_id", "name", F.lit(1).cast("long").alias("n"), F.xxhash64("name").alias("group"))
     out, texts, level = [], None, 0
     now = graph.materialize(now, "front")
     while True:
@@ -390,14 +391,31 @@ def map_collision_ratio(df: DataFrame, keep: Sequence[str], key: str, buckets: i
 def waste_in_char_arrays(fragments: DataFrame, minimum: int = 50) -> DataFrame:
     """Arrays with more than `minimum` elements outside the fragments that texts use of them.
 
-    fragments: (array_id, length, first, size).  Fragments are merged as intervals, by gaps and islands.
+    fragments: (array_id, length, first, size).  Fragments are merged as intervals along their order, dealt by
+    ranges, so an array that very many texts share is swept by many tasks.
     """
-    w = Window.partitionBy("array_id").orderBy("first", "size")
-    reach = F.max(F.col("first") + F.col("size")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = fragments.withColumn("reach", F.coalesce(reach, F.lit(0))).withColumn("adds", F.greatest(F.lit(0), F.col("first") + F.col("size") - F.greatest("reach", "first")))
+    ends = fragments.select("array_id", "length", "first", "size", (F.col("first") + F.col("size")).alias("end"))
+    ran = running(ends, ["first", "size"], "end", "reach", "max", within=["array_id"])
+    new = ran.withColumn("adds", F.greatest(F.lit(0), F.col("end") - F.greatest("reach", "first", F.lit(0))))
     return new.groupBy("array_id", "length").agg(F.sum("adds").cast("long").alias("used")).withColumn("waste", F.col("length") - F.col("used")).where(F.col("waste") > minimum)
 
 
+@command
+def waste_by_referrers(referrers: DataFrame, minimum: int = 50) -> DataFrame:
+    """(array_id, length, used, waste): arrays whose referrers are all texts, each of which leaves `minimum` elements or more.
+
+    referrers: (array_id, length, is_text, first, size), a row each; null first counts as 0, null size as the rest.
+    Shorter arrays, and those that something else refers to or that one text nearly fills, have no waste; an array
+    with one text has what that leaves, others what all fragments leave, if it exceeds `minimum`.
+    """
+    first = F.coalesce("first", F.lit(0))
+    rows = referrers.select("array_id", "length", F.coalesce("is_text", F.lit(False)).alias("is_text"), first.cast("long").alias("first"), F.coalesce("size", F.col("length") - first).cast("long").alias("size"))
+    fit = F.col("is_text") & (F.col("length") - F.col("size") >= minimum)
+    judged = rows.where(F.col("length") >= minimum).groupBy("array_id").agg(F.bool_and(fit).alias("fit"), quantize.count().alias("texts")).where("fit")
+    wasted = waste_in_char_arrays(rows.join(judged.select("array_id"), "array_id", "left_semi").select("array_id", "length", "first", "size"), -1)
+    return wasted.join(judged, "array_id").where((F.col("texts") == 1) | (F.col("waste") > minimum)).select("array_id", "length", "used", "waste")
+
+
 @command
 def reference_statistics(snap: Snapshot, referents: DataFrame, references: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Histograms of the referents, of what the references retain by `fields`, and of referents held strongly by them."""

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.snapshot import Snapshot
 from ..plans.store import materialize
@@ -120,16 +119,17 @@ def component_report_top(snap: Snapshot, dom: graph.Dominance, percent: float =
 
 @command
 def reference_leak(snap: Snapshot, references: DataFrame, field: str = "referent") -> DataFrame:
-    """(reference, referent) where the reference also reaches its referent by other fields: it can never be cleared."""
+    """(reference, referent) where the reference also reaches its referent by other fields: it can never be cleared.
+
+    Each different referent is searched back from once, over what leads to it; that is a row for each referent and
+    object above it, so ask for the references of a report.
+    """
     pairs = snap.refs.where(F.col("name") == field).join(references.select(F.col("object_id").alias("src_id")), "src_id", "left_semi").select(F.col("src_id").alias("reference"), F.col("dst_id").alias("referent"))
     strong = snap.refs.where(F.col("name") != field).select("src_id", "dst_id").distinct()
-    seen = reached = materialize(pairs.select("reference", F.col("reference").alias("at")), "strong")
-    while True:
-        step = reached.join(strong, F.col("at") == F.col("src_id")).select("reference", F.col("dst_id").alias("at")).distinct()
-        reached = materialize(step.join(seen, ["reference", "at"], "left_anti"), "strong")
-        if reached.isEmpty():
-            return pairs.join(seen.withColumnRenamed("at", "referent"), ["reference", "referent"], "left_semi")
-        seen = seen.union(reached)
+    # what leads to a referent, searched back from it: only references that it meets matter
+    back = strong.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
+    above = graph.grown(back, pairs.select(F.col("referent").alias("group_id"), F.col("referent").alias("object_id")))
+    return pairs.join(above.select(F.col("group_id").alias("referent"), F.col("object_id").alias("reference")), ["reference", "referent"], "left_semi")
 
 
 @command
@@ -184,9 +184,3 @@ def linked_queue(snap: Snapshot, heads: DataFrame, following: str = "next", refe
 def comparison_report(pairs: Mapping[str, tuple[DataFrame, DataFrame]], keys: Sequence[str], values: Sequence[str]) -> dict[str, DataFrame]:
     """Histogram differences of several queries."""
     return {name: compare.histogram_difference(now, before, keys, values) for name, (before, now) in pairs.items()}
-
-
-def ranked(df: DataFrame, by: str, within: Sequence[str]) -> DataFrame:
-    """Rows of each group in descending order of a column, ties by all other columns."""
-    rest = [c for c in df.columns if c != by]
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(by), *rest)))

@@ -72,6 +72,40 @@ def object_set(
     return graph.retained_set(snap.objects, snap.refs if edges is None else edges, snap.roots, out, tree) if retained else out
 
 
+def extent_of_ids(snap: Snapshot, ids: Sequence[int]) -> DataFrame:
+    """Objects of the classes with these ids; an id that is no class is an error."""
+    wanted = sorted(set(ids))
+    known = {r[0] for r in snap.classes.where(F.col("class_id").isin(wanted)).select("class_id").distinct().collect()}
+    if missing := [i for i in wanted if i not in known]:
+        raise ValueError(f"not classes: {missing}")
+    return snap.objects.where(F.col("class_id").isin(wanted))
+
+
+def static_field(classes: DataFrame, statics: DataFrame, name: str) -> DataFrame:
+    """(class_id, value): a static field of each class, its own or that of the nearest superclass that has it, else null.
+
+    statics: (class_id, name, value).
+    """
+    given = statics.where(F.col("name") == name).select(F.col("class_id").alias("ancestor_id"), "value")
+    nearest = class_ancestors(classes).join(given, "ancestor_id").groupBy("class_id").agg(F.min_by("value", "distance").alias("value"))
+    return classes.select("class_id").join(nearest, "class_id", "left")
+
+
+def objects_of(df: DataFrame, column: str, ids: DataFrame | None = None) -> DataFrame:
+    """(object_id): what a column of selected objects holds, in a row each: ids as they are, lists of ids one by one; nulls go.
+
+    ids: (object_id, address); the column then holds addresses, of which 0 is null.  Other types are an error.
+    """
+    kind = dict(df.dtypes)[column]
+    if kind not in ("int", "bigint", "array<int>", "array<bigint>"):
+        raise ValueError(f"{kind} is no object")
+    found = F.explode(column) if kind.startswith("array") else F.col(column)
+    rows = df.select(found.alias("object_id")).select(F.col("object_id").cast("long").alias("object_id")).where("object_id is not null")
+    if ids is None:
+        return rows
+    return rows.where("object_id <> 0").withColumnRenamed("object_id", "address").join(ids, "address").select("object_id")
+
+
 def class_objects(snap: Snapshot, pattern: str) -> DataFrame:
     """The classes themselves."""
     return snap.classes.where(F.col("name").rlike(whole(smart_fix(pattern))))

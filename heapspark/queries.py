@@ -268,13 +268,13 @@ _CLASS_OBJECTS = " UNION ALL ".join(
 
 @query(f"SELECT name, objects, shallow FROM ({_CLASS_OBJECTS})")
 def histogram_by_class(s, d):
-    return inspections.histogram(snap.shop(s, d))
+    return inspections.histogram(_index(s, d).snap)
 
 
 @query(f"""WITH h AS ({_CLASS_OBJECTS}), p AS (SELECT unnest(['shop', 'shop.' || split_part(name, '.', 2), name]) AS package, objects, shallow FROM h)
            SELECT package, sum(objects)::BIGINT AS objects, sum(shallow)::BIGINT AS shallow FROM p GROUP BY package""")
 def histogram_by_package(s, d):
-    return inspections.histogram(snap.shop(s, d), group_by="BY_PACKAGE")
+    return inspections.histogram(_index(s, d).snap, group_by="BY_PACKAGE")
 
 
 @query(f"""WITH h AS ({_CLASS_OBJECTS}), u AS (SELECT * FROM h UNION ALL SELECT 'java.lang.Object', 1, objects, shallow FROM h
@@ -282,19 +282,19 @@ def histogram_by_package(s, d):
            UNION ALL SELECT 'shop.trade.Trade', 4, objects, shallow FROM h WHERE class_id IN (15, 17))
            SELECT name, sum(objects)::BIGINT AS objects, sum(shallow)::BIGINT AS shallow FROM u GROUP BY name""")
 def histogram_by_superclass(s, d):
-    return inspections.histogram(snap.shop(s, d), group_by="BY_SUPERCLASS")
+    return inspections.histogram(_index(s, d).snap, group_by="BY_SUPERCLASS")
 
 
 @query(f"""WITH h AS (SELECT *, CASE WHEN class_id < 15 THEN 1 ELSE 2 END AS loader_id FROM ({_CLASS_OBJECTS}))
            SELECT loader_id, name, sum(objects)::BIGINT AS objects, sum(shallow)::BIGINT AS shallow FROM h GROUP BY GROUPING SETS ((loader_id), (loader_id, name))""")
 def histogram_by_loader(s, d):
-    return inspections.histogram(snap.shop(s, d), group_by="BY_CLASSLOADER")
+    return inspections.histogram(_index(s, d).snap, group_by="BY_CLASSLOADER")
 
 
 @query("""SELECT 'shop.trade.Order' AS name, count(*)::BIGINT AS objects, (count(*) * 56)::BIGINT AS shallow FROM orders WHERE o_totalprice > 150000""")
 def histogram_of_set(s, d):
     ids = table(s, d, "orders").where("o_totalprice > 150000").select(snap.object_id("orders").alias("object_id"))
-    return inspections.histogram(snap.shop(s, d), ids)
+    return inspections.histogram(_index(s, d).snap, ids)
 
 
 # --- filters, order, limit
@@ -329,12 +329,13 @@ def topk_sorted(s, d):
 # --- comparison of tables: orders of years as snapshots
 
 
-_ALL_YEARS = tuple(range(1995, 2002))  # of all orders
+#: A snapshot for each of these years; orders before the first or after the last count with it, so none is left out.
+_ALL_YEARS = tuple(range(1995, 2002))
 
 
 def _years(s: SparkSession, d: str) -> list[DataFrame]:
     """A snapshot for each year of orders: counts and sums by priority."""
-    o = table(s, d, "orders").withColumn("year", F.year("o_orderdate"))
+    o = table(s, d, "orders").withColumn("year", F.greatest(F.least(F.year("o_orderdate"), F.lit(_ALL_YEARS[-1])), F.lit(_ALL_YEARS[0])))
     per = o.groupBy(F.col("o_orderpriority").alias("key"), "year").agg(quantize.count().alias("n"), F.sum("o_custkey").cast("long").alias("size"))
     return [per.where(F.col("year") == y).select("key", "n", "size") for y in _ALL_YEARS]
 
@@ -345,7 +346,7 @@ def _each(cell: str, first: int = 1) -> str:
 
 
 _CELLS = ", ".join(f"max(n) FILTER (WHERE y = {y}) AS n{i}, max(size) FILTER (WHERE y = {y}) AS s{i}" for i, y in enumerate(_ALL_YEARS))
-_YEARS = f"""WITH o AS (SELECT o_orderpriority AS key, year(o_orderdate) AS y, count(*)::BIGINT AS n, sum(o_custkey)::BIGINT AS size FROM orders GROUP BY 1, 2),
+_YEARS = f"""WITH o AS (SELECT o_orderpriority AS key, greatest(least(year(o_orderdate), {_ALL_YEARS[-1]}), {_ALL_YEARS[0]}) AS y, count(*)::BIGINT AS n, sum(o_custkey)::BIGINT AS size FROM orders GROUP BY 1, 2),
  m AS (SELECT key, {_CELLS} FROM o GROUP BY key) """
 _COMPARED = [f"n_{i}" for i in range(len(_ALL_YEARS))]
 
@@ -443,20 +444,20 @@ def _index(s: SparkSession, d: str) -> snapshots.Indexed:
 @query(f"SELECT DISTINCT ({OFFSET['orders']} + o_orderkey)::BIGINT AS object_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7")
 def outbounds_set(s, d):
     ids = table(s, d, "customer").where("c_nationkey = 7").select(snap.object_id("customer").alias("object_id"))
-    return graph.outbound(snap.shop(s, d).refs, ids)
+    return graph.outbound(_index(s, d).snap.refs, ids)
 
 
 @query(f"SELECT DISTINCT ({OFFSET['customer']} + o_custkey)::BIGINT AS object_id FROM orders WHERE o_totalprice > 200000")
 def inbounds_set(s, d):
     ids = table(s, d, "orders").where("o_totalprice > 200000").select(snap.object_id("orders").alias("object_id"))
-    return graph.inbound(snap.shop(s, d).refs, ids)
+    return graph.inbound(_index(s, d).snap.refs, ids)
 
 
 @query("""WITH l AS (SELECT DISTINCT lineitem.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 200000)
           SELECT 'shop.trade.LineItem' AS name, count(*)::BIGINT AS objects, (count(*) * 96)::BIGINT AS shallow FROM l""")
 def class_references(s, d):
     ids = table(s, d, "orders").where("o_totalprice > 200000").select(snap.object_id("orders").alias("object_id"))
-    return inspections.class_references(snap.shop(s, d), ids)
+    return inspections.class_references(_index(s, d).snap, ids)
 
 
 @query("""WITH l AS (SELECT DISTINCT * FROM lineitem)
@@ -637,17 +638,17 @@ def keep_unreachable(s, d):
 
 @query("SELECT 'SYSTEM_CLASS' AS root_type, 'shop.place.Region' AS name, count(*)::BIGINT AS objects FROM region")
 def gc_roots(s, d):
-    return inspections.gc_roots(snap.shop(s, d))
+    return inspections.gc_roots(_index(s, d).snap)
 
 
 @query(f"SELECT sum(objects)::BIGINT AS objects, sum(shallow)::BIGINT AS heap, 11::BIGINT AS classes, 3::BIGINT AS loaders, (SELECT count(*) FROM region)::BIGINT AS roots FROM ({_CLASS_OBJECTS})")
 def heap_overview(s, d):
-    return inspections.heap_dump_overview(snap.shop(s, d))
+    return inspections.heap_dump_overview(_index(s, d).snap)
 
 
 @query(f"SELECT 0 AS loader_id, 1::BIGINT AS classes, 0::BIGINT AS instances UNION ALL SELECT CASE WHEN class_id < 15 THEN 1 ELSE 2 END, count(*) + CASE WHEN class_id < 15 THEN 2 ELSE 1 END, sum(objects)::BIGINT FROM ({_CLASS_OBJECTS}) GROUP BY class_id < 15, CASE WHEN class_id < 15 THEN 1 ELSE 2 END, CASE WHEN class_id < 15 THEN 2 ELSE 1 END")
 def classloader_explorer(s, d):
-    return inspections.classloader_explorer(snap.shop(s, d))
+    return inspections.classloader_explorer(_index(s, d).snap)
 
 
 # --- inspections of values and collections
@@ -923,14 +924,14 @@ def leakhunter(s, d):
 
 @query(f"SELECT class_id IN (13, 14) AS implements, sum(objects)::BIGINT AS objects FROM ({_CLASS_OBJECTS}) GROUP BY 1")
 def implements_class(s, d):
-    shop = snap.shop(s, d)
+    shop = _index(s, d).snap
     return scans.implements(shop, shop.objects, "shop.party.Party").groupBy("implements").agg(quantize.count().alias("objects"))
 
 
 @query(f"SELECT name, objects, shallow FROM ({_CLASS_OBJECTS}) WHERE class_id IN (15, 17)")
 def extent_of_subselect(s, d):
     """Objects of the classes that a sub-select finds by their superclass."""
-    shop = snap.shop(s, d)
+    shop = _index(s, d).snap
     return inspections.histogram(shop, scans.extent_of(shop, shop.classes.where("super_id = 4")))
 
 
@@ -1098,3 +1099,144 @@ def class_reference_tree(s, d):
     following = own.select("src_id", (F.lit(OFFSET["region"]) + (F.col("dst_id") - OFFSET["region"] + 1) % 5).alias("dst_id"), F.lit("following").alias("name"))
     circular = snap.Snapshot(shop.objects, shop.classes, shop.refs.union(own).union(following), shop.roots)
     return class_tree.class_reference_tree(circular, shop.roots.where(F.col("object_id") == OFFSET["region"]), levels=3).select("level", "path", "objects", "shallow", "type")
+
+
+# --- what is small: rules of referrers, fields, masks, totals, threads, queues, references
+
+
+@query("""WITH r AS (SELECT l_orderkey AS a, l_linenumber <> 7 AS text, (l_linenumber * 20)::BIGINT AS lo, (CASE WHEN l_linenumber = 6 THEN 200 ELSE l_quantity END)::BIGINT AS size FROM lineitem), g AS (SELECT a, count(*) AS n FROM r GROUP BY a HAVING bool_and(text AND 300 - size >= 150)),
+  c AS (SELECT DISTINCT a, unnest(range(lo, lo + size)) AS x FROM r WHERE a IN (SELECT a FROM g)), u AS (SELECT g.a, g.n, count(c.x) AS used FROM g LEFT JOIN c ON c.a = g.a GROUP BY g.a, g.n)
+  SELECT a AS array_id, 300::BIGINT AS length, used::BIGINT AS used, (300 - used)::BIGINT AS waste FROM u WHERE n = 1 OR 300 - used > 150""")
+def waste_by_referrers(s, d):
+    """Orders as arrays of 300, lines as texts that use parts of them; a seventh line is something else, a sixth fills too much."""
+    number = F.col("l_linenumber")
+    size = F.when(number == 6, F.lit(200)).otherwise(F.col("l_quantity")).cast("long")
+    return inspections.waste_by_referrers(table(s, d, "lineitem").select(F.col("l_orderkey").alias("array_id"), F.lit(300).cast("long").alias("length"), (number != 7).alias("is_text"), (number * 20).cast("long").alias("first"), size.alias("size")), 150)
+
+
+@query(f"""WITH n AS (SELECT 1 AS class_id, (SELECT count(*) FROM region) AS v UNION ALL SELECT 3, (SELECT count(*) FROM customer) UNION ALL SELECT 15, (SELECT count(*) FROM orders))
+  SELECT c.class_id, (SELECT v FROM n WHERE n.class_id = c.at)::BIGINT AS value FROM (SELECT unnest([1, 2, 3, 4, 11, 12, 13, 14, 15, 16, 17]) AS class_id, unnest([1, 1, 3, 1, 1, 1, 3, 3, 15, 1, 1]) AS at) c""")
+def static_fields(s, d):
+    """A static field along the super chain: set by three classes, inherited by the others."""
+    statics = [table(s, d, t).agg(F.count(F.lit(1)).alias("value")).select(F.lit(c).alias("class_id"), F.lit("count").alias("name"), "value") for t, c in (("region", 1), ("customer", 3), ("orders", 15))]
+    return scans.static_field(_index(s, d).snap.classes, reduce(DataFrame.unionByName, statics), "count")
+
+
+@query(f"""SELECT ({OFFSET['orders']} + o_orderkey)::BIGINT AS object_id FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT {OFFSET['customer']} + o_custkey FROM orders WHERE o_totalprice > 200000 AND o_custkey % 3 <> 0""")
+def select_objects_lists(s, d):
+    """Objects that a list column holds, nulls left out."""
+    o = table(s, d, "orders").where("o_totalprice > 200000")
+    return scans.objects_of(o.select(F.array(snap.object_id("orders"), F.when(F.col("o_custkey") % 3 != 0, snap.object_id("customer", "o_custkey"))).alias("x")), "x")
+
+
+@query(f"SELECT name, objects, shallow FROM ({_CLASS_OBJECTS}) WHERE class_id IN (12, 15)")
+def extent_of_ids(s, d):
+    shop = _index(s, d).snap
+    return inspections.histogram(shop, scans.extent_of_ids(shop, [12, 15]))
+
+
+@query("""SELECT p_name AS key, count(*)::BIGINT AS n_0, 0::BIGINT AS n_1 FROM part GROUP BY p_name""")
+def compare_masked(s, d):
+    """Keys that hold addresses, which differ between runs: masked, they are the same."""
+    p = table(s, d, "part")
+    sides = [p.select(F.concat("p_name", F.lit(" @ 0x"), F.lower(F.hex(F.col("p_partkey") + i))).alias("key")) for i in (16, 4096)]
+    counted = [t.groupBy(compare.mask_key(F.col("key"), compare.MASKS[0]).alias("key")).agg(quantize.count().alias("n")) for t in sides]
+    return compare.compare(counted, "key", ["n"], "DIFF_TO_FIRST").drop("nth")
+
+
+@query("""SELECT count(*) FILTER (WHERE p_size > 10 AND p_retailprice < 1500)::BIGINT AS shown, count(*) FILTER (WHERE NOT (p_size > 10 AND p_retailprice < 1500))::BIGINT AS filtered FROM part""")
+def filtered_out(s, d):
+    return results.filtered_out(table(s, d, "part"), [F.col("p_size") > 10, F.col("p_retailprice") < 1500])
+
+
+@query("""WITH a AS (SELECT c_nationkey AS k, count(*) FILTER (WHERE c_custkey % 2 = 0) - count(*) FILTER (WHERE c_custkey % 2 = 1) AS n FROM customer GROUP BY 1) SELECT coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(abs(n)), 0)::BIGINT AS n_moved FROM a""")
+def absolute_totals(s, d):
+    """Totals of a histogram difference, with and without signs."""
+    a, b = [table(s, d, "customer").where(F.col("c_custkey") % 2 == i).groupBy(F.col("c_nationkey").alias("key")).agg(quantize.count().alias("n")) for i in (0, 1)]
+    return compare.absolute_totals(compare.histogram_difference(a, b, ["key"], ["n"]), ["n"])
+
+
+@query(f"""SELECT 'customers' AS package, 0::BIGINT AS objects, 0::BIGINT AS shallow WHERE false UNION ALL
+  SELECT package, sum(objects)::BIGINT, sum(shallow)::BIGINT FROM (SELECT unnest(['shop', 'shop.' || split_part(name, '.', 2), name]) AS package, objects, shallow FROM ({_CLASS_OBJECTS}) WHERE class_id IN (13, 15)) GROUP BY package""")
+def component_packages(s, d):
+    """The package section of the component report on customers."""
+    shop = _index(s, d).snap
+    ids = shop.objects.where(F.col("class_id") == snap.CLASS_OF["customer"]).select("object_id")
+    return reports.component_report(shop, ids, F.col("name") == "lines")["packages"]
+
+
+def _frames(s: SparkSession, d: str) -> DataFrame:
+    """Customers as threads, whose frames are their orders by key and hold them as locals."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return table(s, d, "orders").select(snap.object_id("customer", "o_custkey").alias("thread_id"), (F.row_number().over(w) - 1).alias("depth"), F.col("o_orderpriority").alias("text"), F.array(snap.object_id("orders")).alias("locals"))
+
+
+@query(f"""SELECT ({OFFSET['customer']} + c_custkey)::BIGINT AS object_id, 48::BIGINT AS shallow, (48 + 56 * count(o_orderkey))::BIGINT AS retained, count(o_orderkey)::BIGINT AS frames, count(o_orderkey)::BIGINT AS locals FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def thread_overview(s, d):
+    shop, dom = _dominance(s, d)
+    threads = shop.objects.where(F.col("class_id") == snap.CLASS_OF["customer"]).select("object_id")
+    out = reports.thread_overview(shop, threads, _frames(s, d), dom)
+    return out.select("object_id", "shallow", "retained", F.col("frames").cast("long").alias("frames"), F.col("locals").cast("long").alias("locals"))
+
+
+@query(f"""SELECT ({OFFSET['customer']} + c_custkey)::BIGINT AS object_id, (row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1)::INTEGER AS depth, o_orderpriority AS text, ({OFFSET['orders']} + o_orderkey)::BIGINT AS local,
+  'shop.trade.Order' AS name, 56::BIGINT AS retained FROM customer JOIN orders ON o_custkey = c_custkey UNION ALL SELECT {OFFSET['customer']} + c_custkey, NULL, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def thread_details(s, d):
+    shop, dom = _dominance(s, d)
+    threads = shop.objects.where(F.col("class_id") == snap.CLASS_OF["customer"]).select("object_id")
+    return reports.thread_details(shop, threads, _frames(s, d), dom)
+
+
+@query(f"""SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::INTEGER AS depth, o_orderpriority AS text, ({OFFSET['orders']} + o_orderkey)::BIGINT AS local FROM orders WHERE o_custkey = (SELECT max(o_custkey) FROM orders)""")
+def thread_stack(s, d):
+    """The stack of the thread with the greatest id that has one."""
+    frames = _frames(s, d)
+    return reports.thread_stack(frames, frames.agg(F.max("thread_id")).first()[0]).select("depth", "text", F.explode("locals").alias("local"))
+
+
+@query(f"""SELECT ({_NODE} + o_orderkey)::BIGINT AS object_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::BIGINT AS at, ({OFFSET['orders']} + o_orderkey)::BIGINT AS referent FROM orders""".replace(" AS at", ' AS "at"'))
+def finalizer_queue(s, d):
+    """Customers' lists as queues, walked from their first entries to their referents."""
+    held = _collections(s, d)
+    heads = held.refs.where("name = 'first'").select(F.col("dst_id").alias("object_id"))
+    return reports.linked_queue(held, heads, following="next", referent="item")
+
+
+@query(f"""WITH w AS (SELECT n_nationkey AS n, min(o_orderkey) AS o FROM nation, orders WHERE o_orderkey % 25 = n_nationkey GROUP BY 1)
+  SELECT ({OFFSET['nation']} + n)::BIGINT AS reference, ({OFFSET['orders']} + o)::BIGINT AS referent FROM w JOIN orders ON o_orderkey = o JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n""")
+def reference_leak(s, d):
+    """Each nation refers weakly to an order, which is also its customers' in some."""
+    shop = _index(s, d).snap
+    first = table(s, d, "orders").groupBy((F.col("o_orderkey") % 25).alias("n")).agg(F.min("o_orderkey").alias("o")).join(table(s, d, "nation"), F.col("n") == F.col("n_nationkey"))
+    weak = first.select(snap.object_id("nation").alias("src_id"), snap.object_id("orders", "o").alias("dst_id"), F.lit("referent").alias("name"))
+    held = snap.Snapshot(shop.objects, shop.classes, shop.refs.unionByName(weak), shop.roots)
+    return reports.reference_leak(held, shop.objects.where(F.col("class_id") == snap.CLASS_OF["nation"]))
+
+
+@query("""WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey = 7), o AS (SELECT count(*)::BIGINT AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+  SELECT part, 'shop.trade.Order' AS name, n AS objects, 56 * n AS shallow FROM o, (SELECT unnest(['referents', 'only weakly']) AS part) WHERE n > 0""")
+def reference_statistics(s, d):
+    """A nation's customers as references to their orders: all referents, what they alone retain, and none held strongly."""
+    shop = _index(s, d).snap
+    ids = table(s, d, "customer").where("c_nationkey = 7").select(snap.object_id("customer").alias("object_id"))
+    orders = table(s, d, "orders").select(snap.object_id("customer", "o_custkey").alias("of"), snap.object_id("orders").alias("object_id")).join(ids.withColumnRenamed("object_id", "of"), "of", "left_semi")
+    parts = inspections.reference_statistics(shop, orders.select("object_id"), ids, ["orders"])
+    return reduce(DataFrame.unionByName, [h.select(F.lit(n).alias("part"), "name", "objects", "shallow") for n, h in zip(("referents", "only weakly", "strongly"), parts)])
+
+
+_GROWN = f"""SELECT ({OFFSET['region']} + r_regionkey)::BIGINT AS object_id, (24 + coalesce((SELECT sum(32 + (SELECT 48 * count(*) FROM customer WHERE c_nationkey = n_nationkey) + 56 * (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey AND o_orderkey % {{}} <> 0)) FROM nation WHERE n_regionkey = r_regionkey), 0))::BIGINT AS retained FROM region"""
+
+
+@query(f"""WITH a AS ({_GROWN.format(3)}), b AS ({_GROWN.format(5)}), h AS (SELECT 24 * (SELECT count(*) FROM region) + 32 * (SELECT count(*) FROM nation) + 48 * (SELECT count(*) FROM customer) + 56 * (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) AS heap),
+  g AS (SELECT object_id, b.retained - a.retained AS growth FROM a JOIN b USING (object_id)) SELECT 'object' AS kind, 'shop.place.Region' AS name, object_id, growth::BIGINT AS growth FROM g, h WHERE growth > 0.02 * heap
+  UNION ALL SELECT 'class', 'shop.place.Region', NULL, sum(growth)::BIGINT FROM g, h WHERE growth <= 0.02 * heap HAVING sum(growth) > 0.02 * max(heap)""")
+def find_leaks2_changes(s, d):
+    """Growth between two heaps where some orders have gone and others come."""
+    shop, parts = _index(s, d).snap, []
+    kept = snap.CLASS_OF["region"], snap.CLASS_OF["nation"], snap.CLASS_OF["customer"], snap.CLASS_OF["orders"]
+    number = lambda c: F.col(c) - OFFSET["orders"]
+    for k in (3, 5):
+        objects = shop.objects.where(F.col("class_id").isin(*kept) & ((F.col("class_id") != snap.CLASS_OF["orders"]) | (number("object_id") % k != 0)))
+        refs = shop.refs.where(F.col("name").isin("nations", "customers") | ((F.col("name") == "orders") & (number("dst_id") % k != 0)))
+        parts.append(snap.Snapshot(objects, shop.classes, refs, shop.roots))
+    return reports.find_leaks2(*parts, *[graph.dominance(p.refs, p.roots) for p in parts], threshold_percent=2.0)

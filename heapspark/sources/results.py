@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 from collections.abc import Mapping, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,6 +23,14 @@ def refine(df: DataFrame, filters: Sequence = (), sort: str = "", hide: Sequence
     return df.drop(*hide)
 
 
+def filtered_out(df: DataFrame, filters: Sequence = ()) -> DataFrame:
+    """(shown, filtered) in one row: how many rows the filters leave, and how many they hide."""
+    keep = F.lit(True)
+    for condition in filters:
+        keep = keep & F.coalesce(condition, F.lit(False))
+    return df.agg(F.count_if(keep).alias("shown"), F.count_if(~keep).alias("filtered"))
+
+
 def write_csv(df: DataFrame, path: str, separator: str = ",") -> None:
     """Distributed: a folder of files with headers."""
     df.write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
@@ -52,12 +59,15 @@ def to_html(df: DataFrame, limit: int = PAGE, totals: Sequence[str] = ()) -> str
 
 
 def report(sections: Mapping[str, DataFrame], folder: str, limit: int = PAGE) -> list[str]:
-    """An HTML page with a table of contents, and each section's whole rows as CSV beside it."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    """An HTML page with a table of contents, and each section's whole rows as CSV beside it, on any file system that Spark writes to."""
     toc = "".join(f'<li><a href="#s{i}">{html.escape(n)}</a></li>' for i, n in enumerate(sections))
     body = "".join(f'<h2 id="s{i}">{html.escape(n)}</h2>{to_html(df, limit)}' for i, (n, df) in enumerate(sections.items()))
-    page = Path(folder, "index.html")
-    page.write_text(f"<html><body><ol>{toc}</ol>{body}</body></html>")
+    spark = next(iter(sections.values())).sparkSession
+    page = f"{folder.rstrip('/')}/index.html"
+    at = spark._jvm.org.apache.hadoop.fs.Path(page)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)  # folders too
+    out.write(bytearray(f"<html><body><ol>{toc}</ol>{body}</body></html>".encode()))
+    out.close()
     for i, df in enumerate(sections.values()):
         write_csv(df, f"{folder}/section-{i}")
-    return [str(page), *[f"{folder}/section-{i}" for i in range(len(sections))]]
+    return [page, *[f"{folder}/section-{i}" for i in range(len(sections))]]

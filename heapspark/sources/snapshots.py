@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -34,20 +36,43 @@ class Indexed:
     """A snapshot and what follows from it, each part written when first asked for and then reused.
 
     edges: different references between objects, by source; tree: shortest paths from the roots;
-    dominance: dominators under those.
+    dominance: dominators under those.  With a folder, parts are kept there under their names, each complete or not
+    there at all, and a later session reads those that it finds.
     """
 
-    def __init__(self, snap: Snapshot):
-        objects = materialize(snap.objects.sortWithinPartitions("class_id"), "objects")
-        self.snap = Snapshot(objects, snap.classes, materialize(snap.refs, "refs"), snap.roots)
+    def __init__(self, snap: Snapshot, folder: str | None = None):
+        self._source, self._folder = snap, folder
+        self._spark = snap.refs.sparkSession
+
+    def _part(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if self._folder is None:
+            df = build()
+            return df if getattr(df, "_written_at", None) else materialize(df, name)
+        path = f"{self._folder}/{name}"
+        if not _exists(self._spark, f"{path}/_SUCCESS"):
+            df, ours = build(), f"{self._folder}/_{name}-{uuid.uuid4().hex}"
+            df.write.parquet(ours)
+            _rename(self._spark, ours, path)
+            remove(df)
+        out = self._spark.read.parquet(path)
+        out._written_at = path
+        return out
+
+    @cached_property
+    def snap(self) -> Snapshot:
+        of = self._source
+        objects = self._part("objects", lambda: of.objects.sortWithinPartitions("class_id"))
+        return Snapshot(objects, of.classes, self._part("refs", lambda: of.refs), of.roots)
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.edges_of(self.snap.refs)
+        out = self._part("edges", lambda: graph.edges_of(self.snap.refs))
+        out._edges = True
+        return out
 
     @cached_property
     def tree(self) -> DataFrame:
-        return breadth_first(self.edges, self.snap.roots)
+        return self._part("tree", lambda: breadth_first(self.edges, self.snap.roots))
 
     @cached_property
     def paths(self) -> Forest:
@@ -56,42 +81,68 @@ class Indexed:
 
     @cached_property
     def dominance(self) -> graph.Dominance:
-        return graph.dominance(self.edges, self.snap.roots, self.tree)
+        return graph.Dominance(self._part("dominators", lambda: graph.dominance(self.edges, self.snap.roots, self.tree).nodes))
 
     @cached_property
     def retained(self) -> DataFrame:
-        return materialize(self.dominance.retained(self.snap.objects), "retained")
+        return self._part("retained", lambda: self.dominance.retained(self.snap.objects))
 
     def drop(self) -> None:
         """Remove what was written."""
         held = self.__dict__
-        remove(self.snap.objects, self.snap.refs, *[held[k] for k in ("edges", "tree", "retained") if k in held])
         if "paths" in held:
             held["paths"].drop()
+        if self._folder is not None:
+            at = self._spark._jvm.org.apache.hadoop.fs.Path(self._folder)
+            at.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(at, True)
+            return
+        remove(*[held[k] for k in ("edges", "tree", "retained") if k in held])
+        if "snap" in held:
+            remove(self.snap.objects, self.snap.refs)
         if "dominance" in held:
             remove(held["dominance"].nodes)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    """What another session has put there meanwhile stays; ours then lands inside it under a name that Spark skips."""
+    at, to = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(at, to) and not _exists(spark, f"{target}/_SUCCESS"):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
 _INDEXED: dict[tuple[str, str], tuple[tuple, Indexed]] = {}
+#: Changes whenever the parts of an index do.
+FORMAT = 3
 
 
 def state_of(spark: SparkSession, folder: str) -> tuple:
-    """Names, sizes and times of the files below a folder: it changes where any of them does."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    listing, out = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
-    while listing.hasNext():
-        f = listing.next()
-        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return tuple(sorted(out))
+    """Number, bytes and a digest of names, sizes and times of the files below a folder: it changes where any of them does.
+
+    Spark lists the files, in parallel where they are many; their contents are not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
+    row = files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.sum(F.xxhash64("modificationTime", "path") % 2**31)).first()
+    return tuple(row)
 
 
-def indexed(spark: SparkSession, folder: str, build: Callable[[SparkSession, str], Snapshot]) -> Indexed:
-    """The session's index of a source folder; built again, and the old one removed, where the source has changed."""
+def indexed(spark: SparkSession, folder: str, build: Callable[[SparkSession, str], Snapshot], keep: str | None = None) -> Indexed:
+    """The index of a source folder; built again, and the old one removed, where the source has changed.
+
+    keep: a shared folder in which parts stay for later sessions (the setting heapspark.index.dir, where it is set);
+    else they last as long as the work folder.
+    """
+    keep = keep or spark.conf.get("heapspark.index.dir", None)
     key, now = (spark.sparkContext.applicationId, folder), state_of(spark, folder)
     if key in _INDEXED and _INDEXED[key][0] != now:
         _INDEXED.pop(key)[1].drop()
     if key not in _INDEXED:
-        _INDEXED[key] = (now, Indexed(build(spark, folder)))
+        name = hashlib.sha256(repr((FORMAT, build.__module__, build.__qualname__, folder, now)).encode()).hexdigest()[:32]
+        _INDEXED[key] = (now, Indexed(build(spark, folder), f"{keep.rstrip('/')}/index-{name}" if keep else None))
     return _INDEXED[key][1]
 
 

@@ -213,3 +213,54 @@ def test_class_trees(spark):
         df = class_tree.class_reference_tree(snap, spark.createDataFrame([(1,), (4,), (5,)], "object_id long"), 3, inbound)
         got = {(r.level, r.path): (r.objects, r.type) for r in df.collect()}
         assert got == brute_class_tree([(b, a, f) for a, b, f in refs] if inbound else refs, cls, [1, 4, 5], 3)
+
+
+def test_a_later_session_reads_the_index(spark, tmp_path, monkeypatch):
+    """Parts stay under the folder that is named; what was built once is read, not built again, until the source changes."""
+    def build(s, folder):
+        n = s.read.parquet(f"{folder}/n.parquet").first()[0]
+        refs = spark.range(1, n).selectExpr("id - 1 as src_id", "id as dst_id", "'f' as name")
+        return Snapshot(spark.range(n).selectExpr("id as object_id", "1 as class_id", "8L as shallow"), None, refs, spark.createDataFrame([(0, 2)], "object_id long, type int"))
+
+    spark.createDataFrame([(5,)], "n long").write.parquet(f"{tmp_path}/in/n.parquet")
+    keep = f"file://{tmp_path}/keep"
+    first = snapshots.indexed(spark, f"{tmp_path}/in", build, keep)
+    assert first.retained.where("object_id = 1").first()["retained"] == 32
+    snapshots._INDEXED.clear()  # as in another session
+    with monkeypatch.context() as m:
+        m.setattr(snapshots.graph, "dominance", None)
+        m.setattr(snapshots, "breadth_first", None)
+        again = snapshots.indexed(spark, f"{tmp_path}/in", build, keep)
+        assert again is not first and again.retained.count() == 5 and again.tree.count() == 5 and again.dominance.nodes.count() == 5 and again.edges.count() == 4
+    spark.createDataFrame([(7,)], "n long").write.mode("overwrite").parquet(f"{tmp_path}/in/n.parquet")
+    assert snapshots.indexed(spark, f"{tmp_path}/in", build, keep).tree.count() == 7
+    assert not (tmp_path / "keep" / "gone").exists() and len(list((tmp_path / "keep").iterdir())) == 1  # the old one is removed
+
+
+def test_scans_of_ids_fields_and_objects(spark):
+    from heapspark.operators import scans
+
+    classes = spark.createDataFrame([(1, "A", None), (2, "B", 1), (3, "C", 2), (4, "D", None)], "class_id int, name string, super_id int")
+    statics = spark.createDataFrame([(1, "x", 10), (2, "x", 20), (1, "y", 5), (4, "x", None)], "class_id int, name string, value long")
+    assert {r.class_id: r.value for r in scans.static_field(classes, statics, "x").collect()} == {1: 10, 2: 20, 3: 20, 4: None}
+    snap = Snapshot(spark.createDataFrame([(10, 1), (11, 2), (12, 2)], "object_id long, class_id int"), classes, None, None)
+    assert sorted(r.object_id for r in scans.extent_of_ids(snap, [2, 4, 2]).collect()) == [11, 12]
+    with pytest.raises(ValueError):
+        scans.extent_of_ids(snap, [2, 99])
+    df = spark.createDataFrame([([1, None, 2], 3, "t"), ([], None, "t"), (None, 0, "t")], "xs array<long>, x long, s string")
+    assert sorted(r.object_id for r in scans.objects_of(df, "xs").collect()) == [1, 2] and sorted(r.object_id for r in scans.objects_of(df, "x").collect()) == [0, 3]
+    ids = spark.createDataFrame([(70, 1), (71, 3), (72, 0)], "object_id long, address long")
+    assert [r.object_id for r in scans.objects_of(df, "xs", ids).collect()] == [70] and [r.object_id for r in scans.objects_of(df, "x", ids).collect()] == [71]
+    with pytest.raises(ValueError):
+        scans.objects_of(df, "s")
+
+
+def test_waste_needs_texts_only(spark):
+    from heapspark.operators import inspections
+
+    rows = [
+        (1, 100, True, 0, 10), (2, 100, True, 0, 10), (2, 100, False, None, None), (3, 100, True, 0, 80), (3, 100, True, 0, 10), (4, 40, True, 0, 1), (5, 100, True, None, None),
+        (6, 100, True, 0, 30), (6, 100, True, 20, 30), (6, 100, True, 60, 5), (7, 100, True, 0, 30), (7, 100, True, 10, 15), (8, 100, True, 0, 50), (9, 100, None, 0, 5),
+    ]
+    df = spark.createDataFrame(rows, "array_id long, length long, is_text boolean, first long, size long")
+    assert {r.array_id: (r.used, r.waste) for r in inspections.waste_by_referrers(df, 50).collect()} == {1: (10, 90), 7: (30, 70), 8: (50, 50)}

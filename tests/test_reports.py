@@ -129,8 +129,8 @@ def test_group_suspects_meet_at_an_object(spark, snap):
 def test_descents_of_a_chain(spark, snap, sizes):
     """A chain of 20 with a leaf beside each link: descents by doubling end where a walk step by step ends."""
     n = len(sizes)
-    pairs = [(i, j) for i in range(n) for j in range(i + 1)] + [(100 + i, j) for i in range(n) for j in [*range(i + 1), 100 + i]]
-    dom = graph.Dominance(spark.createDataFrame(pairs, "object_id long, dominator_id long"))
+    nodes = [(i, i - 1 if i else None, i + 1, 2 * i, 2 * n) for i in range(n)] + [(100 + i, i, i + 2, 2 * i + 1, 2 * i + 2) for i in range(n)]
+    dom = graph.Dominance(spark.createDataFrame(nodes, "object_id long, dominator_id long, depth long, enter long, leave long"))
     objects = spark.createDataFrame([*enumerate(sizes), *[(100 + i, 2) for i in range(n)]], "object_id long, shallow long")
     chain = Snapshot(objects, snap.classes, snap.refs, snap.roots)
     kept = [sum(sizes[i:]) + 2 * (n - i) for i in range(n)]
