@@ -103,7 +103,7 @@ def test_sample_dominators(spark):
     assert bfs == {0: None, **{IDS[k]: IDS[p] for k, p in zip("ABCDEFGHIJKL", "RRRABCCEFGHD")}}
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_graphs(spark, seed):
     rng = random.Random(seed)
     n = 14
@@ -285,7 +285,7 @@ def test_big_leaves_are_drops(spark):
     assert got == {1: (0, 500, 0), 0: (500, 15, 2)}
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(1))
 def test_retained_sets_of_groups_at_once(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randrange(25), rng.randrange(25), "f") for _ in range(45)]

@@ -199,10 +199,11 @@ def test_groups_are_searched_in_their_regions(spark):
     roots = [0, 1, 2]
     snap = heap(spark, n, edges, roots)
     groups = [(g, rng.randrange(1, n)) for g in range(5) for _ in range(4)]
-    got = {tuple(r) for r in graph.retained_by_groups(snap.refs, snap.roots, spark.createDataFrame(groups, "group_id long, object_id long"), graph.breadth_first(snap.refs, snap.roots)).collect()}
+    held = graph.retained_by_groups(snap.refs, snap.roots, spark.createDataFrame(groups, "group_id long, object_id long"), graph.breadth_first(snap.refs, snap.roots))
+    got = {tuple(r) for r in held.collect()}
     everything = reach(edges, roots)
     assert got == {(g, x) for g in range(5) for x in everything - reach(edges, roots, {o for h, o in groups if h == g})}
-    plan = graph.retained_by_groups(snap.refs, snap.roots, spark.createDataFrame(groups, "group_id long, object_id long"), graph.breadth_first(snap.refs, snap.roots))._jdf.queryExecution().optimizedPlan().toString()
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan
 
 
