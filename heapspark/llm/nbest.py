@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with the n best segmentations of whole texts.
 
 The lattice of a text has an edge for every piece of the model that occurs in it; a path's score
-is the sum of its pieces' scores.  A forward Viterbi pass gives the best score of every prefix,
+is the sum of its pieces' scores: log-probabilities that are counted in the documents as the library
+encodes them (piece_scores), since a model of merges has only ranks, or the model's own.  A forward Viterbi pass gives the best score of every prefix,
 and those scores are exact heuristics for an A-star search from the end of the text, so that
 complete paths leave the queue in order of score.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import insort
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush, nsmallest
 from math import inf
@@ -22,7 +24,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .common import slices, text_of
 
@@ -41,7 +43,8 @@ Part = tuple[float, bytes, float]
 class Lattice:
     """The pieces of one model, and the n best paths of texts over them."""
 
-    def __init__(self, model: str, n: int):
+    def __init__(self, model: str, n: int, given: np.ndarray | None = None):
+        """given: a score for each id, in place of the model's own."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -58,7 +61,7 @@ class Lattice:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.piece_ids[piece] = i
                 self.output[i] = piece.replace(SPACE, " ").encode()
-                scores.append(sp.get_score(i))
+                scores.append(sp.get_score(i) if given is None else float(given[i]))
         self.unknown_id = sp.unk_id()
         usable = [s for s in scores if s > _LAST_RESORT]
         worst = min(usable, default=0.0)
@@ -162,7 +165,7 @@ class Lattice:
                 else:
                     ids += reversed(self.fallback(text[at]))
             ids.reverse()
-            self.known[text] = (done, pack(f"<{len(ids)}I", *ids), done - second)
+            self.known[text] = (done, pack(f"<{len(ids)}I", *ids), max(0.0, done - second))
         return self.known[text]
 
     def alternatives(self, text: str) -> list[tuple[float, bytes]]:
@@ -171,7 +174,7 @@ class Lattice:
             if len(self.others) >= ALTERNATIVES:
                 self.others.clear()
             top, own, _ = self.part(text)
-            found = [(top - score, pack(f"<{len(ids)}I", *ids)) for score, ids in self.search(text, self.n)]
+            found = [(max(0.0, top - score), pack(f"<{len(ids)}I", *ids)) for score, ids in self.search(text, self.n)]
             self.others[text] = [x for x in found if x[1] != own][: self.n - 1]
         return self.others[text]
 
@@ -213,7 +216,7 @@ class Lattice:
                 for first, size, x in swaps:
                     out += [best[at:first], x]
                     at = first + size
-                found.append((top - loss, b"".join([*out, best[at:]])))
+                found.append((min(found[-1][0], top - loss), b"".join([*out, best[at:]])))
             last = chosen[-1]
             if last + 1 < len(some):
                 step = some[last + 1][0]
@@ -227,21 +230,83 @@ class Lattice:
         return text[1:] if text.startswith(" ") else text
 
 
-_lattices: dict[tuple[str, int], Lattice] = {}
+_lattices: dict[tuple[str, int, int], Lattice] = {}
 
 
-def lattice(model: str, n: int) -> Lattice:
-    """The worker's lattice of a model file."""
-    if (model, n) not in _lattices:
-        _lattices[model, n] = Lattice(model, n)
-    return _lattices[model, n]
+def lattice(model: str, n: int, scores: np.ndarray | None = None) -> Lattice:
+    """The worker's lattice of a model file and scores; another one takes the place of that before it."""
+    key = (model, n, 0 if scores is None else zlib.crc32(scores.tobytes()))
+    if key not in _lattices:
+        _lattices.clear()
+        _lattices[key] = Lattice(model, n, scores)
+    return _lattices[key]
 
 
-def encode(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
-    """(doc_id, nbest: array of (score, ids as little-endian 32-bit integers)) of whole texts."""
+class PieceCounter:
+    """How often the library's own encoding uses each piece."""
+
+    def __init__(self, model: str):
+        import sentencepiece
+
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.chunks = Lattice(model, 1).chunks
+        self.before = self.sp.encode("\n")
+        self.known: dict[str, list[int]] = {}
+
+    def add(self, total: np.ndarray, texts: list[str]) -> None:
+        """Adds the texts' pieces to total.  No piece crosses a cut, so each different chunk is encoded once and counts as often as it occurs."""
+        times: Counter[str] = Counter()
+        for text in texts:
+            if text:
+                times.update(self.chunks(SPACE + text.replace(" ", SPACE)))
+        if len(self.known) > MEMORY // 2:
+            self.known.clear()
+        new = [c for c in times if c not in self.known]
+        # a line break first, so that the library's own leading space does not touch the chunk
+        self.known.update(zip(new, [ids[len(self.before) :] for ids in self.sp.encode(["\n" + c for c in new], num_threads=1)]))
+        sizes = [len(self.known[c]) for c in times]
+        np.add.at(total, [i for c in times for i in self.known[c]], np.repeat(list(times.values()), sizes))
+
+
+_counters: dict[str, PieceCounter] = {}
+
+
+def piece_scores(docs: DataFrame, model: str, smoothing: float = 0.1) -> np.ndarray:
+    """Log-probability of each id: its share of the pieces of all documents, as the library encodes them.
+
+    Every id counts `smoothing` times more than it occurs, so that pieces the library never used have a score.
+    One count for each id and partition is shuffled, one for each id comes to the driver.
+    """
+    import sentencepiece
+
+    size = sentencepiece.SentencePieceProcessor(model_file=model).get_piece_size()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if model not in _counters:
+            _counters.clear()
+            _counters[model] = PieceCounter(model)
+        total = np.zeros(size, np.int64)
+        for batch in slices(batches):
+            _counters[model].add(total, batch.column("text").to_pylist())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
+
+    counted = text_of(docs).select("text").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    n = np.full(size, smoothing)
+    for r in counted.collect():
+        n[r["piece"]] += r["n"]
+    return np.log(n / n.sum())
+
+
+def encode(docs: DataFrame, model: str, n: int = 4, scores: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, nbest: array of (score, ids as little-endian 32-bit integers)) of whole texts.
+
+    scores: one for each id of the model, such as piece_scores(docs, model); else the model's own.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(scores)  # one number for each id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat, kind = lattice(model, n), pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))
+        lat, kind = lattice(model, n, shared.value), pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))
         for batch in slices(batches):
             found = [[{"score": s, "ids": x} for s, x in lat.encode(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "nbest"])
@@ -252,17 +317,18 @@ def encode(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
 def digest(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
     """(doc_id, n_pieces, best_score, nbest_scores, nbest_crc32, decoded) of whole texts.
 
-    best_score is the sum of the model's scores, but that pieces which the model scores as a last
-    resort (below -1e8) count as its worst other piece, so it is not the model's own sum for texts
-    with such pieces (long runs of spaces).  nbest_crc32: unsigned crc32 of each segmentation's ids as little-endian 32-bit integers.
+    Pieces are scored by piece_scores over all documents; best_score is the best path's log-probability
+    as a sequence of independent pieces, where each character without a piece costs UNKNOWN_PENALTY more
+    than the worst piece.  A piece has one score in all texts of a call, so scores depend on the other documents.  nbest_crc32: unsigned crc32 of each segmentation's ids as little-endian 32-bit integers.
     decoded: whether the best segmentation decodes to the text itself (false for texts that hold
     the space mark of the model, which decodes to a space).  Null or empty text: one
     segmentation without pieces.  Equal scores are ordered by which part comes first.  Rows are
-    encoded one by one; nothing is shuffled.
+    encoded one by one; texts are read twice, and only counts of pieces are shuffled.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(piece_scores(docs, model))  # one number for each id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(model, n)
+        lat = lattice(model, n, shared.value)
         for batch in slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
