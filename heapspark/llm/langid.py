@@ -122,37 +122,45 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, rows_per_language: int = 1500, folds: int = 5, held: int = 0) -> Model | None:
+def cross_fitted(data: list[tuple[np.ndarray, np.ndarray, int]], k: int, parts: int = 3) -> float:
+    """The temperature that suits the scores of rows by models that have not seen them: of each part, by weights of the others."""
+    logits, y = [], []
+    for p in range(min(parts, len(data))):
+        weights, bias = ftrl([x for i, x in enumerate(data) if i % parts != p], k)
+        logits += [x @ weights[at] + bias for at, x, _ in data[p::parts]]
+        y += [label for _, _, label in data[p::parts]]
+    return temperature(np.stack(logits), np.array(y)) if y else 1.0
+
+
+def fit(docs: DataFrame, rows_per_language: int = 1500, folds: int = 5, held: int = 0, most_rows: int = 30_000) -> Model | None:
     """Learn from documents with text and lang outside the held-out fold.
 
     Document frequencies are those of all such documents.  The weights are fitted on a sample:
-    of each language about rows_per_language documents, by a hash of the id (all, where there are
-    fewer).  A fifth of the sample is kept back for the temperature.  None if nothing is labelled.
+    of each language about rows_per_language different texts (all, where there are fewer), by a hash
+    of the text, and about most_rows in all languages together.  A text that repeats within its
+    language is one row of the sample, however often it occurs; only features come to the driver.  The
+    temperature is cross-fitted on the whole sample.  None if nothing is labelled.
     """
-    labelled = docs.where((fold("doc_id", folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    per = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = docs.where((fold("doc_id", folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("at"))
+    per = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("at", 0.02).alias("n")).collect()}
     if not per:
         return None
     langs = sorted(per)
+    wanted = max(1, min(rows_per_language, most_rows // len(langs)))
     df = document_frequencies(labelled)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     below = F.lit(False)
     for lang, n in per.items():
-        below = F.when(F.col("lang") == lang, hash_below(F.xxhash64("doc_id", F.lit("language")), rows_per_language, n)).otherwise(below)
-    sample = labelled.where(below).withColumn("at", F.xxhash64("doc_id", F.lit("order")))
-    rows = sorted(_with_counts(sample, "at", "lang").collect(), key=lambda r: r["at"])
+        below = F.when(F.col("lang") == lang, hash_below(F.xxhash64("at", F.lit("language")), wanted, n)).otherwise(below)
+    sample = _with_counts(labelled.where(below), "at", "lang").dropDuplicates(["at", "lang"]).withColumn("at", F.xxhash64("at", F.lit("order")))
+    rows = sorted(sample.collect(), key=lambda r: (r["at"], r["lang"]))
     data = []
     for r in rows:
         at, n = np.frombuffer(r["features"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.float64)
         if len(at):
             data.append((at, tf_idf(at, n, idf), langs.index(r["lang"])))
-    back = data[::5] if len(data) >= 50 else []
-    train = [x for i, x in enumerate(data) if i % 5] if back else data
-    weights, bias = ftrl(train, len(langs))
-    t = 1.0
-    if back:
-        t = temperature(np.stack([x @ weights[at] + bias for at, x, _ in back]), np.array([y for _, _, y in back]))
-    return Model(langs, idf, weights, bias, t)
+    weights, bias = ftrl(data, len(langs))
+    return Model(langs, idf, weights, bias, cross_fitted(data, len(langs)))
 
 
 def predict(docs: DataFrame, model: Model | None, folds: int = 5, held: int = 0) -> DataFrame:
