@@ -39,9 +39,11 @@ _SPANS = "array<struct<s:int,e:int,v:string>>"
 _TOKENS = "array<struct<s:int,e:int,v:string,p:double,half:double>>"
 #: Matches that one step of a fold handles: a fold's cost grows with the square of its steps.
 _CHUNK = 128
-#: The null without decoys (under LEAST_DECOYS): measured on prose of several languages.
-DEFAULT_NULL = (1.6, 0.67, 0.25)
-LEAST_DECOYS = 50
+#: The null before any decoy is seen, measured on prose of several languages; it counts as PRIOR_DECOYS decoys whose
+#: logarithms of length have mean PRIOR_X[0] and deviation PRIOR_X[1].
+PRIOR_NULL = (1.6, 0.67, 0.25)
+PRIOR_DECOYS = 50
+PRIOR_X = (3.5, 0.3)
 
 
 def let(x: Column, body) -> Column:
@@ -214,13 +216,29 @@ def stratum(v: Column) -> Column:
 
 
 def null_of(scanned: DataFrame, column: str) -> tuple[float, float, float]:
-    """(a, b, sd): under the null, ln(1 + half) of a token of n symbols has mean a + b ln n and deviation sd."""
+    """(a, b, sd): under the null, ln(1 + half) of a token of n symbols has mean a + b ln n and deviation sd.
+
+    Least squares over all decoys together with PRIOR_DECOYS of the prior, whose part fades as decoys grow in number;
+    the rule is the same at every size.
+    """
     d = scanned.select(F.explode(f"{column}.decoys").alias("t")).select(F.log1p(F.col("t.half")).alias("u"), F.log(F.length("t.v")).alias("x"))
-    r = d.agg(F.count("u").alias("n"), F.regr_slope("u", "x").alias("b"), F.avg("x").alias("mx"), F.avg("u").alias("mu"), F.var_pop("u").alias("vu"), F.var_pop("x").alias("vx")).first()
-    if r["n"] < LEAST_DECOYS:
-        return DEFAULT_NULL
-    b = r["b"] if r["vx"] > 1e-6 else 0.0
-    return r["mu"] - b * r["mx"], b, max(0.05, (max(0.0, r["vu"] - b * b * r["vx"])) ** 0.5)
+    r = d.agg(F.count("u").alias("n"), F.avg("x").alias("x"), F.avg("u").alias("u"), F.var_pop("x").alias("xx"), F.covar_pop("x", "u").alias("xu"), F.var_pop("u").alias("uu")).first()
+    return with_prior(r["n"], *[r[k] or 0.0 for k in ("x", "u", "xx", "xu", "uu")])
+
+
+def with_prior(n: int, x: float, u: float, xx: float, xu: float, uu: float) -> tuple[float, float, float]:
+    """The null from n decoys' means, variances and covariance of x = ln n and u = ln(1 + half), pooled with the prior's."""
+    (a, b, sd), (px, pd), share = PRIOR_NULL, PRIOR_X, n / (n + PRIOR_DECOYS)
+    dx, du = x - px, u - (a + b * px)
+
+    def pooled(own: float, prior: float, apart: float) -> float:
+        return share * own + (1 - share) * prior + share * (1 - share) * apart
+
+    vx = pooled(xx, pd * pd, dx * dx)
+    slope = pooled(xu, b * pd * pd, dx * du) / vx
+    rest = pooled(uu, b * b * pd * pd + sd * sd, du * du) - slope * slope * vx
+    mean_x, mean_u = px + share * dx, a + b * px + share * du
+    return mean_u - slope * mean_x, slope, max(0.05, max(0.0, rest) ** 0.5)
 
 
 def p_ordinary(t: Column, null: tuple[float, float, float]) -> Column:
