@@ -103,6 +103,40 @@ def test_nbest_query(docs, edge, none):
     assert len(rows(nbest.encode(edge, PIECE, 3))) == len(EDGE)
 
 
+def test_piece_scores_are_the_library_s_shares(docs, edge, none):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    for df in (docs, edge, none):
+        n = np.full(sp.get_piece_size(), 0.1)
+        for _, text in pairs(df):
+            np.add.at(n, sp.encode(text), 1)
+        assert np.allclose(nbest.piece_scores(df.repartition(3), PIECE), np.log(n / n.sum()))
+
+
+def test_nbest_query_is_exhaustive_search(spark):
+    texts = ["hello world", "a", "the  cat\nsat", "naïve…", "日本 x", "ab,ab!", "\n\n", "aaaaaaaa", "the the the", "", "the cat sat", "x" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lat = nbest.Lattice(PIECE, 4, nbest.piece_scores(df, PIECE))
+    got = {r["doc_id"]: r for r in rows(nbest.digest(df, PIECE))}
+    for i, text in enumerate(texts):
+        paths = sorted(all_paths(lat, nbest.SPACE + text.replace(" ", nbest.SPACE) if text else ""), key=lambda x: -x[0])
+        assert got[i]["nbest_scores"] == pytest.approx([s for s, _ in paths[:4]]) and got[i]["decoded"]
+        crc = [zlib.crc32(np.array(ids, "<u4").tobytes()) for s, ids in paths if s >= paths[: 4][-1][0] - 1e-9]
+        assert set(got[i]["nbest_crc32"]) <= set(crc) and len(set(got[i]["nbest_crc32"])) == len(paths[:4])
+
+
+def test_nbest_agrees_with_the_library(docs):
+    import sentencepiece
+
+    sp, scores = sentencepiece.SentencePieceProcessor(model_file=PIECE), nbest.piece_scores(docs, PIECE)
+    own = {r["doc_id"]: Counter(np.frombuffer(r["nbest"][0]["ids"], "<u4").tolist()) for r in rows(nbest.encode(docs, PIECE, 1, scores))}
+    theirs = {d: Counter(sp.encode(t)) for d, t in pairs(docs)}
+    shared = sum(sum((own[d] & theirs[d]).values()) for d in own)
+    assert shared > 0.8 * sum(sum(c.values()) for c in theirs.values())
+    assert sum(sum(c.values()) for c in own.values()) < 1.02 * sum(sum(c.values()) for c in theirs.values())
+
+
 # --- 2: packing
 
 
@@ -532,6 +566,37 @@ def test_languages(spark, docs, edge, none):
     assert {r["lang_pred"] for r in rows(langid.identify(edge.withColumn("lang", F.lit(None).cast("string"))))} == {"und"}
 
 
+def test_temperature_is_cross_fitted_at_every_size(spark):
+    rng = np.random.default_rng(3)
+
+    def sample(n):
+        return [(np.sort(rng.choice(60, 9, replace=False)) + 40 * y, np.full(9, 1 / 3), y) for y in rng.integers(0, 2, n).tolist()]
+
+    assert langid.cross_fitted([], 2) == 1.0
+    for n in (1, 2, 3, 7, 49, 51, 300):
+        assert 0.05 <= langid.cross_fitted(sample(n), 2) <= 5
+    data = sample(30)
+    logits = np.empty((30, 2))
+    for p in range(3):
+        w, b = langid.ftrl([x for i, x in enumerate(data) if i % 3 != p], 2)
+        for i in range(p, 30, 3):
+            logits[i] = data[i][1] @ w[data[i][0]] + b
+    assert langid.cross_fitted(data, 2) == pytest.approx(langid.temperature(logits, np.array([y for _, _, y in data])))
+
+
+def test_language_sample_holds_a_repeated_text_once(spark, docs, monkeypatch):
+    base = docs.select("doc_id", "text", "lang")
+    hot = base.limit(1).crossJoin(spark.range(3000)).select("doc_id", "text", "lang")  # one id, one text, thousands of rows
+    sizes, own = [], langid.ftrl
+    monkeypatch.setattr(langid, "ftrl", lambda data, k: sizes.append(len(data)) or own(data, k))
+    langid.fit(base)
+    langid.fit(base.union(hot))
+    many = max(sizes)
+    assert sizes[0] == sizes[4] == many <= base.select("text").distinct().count()
+    langid.fit(base, most_rows=20)
+    assert sizes[8] < 60
+
+
 def test_ftrl_is_sparse():
     rng = np.random.default_rng(6)
     data = [(np.array([y, 2 + int(rng.integers(50))]), np.array([0.8, 0.6]), y) for y in rng.integers(0, 2, 400).tolist()]
@@ -646,6 +711,31 @@ def test_battery_equals_a_slow_one(spark):
         assert got[i]["v"] == t and got[i]["p"] == pytest.approx(p, rel=1e-6, abs=1e-12) and got[i]["half"] == pytest.approx(half, rel=1e-6), t
 
 
+def test_null_pools_decoys_with_a_fading_prior():
+    rng = np.random.default_rng(5)
+    assert secrets.with_prior(0, 0, 0, 0, 0, 0) == pytest.approx(secrets.PRIOR_NULL)
+    before = None
+    for n in (1, 3, 49, 50, 51, 400, 100_000):
+        x = rng.normal(3.6, 0.4, n)
+        u = 0.9 + 0.8 * x + rng.normal(0, 0.3, n)
+        got = secrets.with_prior(n, x.mean(), u.mean(), x.var(), ((x - x.mean()) * (u - u.mean())).mean(), u.var())
+        # the same as least squares over the decoys and pseudo-decoys with exactly the prior's moments
+        (a, b, sd), (px, pd), half = secrets.PRIOR_NULL, secrets.PRIOR_X, secrets.PRIOR_DECOYS // 2
+        e = np.array([1.0, 1.0, -1.0, -1.0]), np.array([1.0, -1.0, 1.0, -1.0])
+        qx = px + pd * e[0]
+        qu = a + b * qx + sd * e[1]
+        weight = np.concatenate([np.ones(n), np.full(4, half / 2)])
+        ax, au = np.concatenate([x, qx]), np.concatenate([u, qu])
+        mx, mu = np.average(ax, weights=weight), np.average(au, weights=weight)
+        slope = np.average((ax - mx) * (au - mu), weights=weight) / np.average((ax - mx) ** 2, weights=weight)
+        rest = np.average((au - mu - slope * (ax - mx)) ** 2, weights=weight) ** 0.5
+        assert got == pytest.approx((mu - slope * mx, slope, rest))
+        if n in (50, 51):  # nothing jumps at any number of decoys
+            assert before is None or abs(got[0] + got[1] * 3.6 - before) < 0.15
+        before = got[0] + got[1] * 3.6
+    assert got == pytest.approx((0.9, 0.8, 0.3), abs=0.02)
+
+
 def test_flagged_tokens_are_few_ordinary_ones(spark):
     """Of the flagged tokens the share of ordinary ones stays near the chosen rate."""
     rng = np.random.default_rng(9)
