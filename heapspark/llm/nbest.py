@@ -17,8 +17,9 @@ import re
 import zlib
 from bisect import insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush, nsmallest
+from itertools import chain, islice
 from math import inf
 from struct import pack
 
@@ -36,10 +37,94 @@ UNKNOWN_PENALTY = 10.0
 #: Scores below this only mark pieces as a last resort; such pieces count as the worst other piece.
 _LAST_RESORT = -1e8
 
+#: Longer parts are searched one by one; the others of a group of texts together.
+TOGETHER = 48
+#: Code points of a group of texts whose new parts are searched together.
+GROUP_CHARS = 1 << 20
+
 # A part: (best score, ids of the best path as bytes, loss of the second best path).
 Part = tuple[float, bytes, float]
 
 
+class PieceTrie:
+    """The pieces as arrays: what follows each beginning of a piece, for many texts in step."""
+
+    def __init__(self, begun: dict[str, tuple[float, int] | None]):
+        node = {"": 0} | {p: i for i, p in enumerate(begun, 1)}
+        #: Score and id of the piece that a node is; id -1 where it only begins one.
+        self.score = np.array([0.0, *[k[0] if k else -inf for k in begun.values()]])
+        self.piece = np.array([-1, *[k[1] if k else -1 for k in begun.values()]], np.int64)
+        steps = np.array([(node[p[:-1]] << 21) | ord(p[-1]) for p in begun], np.int64)
+        order = np.argsort(steps)
+        self.keys, self.nodes = steps[order], np.arange(1, len(node))[order]
+        # where a node's steps begin among the sorted keys; most nodes have few, so the search there is short
+        self.first = np.searchsorted(self.keys, np.arange(len(node) + 1, dtype=np.int64) << 21)
+        self.rounds = int(np.diff(self.first)[1:].max(initial=1)).bit_length()
+        self.roots = np.zeros(0x110001, np.int32)
+        self.roots[self.keys[: self.first[1]]] = self.nodes[: self.first[1]]
+
+    def step(self, at: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The node after each node and character, -1 where no piece goes on like that."""
+        low, high, key = self.first[at], self.first[at + 1], (at << 21) | char
+        for _ in range(self.rounds):
+            middle = (low + high) >> 1
+            less = (low < high) & (self.keys[np.minimum(middle, len(self.keys) - 1)] < key)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        low = np.minimum(low, len(self.keys) - 1)
+        return np.where(self.keys[low] == key, self.nodes[low], -1)
+
+    def best(self, texts: list[str], unknown: float) -> list[Part | None]:
+        """Each text's part as Lattice.part() has it; None where the best path has a character without a piece."""
+        n, sizes = len(texts), np.array([len(t) for t in texts])
+        width = int(sizes.max())
+        chars = np.full((n, width), 0x110000, np.int64)
+        chars[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        row, start = np.nonzero(chars < 0x110000)
+        at = self.roots[chars[row, start]].astype(np.int64)
+        single = self.piece[at]
+        edges = [(row, start, np.ones(len(row), np.int64), single, np.where(single >= 0, self.score[at], unknown))]
+        length = 1
+        going = at > 0
+        row, start, at = row[going], start[going], at[going]
+        while len(row):
+            length += 1
+            inside = start + length <= sizes[row]
+            row, start, at = row[inside], start[inside], at[inside]
+            at = self.step(at, chars[row, start + length - 1])
+            going = at > 0
+            row, start, at = row[going], start[going], at[going]
+            own = self.piece[at] >= 0
+            edges.append((row[own], start[own], np.full(int(own.sum()), length), self.piece[at[own]], self.score[at[own]]))
+        row, start, span, piece, score = (np.concatenate(x) for x in zip(*edges))
+        when = start * (length + 1) + span
+        order = np.argsort(when, kind="stable")
+        cuts = np.flatnonzero(np.diff(when[order], prepend=-1, append=-1))
+        top, second = np.full((n, width + 1), -inf), np.full((n, width + 1), -inf)
+        top[:, 0] = 0.0
+        taken = np.zeros((n, width + 1), np.int64)
+        for a, b in zip(cuts, cuts[1:]):  # edges with one start and length: one a text
+            e = order[a:b]
+            r, end = row[e], int(start[e[0]] + span[e[0]])
+            value, had = top[r, int(start[e[0]])] + score[e], top[r, end]
+            better = value > had
+            second[r, end] = np.maximum(second[r, end], np.where(better, had, value))
+            top[r, end] = np.where(better, value, had)
+            taken[r, end] = np.where(better, e, taken[r, end])
+        rows = np.arange(n)
+        loss, back, end = np.full(n, inf), [], sizes.copy()
+        while (on := end > 0).any():
+            loss = np.where(on, np.minimum(loss, top[rows, end] - second[rows, end]), loss)
+            e = taken[rows, end]
+            back.append(np.where(on, piece[e], -2))
+            end = np.where(on, start[e], 0)
+        path = np.array(back[::-1]).T
+        plain, used = (path != -1).all(axis=1), path != -2
+        ends = np.concatenate([[0], np.cumsum(used.sum(axis=1))]) * 4
+        ids = path[used].astype("<u4").tobytes()
+        scores, losses = top[rows, sizes].tolist(), loss.tolist()
+        return [(scores[i], ids[ends[i] : ends[i + 1]], losses[i]) if ok else None for i, ok in enumerate(plain.tolist())]
+
+
 class Lattice:
     """The pieces of one model, and the n best paths of texts over them."""
 
@@ -70,6 +155,7 @@ class Lattice:
         #: Every beginning of a piece: its (score, id) where it is a piece itself, else None.
         self.begun: dict[str, tuple[float, int] | None] = {p[:i]: None for p in self.scores for i in range(1, len(p))}
         self.begun.update({p: (s, self.piece_ids[p]) for p, s in self.scores.items()})
+        self.trie = PieceTrie(self.begun)
         self.chunks = self._cutter()
         self.known: dict[str, Part] = {}
         self.others: dict[str, list[tuple[float, bytes]]] = {}
@@ -150,24 +236,45 @@ class Lattice:
             if len(self.known) >= MEMORY:
                 self.known.clear()
             best, last, edges = self.forward(text)
-            at, done, second, ids = len(text), 0.0, -inf, []
+            at, loss, ids = len(text), inf, []
             while at:
                 taken = last[at]
                 for edge in edges[at]:
                     if edge is not taken:
-                        bound = done + edge[1] + best[edge[0]]
-                        if bound > second:
-                            second = bound
-                at, score, piece = taken
-                done += score
-                if piece >= 0:
-                    ids.append(piece)
-                else:
-                    ids += reversed(self.fallback(text[at]))
+                        loss = min(loss, best[at] - (best[edge[0]] + edge[1]))
+                at, _, piece = taken
+                ids += (piece,) if piece >= 0 else reversed(self.fallback(text[at]))
             ids.reverse()
-            self.known[text] = (done, pack(f"<{len(ids)}I", *ids), max(0.0, done - second))
+            self.known[text] = (best[-1], pack(f"<{len(ids)}I", *ids), loss)
         return self.known[text]
 
+    def parts_of(self, text: str) -> list[str]:
+        return self.chunks(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def learn(self, chunks: Iterable[list[str]]) -> None:
+        """Searches all new short parts of a group of texts together and remembers them."""
+        new = set().union(*chunks).difference(self.known)
+        if len(self.known) + len(new) > MEMORY:  # what is frequent came early
+            self.known = dict(islice(self.known.items(), MEMORY // 2))
+            new = set().union(*chunks).difference(self.known)
+        short = sorted((c for c in new if len(c) <= TOGETHER), key=len)
+        for i in range(0, len(short), 4096):
+            some = short[i : i + 4096]
+            self.known.update((c, p) for c, p in zip(some, self.trie.best(some, self.unknown)) if p)
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[tuple[float, bytes]]]:
+        """encode() of each text, in groups that share the search of their new parts."""
+        group, size = [], 0
+        for text in texts:
+            group.append(self.parts_of(text))
+            size += len(text)
+            if size >= GROUP_CHARS:
+                self.learn(group)
+                yield from map(self.best_paths, group)
+                group, size = [], 0
+        self.learn(group)
+        yield from map(self.best_paths, group)
+
     def alternatives(self, text: str) -> list[tuple[float, bytes]]:
         """(loss, ids) of a part's paths beside the best one."""
         if text not in self.others:
@@ -179,14 +286,17 @@ class Lattice:
         return self.others[text]
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
-        """(score, ids) of the n best segmentations; an empty text has one, of no pieces.
+        """(score, ids) of the n best segmentations; an empty text has one, of no pieces."""
+        return self.best_paths(self.parts_of(text))
+
+    def best_paths(self, chunks: list[str]) -> list[tuple[float, bytes]]:
+        """encode() of a text's parts.
 
         A path that leaves the best one in several parts is no better than each path that leaves
         it in only one of them, so the n - 1 least losses are all that can take part.
         """
-        if not text:
+        if not chunks:
             return [(0.0, b"")]
-        chunks = self.chunks(SPACE + text.replace(" ", SPACE))
         known = self.known
         try:
             parts = [known[c] for c in chunks]
@@ -250,22 +360,29 @@ class PieceCounter:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.chunks = Lattice(model, 1).chunks
-        self.before = self.sp.encode("\n")
-        self.known: dict[str, list[int]] = {}
+        self.before = len(self.sp.encode("\n"))
 
-    def add(self, total: np.ndarray, texts: list[str]) -> None:
-        """Adds the texts' pieces to total.  No piece crosses a cut, so each different chunk is encoded once and counts as often as it occurs."""
-        times: Counter[str] = Counter()
+    def count(self, texts: Iterable[str]) -> np.ndarray:
+        """How often the texts use each id.  No piece crosses a cut, so each different chunk is encoded once and counts as often as it occurs."""
+        total, times = np.zeros(self.sp.get_piece_size(), np.int64), Counter()
         for text in texts:
             if text:
                 times.update(self.chunks(SPACE + text.replace(" ", SPACE)))
-        if len(self.known) > MEMORY // 2:
-            self.known.clear()
-        new = [c for c in times if c not in self.known]
-        # a line break first, so that the library's own leading space does not touch the chunk
-        self.known.update(zip(new, [ids[len(self.before) :] for ids in self.sp.encode(["\n" + c for c in new], num_threads=1)]))
-        sizes = [len(self.known[c]) for c in times]
-        np.add.at(total, [i for c in times for i in self.known[c]], np.repeat(list(times.values()), sizes))
+                if len(times) > MEMORY // 2:
+                    self._add(total, times)
+                    times.clear()
+        self._add(total, times)
+        return total
+
+    def _add(self, total: np.ndarray, times: Counter[str]) -> None:
+        chunks, n = list(times), np.fromiter(times.values(), np.int64, len(times))
+        for i in range(0, len(chunks), 8192):
+            # a line break first, so that the library's own leading space does not touch the chunk
+            found = self.sp.encode(["\n" + c for c in chunks[i : i + 8192]], num_threads=1)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+            inside = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= self.before
+            np.add.at(total, ids[inside], np.repeat(n[i : i + 8192], sizes)[inside])
 
 
 _counters: dict[str, PieceCounter] = {}
@@ -285,9 +402,7 @@ def piece_scores(docs: DataFrame, model: str, smoothing: float = 0.1) -> np.ndar
         if model not in _counters:
             _counters.clear()
             _counters[model] = PieceCounter(model)
-        total = np.zeros(size, np.int64)
-        for batch in slices(batches):
-            _counters[model].add(total, batch.column("text").to_pylist())
+        total = _counters[model].count(text for batch in slices(batches) for text in batch.column("text").to_pylist())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
@@ -308,7 +423,7 @@ def encode(docs: DataFrame, model: str, n: int = 4, scores: np.ndarray | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, kind = lattice(model, n, shared.value), pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))
         for batch in slices(batches):
-            found = [[{"score": s, "ids": x} for s, x in lat.encode(t)] for t in batch.column("text").to_pylist()]
+            found = [[{"score": s, "ids": x} for s, x in best] for best in lat.encode_all(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "nbest"])
 
     return text_of(docs).mapInArrow(run, "doc_id long, nbest array<struct<score: double, ids: binary>>")
@@ -330,9 +445,8 @@ def digest(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model, n, shared.value)
         for batch in slices(batches):
-            rows = []
-            for text in batch.column("text").to_pylist():
-                found = lat.encode(text)
+            rows, texts = [], batch.column("text").to_pylist()
+            for text, found in zip(texts, lat.encode_all(texts)):
                 ok = lat.decode(found[0][1]) == text
                 rows.append((len(found[0][1]) // 4, found[0][0], [s for s, _ in found], [zlib.crc32(x) for _, x in found], ok))
             cols = list(zip(*rows)) or [[]] * 5

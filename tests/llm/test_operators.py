@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -94,6 +95,20 @@ def test_nbest_whole_lattice_equals_cut_lattice(docs):
         assert [s for s, _ in lat.encode(text[:400])] == pytest.approx([s for s, _ in direct])
 
 
+def test_parts_searched_together_equal_parts_searched_alone():
+    rng = random.Random(5)
+    alphabet = "aetoinshr dl.,é漢字🙂\n  0189ZzQ"
+    texts = ["", " ", "a" * 200, "🙂", "x🙂y", "\n\n", "ab" * 60 + " cd"] + ["".join(rng.choices(alphabet, k=rng.randrange(1, 90))) for _ in range(300)]
+    for scores in (None, np.log(np.random.default_rng(1).random(40_000))):
+        together = nbest.Lattice(PIECE, 4, scores)
+        alone = nbest.Lattice(PIECE, 4, scores)
+        got = list(together.encode_all(texts))
+        assert got == [alone.encode(t) for t in texts]
+        both = together.known.keys() & alone.known.keys()
+        assert len(both) > 300 and all(together.known[c] == alone.known[c] for c in both)
+
+
+
 def test_nbest_query(docs, edge, none):
     got = rows(nbest.digest(docs, PIECE))
     assert len(got) == 200 and all(r["decoded"] and r["nbest_scores"] == sorted(r["nbest_scores"], reverse=True) for r in got)
