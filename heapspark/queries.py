@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import filters, values as v
-from .operators import aggregates, bounds, class_tree, compare, contents, graph, inspections, pairing, quantize, reports, scans
+from .operators import aggregates, bounds, class_tree, compare, contents, graph, inspections, names, pairing, quantize, reports, scans
 from .plans import snapshot as snap
 from .plans.snapshot import LINE, OFFSET, table
 from .sources import results, snapshots
@@ -1240,3 +1240,29 @@ def find_leaks2_changes(s, d):
         refs = shop.refs.where(F.col("name").isin("nations", "customers") | ((F.col("name") == "orders") & (number("dst_id") % k != 0)))
         parts.append(snap.Snapshot(objects, shop.classes, refs, shop.roots))
     return reports.find_leaks2(*parts, *[graph.dominance(p.refs, p.roots) for p in parts], threshold_percent=2.0)
+
+
+#: Fields by which each object refers to what owns it.
+_OWNER_FIELDS = {"nations": "region", "customers": "nation", "suppliers": "nation", "orders": "customer", "lines": "order", "supplied": "supplier"}
+_TEMPLATES = {
+    "shop.place.Place": "{self}", "shop.party.Party": "{self} ({nation})", "shop.party.Supplier": "{nation}",
+    "shop.trade.Order": "{self} of {customer}", "shop.trade.LineItem": "{self}: {order} from {supplier}",
+}
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, coalesce(c_name, '') || ' (' || coalesce(n_name, '') || ')' AS t FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+  s AS (SELECT s_suppkey AS k, n_name AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  o AS (SELECT o_orderkey AS k, coalesce(o_orderpriority, '') || ' of ' || coalesce(c.t, '') AS t FROM orders LEFT JOIN c ON o_custkey = c.k),
+  l AS (SELECT DISTINCT * FROM lineitem),
+  a AS (SELECT 'shop.place.Region' AS name, r_name AS display_name FROM region UNION ALL SELECT 'shop.place.Nation', n_name FROM nation
+    UNION ALL SELECT 'shop.party.Customer', t FROM c UNION ALL SELECT 'shop.party.Supplier', t FROM s UNION ALL SELECT 'shop.trade.Order', t FROM o
+    UNION ALL SELECT 'shop.trade.LineItem', coalesce(l_returnflag, '') || ': ' || coalesce(o.t, '') || ' from ' || coalesce(s.t, '') FROM l LEFT JOIN o ON l_orderkey = o.k LEFT JOIN s ON l_suppkey = s.k)
+  SELECT name, display_name, count(*)::BIGINT AS objects FROM a WHERE display_name IS NOT NULL GROUP BY ALL""")
+def display_names(s, d):
+    """Names by templates of classes, filled along references; suppliers go by their nation's name, other parties by a template of their superclass."""
+    shop = _index(s, d).snap
+    field = F.element_at(F.create_map(*[F.lit(x) for pair in _OWNER_FIELDS.items() for x in pair]), F.col("name"))
+    refs = shop.refs.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), field.alias("name"))
+    found = names.display_names(snap.Snapshot(shop.objects, shop.classes, refs, shop.roots), _TEMPLATES)
+    named = found.join(shop.objects.select("object_id", "class_id"), "object_id").join(F.broadcast(shop.classes.select("class_id", "name")), "class_id")
+    return named.groupBy("name", "display_name").agg(F.count(F.lit(1)).alias("objects"))
