@@ -288,3 +288,47 @@ def test_path_trees(spark):
                 want[d, ">".join(map(name, part))].append(part[-1])
         got = {(r["level"], r["path"]): (r["on_path"], r["referenced"]) for r in inspections.grouped_paths(snap, tree, ids, group_by, forest).collect()}
         assert got == {k: (len(set(v)), len(v)) for k, v in want.items()}
+
+
+def test_layers_below_a_core(spark):
+    """Layers without a way back hang below a circle of crossing paths: paths, dominators, sizes and outermost objects against plain Python."""
+    rng = random.Random(31)
+    core, n = 8, 96
+    edges = [(i, (i + 1) % core) for i in range(core)] + [(rng.randrange(core), rng.randrange(core)) for _ in range(4)]
+    edges += [(rng.randrange(low), v) for low, end in ((8, 16), (16, 32), (32, n)) for v in range(low, end) for _ in range(rng.randrange(1, 4))]
+    edges = [(a, b) for a, b in edges if a != b]
+    roots = [0, 5, 30]
+    refs = spark.createDataFrame(edges + edges[::5], "src_id long, dst_id long")  # some are parallel
+    top = ids_df(spark, roots)
+    kept = graph.edges_of(refs)
+    layers = graph.layers_of(kept)
+    assert len(layers) > 2 and kept._core_rows > 0
+    depth = {r: 0 for r in roots}
+    level = roots
+    while level:
+        level = sorted({b for a, b in edges if a in level and b not in depth})
+        depth.update({b: max(depth.values()) + 1 for b in level})
+    tree = {r.object_id: (r.parent_id, r.depth) for r in graph.breadth_first(refs, top).collect()}
+    assert tree == {v: (min((a for a, b in edges if b == v and depth.get(a) == d - 1), default=None) if d else None, d) for v, d in depth.items()}
+    dom = graph.dominance(refs, top)
+    assert dom.rows.where("layer = 0 and dominator_id is not null").count() > 0
+    chain, above = {}, {r.object_id: r.dominator_id for r in dom.rows.collect()}
+    for v in above:
+        at, chain[v] = v, []
+        while (at := above[at]) is not None:
+            chain[v].append(at)
+    assert {(v, a) for v in chain for a in [v, *chain[v]]} == brute_dominators(n, [(a, b, 'f') for a, b in edges], roots)
+    assert {r.object_id: r.level for r in dom.rows.collect()} == {v: len(c) + 1 for v, c in chain.items()}
+    sizes = {r.object_id: r.retained for r in dom.retained(spark.range(n).selectExpr("id as object_id", "id + 1 as shallow")).collect()}
+    assert sizes == {v: v + 1 + sum(w + 1 for w in chain if v in chain[w]) for v in chain}
+    groups = {(g, rng.randrange(n)) for g in range(5) for _ in range(20)}
+    got = {tuple(r) for r in dom.outermost(spark.createDataFrame(sorted(groups), "group_id long, object_id long")).collect()}
+    assert got == {(g, v) for g, v in groups if v in chain and not any((g, a) in groups for a in chain[v])}
+    held = {tuple(r) for r in graph.retained_by_groups(refs, top, spark.createDataFrame(sorted(groups), "group_id long, object_id long"), graph.breadth_first(refs, top)).collect()}
+    for g in range(5):
+        inside = {v for h, v in groups if h == g}
+        reached = level = {r for r in roots if r not in inside}
+        while level:
+            level = {b for a, b in edges if a in level} - reached - inside
+            reached = reached | level
+        assert {v for h, v in held if h == g} == set(depth) - reached
