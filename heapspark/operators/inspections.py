@@ -71,8 +71,8 @@ def retained_column(snap: Snapshot, classes: DataFrame, dom: graph.Dominance, tr
         tops = dom.outermost(rows.select(F.col("class_id").alias("group_id"), "object_id")).join(dom.retained(snap.objects), "object_id")
         sizes = tops.groupBy(F.col("group_id").alias("class_id")).agg(F.sum("retained").cast("long").alias("retained"))
     else:
-        held = graph.retained_by_groups(refs if refs is not None else snap.refs, snap.roots, rows.select(F.col("class_id").alias("group_id"), "object_id"), tree)
-        sizes = held.join(snap.objects.select("object_id", "shallow"), "object_id").groupBy(F.col("group_id").alias("class_id")).agg(F.sum("shallow").cast("long").alias("retained"))
+        held = graph.retained_sizes_by_groups(snap.objects, refs if refs is not None else snap.refs, snap.roots, rows.select(F.col("class_id").alias("group_id"), "object_id"), tree)
+        sizes = held.withColumnRenamed("group_id", "class_id")
     return own.join(sizes, "class_id", "left")
 
 
