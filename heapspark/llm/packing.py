@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import slices, text_of
-from .tokens import encoder
+from .tokens import MEMORY, encoder
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
@@ -44,11 +44,11 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
-    """Ids of every document and its end id, cut each capacity ids; one row per piece."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, memory: int = MEMORY) -> DataFrame:
+    """Ids of every document and its end id, cut each capacity ids; one row per piece.  memory: chunks that a worker remembers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(tokenizer, memory=memory), np.array([end_id], dtype="<u4").tobytes()
         for batch in slices(batches, most=1 << 20):
             out: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     return text_of(docs).mapInArrow(cut, _PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group_docs: int = 2048, seed: int = 17) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group_docs: int = 2048, seed: int = 17, memory: int = MEMORY) -> DataFrame:
     """Pack every document into sequences of at most capacity ids, with first-fit decreasing.
 
     Documents are cut each capacity ids; pieces then meet in randomised groups (a seeded hash
@@ -76,6 +76,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     Null or empty text: only the end id.  Repeated rows are documents of their own.  Null ids
     are kept.  An empty table gives no rows.  Other columns of docs are ignored.  Only rows that repeat
     both id and text share a group.
+    memory: chunks that a worker remembers; it changes time and space, not rows.
     """
     groups = max(1, -(-docs.count() // group_docs))
     group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", F.lit(seed)), F.lit(groups)).alias("g")
@@ -88,5 +89,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         out["offset"] = offsets
         return out
 
-    cut = pieces(docs, tokenizer, capacity, end_id)
+    cut = pieces(docs, tokenizer, capacity, end_id, memory)
     return cut.select("*", group).groupBy("g").applyInPandas(fill, _PACKED)

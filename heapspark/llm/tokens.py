@@ -16,8 +16,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks a worker remembers, about 170 bytes each.  Where they are more, the half that came last is forgotten: what is
-#: frequent comes early.
+#: Chunks a worker remembers, about 170 bytes each, unless it is asked for fewer.  Where they are more, the half that came
+#: last is forgotten: what is frequent comes early.
 MEMORY = 1_000_000
 
 #: Runs of non-space with their leading space, and white space as the byte-level pattern cuts it.
@@ -42,6 +42,12 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks = str.split if words else _CHUNKS
         self.known: dict[str, bytes] = {}
+        self.memory = MEMORY
+
+    def _forget(self) -> None:
+        """Where more than `memory` chunks are known, the half that came last goes."""
+        if len(self.known) > self.memory:
+            self.known = dict(islice(self.known.items(), self.memory // 2))
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -74,15 +80,18 @@ class ChunkEncoder:
             try:
                 out.append(b"".join([known[c] for c in chunks]))
             except KeyError:
-                if len(known) > MEMORY:
-                    known = self.known = dict(islice(known.items(), MEMORY // 2))
+                self._forget()
+                known = self.known
                 self._learn({c for c in chunks if c not in known})
                 out.append(b"".join([known[c] for c in chunks]))
         return out
 
 
-def encoder(path: str, words: bool = False) -> ChunkEncoder:
-    """The worker's encoder for path."""
+def encoder(path: str, words: bool = False, memory: int = MEMORY) -> ChunkEncoder:
+    """The worker's encoder for path, which remembers about `memory` chunks at most."""
     if (path, words) not in _encoders:
         _encoders[path, words] = ChunkEncoder(path, words)
-    return _encoders[path, words]
+    found = _encoders[path, words]
+    found.memory = memory
+    found._forget()
+    return found
