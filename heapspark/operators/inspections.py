@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.values import smart_fix, whole
 from ..plans.order import running
 from ..plans.snapshot import Snapshot
+from ..plans.store import materialize
 from . import graph, quantize
 from .forest import Forest
 
@@ -417,10 +418,15 @@ def waste_by_referrers(referrers: DataFrame, minimum: int = 50) -> DataFrame:
 
 
 @command
-def reference_statistics(snap: Snapshot, referents: DataFrame, references: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Histograms of the referents, of what the references retain by `fields`, and of referents held strongly by them."""
-    only = graph.retained_by_fields(snap.refs, snap.roots, references, fields)
-    full = graph.retained_set(snap.objects, snap.refs, snap.roots, references)
+def reference_statistics(snap: Snapshot, referents: DataFrame, references: DataFrame, fields: list[str], edges: DataFrame | None = None, tree: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Histograms of the referents, of what the references retain by `fields`, and of referents held strongly by them.
+
+    edges, tree: edges_of() the references and breadth_first() from the roots, where they are known.
+    """
+    edges = graph.edges_of(snap.refs) if edges is None else edges
+    tree = graph.breadth_first(edges, snap.roots) if tree is None else tree
+    only = materialize(graph.retained_by_fields(snap.refs, snap.roots, references, fields, tree), "retained")
+    full = graph.retained_set(snap.objects, edges, snap.roots, references, tree)
     strong = referents.join(full.join(only, "object_id", "left_anti"), "object_id", "left_semi")
     return histogram(snap, referents), histogram(snap, only), histogram(snap, strong)
 

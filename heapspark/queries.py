@@ -1217,10 +1217,11 @@ def reference_leak(s, d):
   SELECT part, 'shop.trade.Order' AS name, n AS objects, 56 * n AS shallow FROM o, (SELECT unnest(['referents', 'only weakly']) AS part) WHERE n > 0""")
 def reference_statistics(s, d):
     """A nation's customers as references to their orders: all referents, what they alone retain, and none held strongly."""
-    shop = _index(s, d).snap
+    at = _index(s, d)
+    shop = at.snap
     ids = table(s, d, "customer").where("c_nationkey = 7").select(snap.object_id("customer").alias("object_id"))
     orders = table(s, d, "orders").select(snap.object_id("customer", "o_custkey").alias("of"), snap.object_id("orders").alias("object_id")).join(ids.withColumnRenamed("object_id", "of"), "of", "left_semi")
-    parts = inspections.reference_statistics(shop, orders.select("object_id"), ids, ["orders"])
+    parts = inspections.reference_statistics(shop, orders.select("object_id"), ids, ["orders"], at.edges, at.tree)
     return reduce(DataFrame.unionByName, [h.select(F.lit(n).alias("part"), "name", "objects", "shallow") for n, h in zip(("referents", "only weakly", "strongly"), parts)])
 
 
