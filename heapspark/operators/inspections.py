@@ -68,23 +68,25 @@ def retained_column(snap: Snapshot, classes: DataFrame, dom: graph.Dominance, tr
     rows = snap.objects.join(F.broadcast(classes.select("class_id")), "class_id", "left_semi")
     own = rows.groupBy("class_id").agg(quantize.count().alias("objects"), F.sum("shallow").cast("long").alias("shallow"))
     if tree is None:
-        # An object counts once for its class however many of its dominators are of that class.
-        tops = dom.outermost(rows.select(F.col("class_id").alias("group_id"), "object_id")).join(dom.retained(snap.objects), "object_id")
-        sizes = tops.groupBy(F.col("group_id").alias("class_id")).agg(F.sum("retained").cast("long").alias("retained"))
+        sizes = dom.class_sizes(snap.objects, classes)
     else:
         held = graph.retained_sizes_by_groups(snap.objects, refs if refs is not None else snap.refs, snap.roots, rows.select(F.col("class_id").alias("group_id"), "object_id"), tree)
         sizes = held.withColumnRenamed("group_id", "class_id")
     return own.join(sizes, "class_id", "left")
 
 
+def _top(snap: Snapshot, dom: graph.Dominance) -> DataFrame:
+    """The rows of dom.table() without a dominator, with their share of the heap."""
+    heap = snap.objects.agg(F.sum("shallow").alias("heap"))
+    rows = dom.table(snap.objects).where("known and dominator_id is null")
+    return rows.crossJoin(F.broadcast(heap)).withColumn("share", F.col("retained") / F.col("heap")).drop("heap")  # one row
+
+
 @command
 def dominator_tree(snap: Snapshot, dom: graph.Dominance, group_by: str = "NONE") -> DataFrame:
     """Top level of the tree with retained sizes and their share of the heap; or its rows by class, loader or package."""
     _known(group_by, "NONE", "BY_CLASS", "BY_CLASSLOADER", "BY_PACKAGE")
-    top = dom.tree().where("dominator_id is null").select("object_id")
-    rows = top.join(dom.retained(snap.objects), "object_id").join(snap.objects.select("object_id", "class_id", "shallow"), "object_id")
-    heap = snap.objects.agg(F.sum("shallow").alias("heap"))
-    rows = rows.crossJoin(F.broadcast(heap)).withColumn("share", F.col("retained") / F.col("heap")).drop("heap")  # one row
+    rows = _top(snap, dom)
     if group_by == "NONE":
         return rows.select("object_id", "class_id", "shallow", "retained", "share")
     sums = [F.sum(c).cast("long").alias(c) for c in ("objects", "shallow", "retained")]
@@ -97,8 +99,7 @@ def dominator_tree(snap: Snapshot, dom: graph.Dominance, group_by: str = "NONE")
 @command
 def retained_by_class(snap: Snapshot, dom: graph.Dominance) -> DataFrame:
     """Least retained size of each class: its top ancestors' retained sizes summed."""
-    tops = dom.outermost(snap.objects.select(F.col("class_id").alias("group_id"), "object_id")).join(dom.retained(snap.objects), "object_id")
-    return _named(snap, tops.withColumnRenamed("group_id", "class_id")).groupBy("name").agg(F.sum("retained").cast("long").alias("retained"))
+    return _named(snap, dom.class_sizes(snap.objects, snap.classes)).groupBy("name").agg(F.sum("retained").cast("long").alias("retained"))
 
 
 @command
@@ -119,11 +120,10 @@ def immediate_dominators(snap: Snapshot, dom: graph.Dominance, ids: DataFrame, s
 @command
 def big_drops_in_dominator_tree(snap: Snapshot, dom: graph.Dominance, percent: float = 1.0) -> DataFrame:
     """Objects whose retained size exceeds their greatest child's by more than percent of the heap; so do leaves below the top level."""
-    retained = dom.retained(snap.objects)
-    child = dom.tree().where("dominator_id is not null").join(retained, "object_id").groupBy(F.col("dominator_id").alias("object_id")).agg(F.max("retained").alias("child"), quantize.count().alias("children"))
+    rows = dom.table(snap.objects).select("object_id", "dominator_id", "retained")
+    child = rows.where("dominator_id is not null").groupBy(F.col("dominator_id").alias("object_id")).agg(F.max("retained").alias("child"), quantize.count().alias("children"))
     heap = snap.objects.agg(F.sum("shallow").alias("heap"))
-    inner = dom.tree().where("dominator_id is not null").select("object_id", F.lit(True).alias("below"))
-    met = retained.join(child, "object_id", "left").join(inner, "object_id", "left").where("child is not null or below")
+    met = rows.join(child, "object_id", "left").where("child is not null or dominator_id is not null")
     met = met.withColumn("child", F.coalesce("child", F.lit(0))).withColumn("children", F.coalesce("children", F.lit(0))).crossJoin(F.broadcast(heap))  # one row
     return met.withColumn("drop_size", F.col("retained") - F.col("child")).where(F.col("drop_size") > percent / 100 * F.col("heap")).select("object_id", "retained", F.col("child").alias("biggest_child"), "drop_size", "children")
 
@@ -169,10 +169,12 @@ def accumulation_point(snap: Snapshot, dom: graph.Dominance, ids: DataFrame, rat
     Whether to go on depends on the object alone, so descents are chains of such links: they advance by doubling,
     and a descent of n takes log n rounds.
     """
-    retained = dom.retained(snap.objects)
-    child = dom.tree().where("dominator_id is not null").join(retained, "object_id")
+    rows = dom.table(snap.objects)
+    retained = rows.select("object_id", "retained")
+    child = rows.where("dominator_id is not null")
     best = child.groupBy("dominator_id").agg(F.max_by(F.struct("object_id", "retained"), F.struct("retained", -F.col("object_id"))).alias("c"))
-    best = best.join(retained.withColumnRenamed("object_id", "dominator_id"), "dominator_id").where(F.col("c.retained") >= ratio * F.col("retained"))
+    inner = rows.where(dom.above).select(F.col("object_id").alias("dominator_id"), "retained")
+    best = best.join(inner, "dominator_id").where(F.col("c.retained") >= ratio * F.col("retained"))
     down = graph.materialize(best.select(F.col("dominator_id").alias("at"), F.col("c.object_id").alias("end"), F.lit(1).cast("long").alias("steps")), "descent")
     span = 1  # steps that a link goes down, unless its descent ends before
     while span < max_depth:
@@ -267,8 +269,7 @@ def grouped_paths(snap: Snapshot, tree: DataFrame, ids: DataFrame, group_by: str
 @command
 def immediate_dominated(snap: Snapshot, dom: graph.Dominance, ids: DataFrame) -> DataFrame:
     """(dominator_id, object_id, class_id, shallow, retained): what each of ids dominates immediately."""
-    under = dom.tree().join(ids.select(F.col("object_id").alias("dominator_id")).distinct(), "dominator_id", "left_semi")
-    rows = under.select("dominator_id", "object_id").join(dom.retained(snap.objects), "object_id").join(snap.objects.select("object_id", "class_id", "shallow"), "object_id")
+    rows = dom.table(snap.objects).where("known").join(ids.select(F.col("object_id").alias("dominator_id")).distinct(), "dominator_id", "left_semi")
     return rows.select("dominator_id", "object_id", "class_id", "shallow", "retained")
 
 
@@ -278,18 +279,21 @@ def leakhunter(snap: Snapshot, dom: graph.Dominance, tree: DataFrame, threshold_
 
     A single object's point is its accumulation point; a group's is the deepest object, least id first, that the
     shortest paths of at least `common` of its members pass, null where there is none.  Groups are at most
-    100 / threshold_percent.
+    100 / threshold_percent.  Where dom holds the shortest paths, members are counted along its layers; else along forest.
     """
     found = graph.materialize(find_leaks(snap, dom, threshold_percent), "suspects")
     single = accumulation_point(snap, dom, found.where("kind = 'object'").select("object_id"), ratio)
     groups = F.broadcast(found.where("kind = 'class'").select("name", F.col("objects").alias("members")))
-    top = _named(snap, dominator_tree(snap, dom)).where(F.col("share") <= threshold_percent / 100).select("object_id", "name")
-    members = graph.materialize(top.join(groups, "name"), "members")
-    forest = _forest(tree, forest)
-    counts = forest.subtree_sums(members.select("object_id", "name", F.lit(1).cast("long").alias("n")).join(tree.select("object_id"), "object_id", "left_semi"), "n", ["name"])
-    # a member's own path does not count for itself
-    own = members.select("object_id", "name", F.lit(1).alias("own"))
-    strict = counts.join(own, ["object_id", "name"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).join(groups, "name").join(tree.select("object_id", "depth"), "object_id")
+    top = _named(snap, _top(snap, dom)).where(F.col("share") <= threshold_percent / 100).join(groups, "name")
+    if "parent_id" in top.columns:
+        strict = dom.passing(top).join(groups, "name")
+    else:
+        members = graph.materialize(top.select("object_id", "name"), "members")
+        forest = _forest(tree, forest)
+        counts = forest.subtree_sums(members.select("object_id", "name", F.lit(1).cast("long").alias("n")).join(tree.select("object_id"), "object_id", "left_semi"), "n", ["name"])
+        # a member's own path does not count for itself
+        own = members.select("object_id", "name", F.lit(1).alias("own"))
+        strict = counts.join(own, ["object_id", "name"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).join(groups, "name").join(tree.select("object_id", "depth"), "object_id")
     shared = strict.where(F.col("n") >= common * F.col("members")).groupBy("name").agg(F.max_by("object_id", F.struct("depth", -F.col("object_id"))).alias("shared"))
     met = found.join(single, "object_id", "left").join(shared.withColumn("kind", F.lit("class")), ["kind", "name"], "left").withColumn("point", F.coalesce("point", "shared"))
     point = _named(snap, snap.objects.join(F.broadcast(met.select(F.col("point").alias("object_id")).distinct()), "object_id", "left_semi")).select(F.col("object_id").alias("point"), F.col("name").alias("point_name"))
@@ -301,6 +305,14 @@ def unreachable_objects(snap: Snapshot) -> DataFrame:
     return histogram(snap, graph.unreachable(snap.objects, snap.refs, snap.roots))
 
 
+def left_over(snap: Snapshot, reached: DataFrame) -> DataFrame:
+    """histogram() of the objects that are not among reached (class_id, shallow, known), rows of Dominance: two counts by class, subtracted."""
+    counts = lambda df: df.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.count("shallow").alias("sized"), F.coalesce(F.sum("shallow").cast("long"), F.lit(0)).alias("bytes"))
+    own = counts(snap.objects).unionByName(counts(reached.where("known")).select("class_id", *[(-F.col(c)).alias(c) for c in ("n", "sized", "bytes")]))
+    left = own.groupBy("class_id").agg(*[F.sum(c).cast("long").alias(c) for c in ("n", "sized", "bytes")]).where("n > 0")
+    return _named(snap, left).select("name", F.col("n").alias("objects"), F.when(F.col("sized") > 0, F.col("bytes")).alias("shallow"))
+
+
 @command
 def heap_dump_overview(snap: Snapshot) -> DataFrame:
     """(objects, heap, classes, loaders, roots) in one row."""

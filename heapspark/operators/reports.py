@@ -135,8 +135,11 @@ def reference_leak(snap: Snapshot, references: DataFrame, field: str = "referent
 @command
 def thread_overview(snap: Snapshot, threads: DataFrame, frames: DataFrame, dom: graph.Dominance) -> DataFrame:
     """(object_id, shallow, retained, frames, locals) of thread objects; frames: (thread_id, depth, text, locals)."""
+    ids = threads.select("object_id").distinct()
+    low, high = ids.agg(F.min("object_id"), F.max("object_id")).first()  # objects outside these needn't meet any
+    within = F.col("object_id").between(low, high)
     stacks = frames.groupBy(F.col("thread_id").alias("object_id")).agg(quantize.count().alias("frames"), F.sum(F.size("locals")).cast("long").alias("locals"))
-    rows = threads.select("object_id").distinct().join(snap.objects.select("object_id", "shallow"), "object_id").join(dom.retained(snap.objects), "object_id", "left")
+    rows = ids.join(snap.objects.where(within).select("object_id", "shallow"), "object_id").join(dom.retained(snap.objects).where(within), "object_id", "left")
     return rows.join(stacks, "object_id", "left").select("object_id", "shallow", "retained", F.coalesce("frames", F.lit(0)).alias("frames"), F.coalesce("locals", F.lit(0)).alias("locals"))
 
 

@@ -11,6 +11,7 @@ reference, and regions are the roots of the ownership references.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -63,14 +64,20 @@ def classes(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(class_id, name, super_id, loader_id, instance_size)")  # in the plan, without a job
 
 
-def shop(spark: SparkSession, sf_dir: str) -> Snapshot:
-    """The driver's tables as a snapshot."""
+def shop(spark: SparkSession, sf_dir: str, written: Callable[[str, DataFrame], DataFrame] | None = None) -> Snapshot:
+    """The driver's tables as a snapshot.
+
+    written: makes a named part a written table.  Lines are one, since they alone take a shuffle; objects and references are
+    read from it and from the tables.
+    """
     parts, edges = [], []
     for name in ("region", "nation", "customer", "supplier", "orders", "part"):
         df = table(spark, sf_dir, name)
         label = {"orders": F.col("o_orderpriority")}.get(name, F.col(f"{name[0]}_name") if name != "orders" else None)
         parts.append(df.select(object_id(name).alias("object_id"), F.lit(CLASS_OF[name]).alias("class_id"), label.alias("label"), F.lit(SHALLOW[name]).cast("long").alias("shallow")))
     line = lines(spark, sf_dir)
+    if written is not None:
+        line = written("lines", line)
     parts.append(line.select("object_id", F.lit(CLASS_OF["lineitem"]).alias("class_id"), F.col("l_returnflag").alias("label"), F.lit(SHALLOW["lineitem"]).cast("long").alias("shallow")))
 
     def edge(df: DataFrame, src: Column, dst: Column, name: str) -> DataFrame:
@@ -87,6 +94,10 @@ def shop(spark: SparkSession, sf_dir: str) -> Snapshot:
     return Snapshot(reduce(DataFrame.unionByName, parts), classes(spark), reduce(DataFrame.unionByName, edges), roots)
 
 
+#: An index of it writes only the parts that it names.
+shop.names_parts = True
+
+
 def class_ancestors(classes: DataFrame) -> DataFrame:
     """(class_id, ancestor_id, distance): every class with itself and its superclasses."""
     closure = reached = classes.select("class_id", F.col("class_id").alias("ancestor_id"), F.lit(0).alias("distance"))

@@ -470,7 +470,7 @@ def reachability_bfs(s, d):
 @query("SELECT 'shop.trade.Part' AS name, count(*)::BIGINT AS objects, (count(*) * 48)::BIGINT AS shallow FROM part")
 def unreachable_objects(s, d):
     at = _index(s, d)
-    return inspections.histogram(at.snap, at.snap.objects.join(at.tree, "object_id", "left_anti"))
+    return inspections.left_over(at.snap, at.dominance.rows)
 
 
 _L = """WITH l AS (SELECT DISTINCT * FROM lineitem), j AS (SELECT c.c_nationkey AS cn, s.s_nationkey AS sn, a.n_regionkey AS cr, b.n_regionkey AS sr, l_orderkey, l_suppkey, o_custkey FROM l JOIN orders ON l_orderkey = o_orderkey
