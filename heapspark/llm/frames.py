@@ -150,7 +150,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, words:
     width = width or id_width(tokenizer, end_id)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, writer, part = encoder(tokenizer, words), None, 0
+        enc, writer, part, end = encoder(tokenizer, words), None, 0, struct.pack("<I", end_id)
 
         def closed() -> pa.RecordBatch:
             writer.close()
@@ -167,7 +167,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, words:
                     where.create_dir(name.rpartition("/")[0], recursive=True)
                     sink, first = where.open_output_stream(name, compression=None), doc
                     writer = FrameWriter(sink, width)
-                writer.add(doc, np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
+                writer.add(doc, np.frombuffer(raw + end, "<u4"))
                 if len(writer.ids) >= file_docs or writer.tokens >= file_tokens:
                     yield closed()
                     writer, part = None, part + 1
