@@ -52,11 +52,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with object_id: equal rows are one object, identified by a hash of all columns.
 
     A hash needs no global order; a collision of two different lines has odds of n^2 / 2^62.  Rows that share the hash are
-    one object, so the few columns that make objects and references meet, not whole rows.
+    one object, so the few columns that make objects and references meet, not whole rows.  They meet by order, so that an
+    order's lines stay together and its key is compressed in all that is shuffled later; lines without an order are dealt by hash.
     """
     df = table(spark, sf_dir, "lineitem")
     named = df.select((F.lit(LINE) + F.pmod(F.xxhash64(*sorted(df.columns)), F.lit(2**61))).alias("object_id"), "l_orderkey", "l_suppkey", "l_returnflag")
-    return named.distinct()
+    lone = F.col("l_orderkey").isNull()
+    dealt = named.select("object_id", F.when(lone, F.col("object_id")).otherwise(F.col("l_orderkey")).alias("dealt"), lone.alias("lone"), "l_suppkey", "l_returnflag")
+    met = dealt.repartition("dealt").distinct().sortWithinPartitions("dealt")
+    return met.select("object_id", F.when(~F.col("lone"), F.col("dealt")).alias("l_orderkey"), "l_suppkey", "l_returnflag")
 
 
 def classes(spark: SparkSession) -> DataFrame:

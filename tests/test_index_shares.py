@@ -62,3 +62,21 @@ def test_index_of_the_shop_writes_lines_once(spark, sf, monkeypatch):
     assert count(at.snap) == count(plain) and names == ["lines"]
     assert "Aggregate" not in at.snap.refs._jdf.queryExecution().optimizedPlan().toString()
     at.drop()
+
+
+def test_lines_of_an_order_stay_together_and_those_without_are_dealt(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lone = rows.withColumn("l_orderkey", F.lit(None).cast(rows.schema["l_orderkey"].dataType))
+    rows.unionByName(rows.limit(100)).unionByName(lone).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = snap.lines(spark, str(tmp_path))
+        at = lines.withColumn("at", F.spark_partition_id())
+        parts = {r[0]: r[1] for r in at.groupBy("l_orderkey").agg(F.countDistinct("at")).collect()}
+        files = at.agg(F.countDistinct("at")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files > 1 and parts.pop(None) == files and set(parts.values()) == {1}
+    assert lines.columns == ["object_id", "l_orderkey", "l_suppkey", "l_returnflag"]
+    assert lines.count() == rows.distinct().count() + lone.distinct().count() == lines.select("object_id").distinct().count()
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
