@@ -258,8 +258,8 @@ class Lattice:
             self.known = dict(islice(self.known.items(), MEMORY // 2))
             new = set().union(*chunks).difference(self.known)
         short = sorted((c for c in new if len(c) <= TOGETHER), key=len)
-        for i in range(0, len(short), 4096):
-            some = short[i : i + 4096]
+        for i in range(0, len(short), 8192):
+            some = short[i : i + 8192]
             self.known.update((c, p) for c, p in zip(some, self.trie.best(some, self.unknown)) if p)
 
     def encode_all(self, texts: list[str]) -> Iterator[list[tuple[float, bytes]]]:
@@ -299,11 +299,11 @@ class Lattice:
             return [(0.0, b"")]
         known = self.known
         try:
-            parts = [known[c] for c in chunks]
+            parts = list(map(known.__getitem__, chunks))
         except KeyError:
             parts = [self.part(c) for c in chunks]
-        top, ids, losses = sum([p[0] for p in parts]), [p[1] for p in parts], [p[2] for p in parts]
-        best = b"".join(ids)
+        scores, ids, losses = zip(*parts)
+        top, losses, best = sum(scores), list(losses), b"".join(ids)
         found = [(top, best)]
         some = []
         for _ in range(self.n - 1):
